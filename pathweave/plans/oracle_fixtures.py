@@ -75,6 +75,12 @@ CROSS JOIN (SELECT count(*) AS n FROM part) c
 JOIN part q ON q.p_partkey = (p.p_partkey * t.i * 7 + t.i * 37) % c.n
 """
 
+FX_SQL["fx_idents"] = """
+SELECT DISTINCT x FROM (SELECT p_name AS x FROM part UNION ALL SELECT c_name FROM customer
+  UNION ALL SELECT o_orderpriority FROM orders UNION ALL SELECT event_type FROM events
+  UNION ALL SELECT w FROM fx_words)
+"""
+
 # dependencies between fixtures, in definition order
 FX_DEPS = {
     "fx_ctx": [],
@@ -83,6 +89,7 @@ FX_DEPS = {
     "fx_words": [],
     "fx_nodes": ["fx_ctx"],
     "fx_preds": [],
+    "fx_idents": ["fx_words"],
 }
 
 

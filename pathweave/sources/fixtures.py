@@ -99,18 +99,20 @@ def fx_nodes(spark: SparkSession, sf_dir: str, ctx: DataFrame | None = None) ->
         F.col("ex").alias("tree_id"), F.lit("r/00").alias("node_id"), F.lit("r").alias("parent_id"),
         F.lit(0).alias("child_idx"), F.lit("NameExpr").alias("kind"), F.col("target").alias("token"))
     # every context row yields six nodes; one explode keeps it a single pass over fx_ctx
+    def node(node_id, parent_id, child_idx, kind, token):
+        return F.struct(node_id.alias("node_id"), parent_id.alias("parent_id"),
+                        child_idx.cast("int").alias("child_idx"), F.lit(kind).alias("kind"),
+                        token.cast("string").alias("token"))
+
+    part_id = F.concat(line_id, F.lit("/2"))
     kids = F.array(
-        F.struct(line_id.alias("node_id"), F.lit("r").alias("parent_id"), F.col("pos").alias("child_idx"),
-                 F.lit("Line").alias("kind"), null_s.alias("token")),
-        F.struct(F.concat(line_id, F.lit("/0")), line_id, F.lit(0), F.lit("Flag"),
-                 _split_part(_split_part(F.col("path"), "^", 2), "_", 1)),
-        F.struct(F.concat(line_id, F.lit("/1")), line_id, F.lit(1), F.lit("Status"),
-                 _split_part(F.col("path"), "_", 2)),
-        F.struct(F.concat(line_id, F.lit("/2")), line_id, F.lit(2), F.lit("Part"), null_s),
-        F.struct(F.concat(line_id, F.lit("/2/0")), F.concat(line_id, F.lit("/2")), F.lit(0), F.lit("Word"),
-                 F.col("src")),
-        F.struct(F.concat(line_id, F.lit("/2/1")), F.concat(line_id, F.lit("/2")), F.lit(1), F.lit("Word"),
-                 F.col("dst")),
+        node(line_id, F.lit("r"), F.col("pos"), "Line", null_s),
+        node(F.concat(line_id, F.lit("/0")), line_id, F.lit(0), "Flag",
+             _split_part(_split_part(F.col("path"), "^", 2), "_", 1)),
+        node(F.concat(line_id, F.lit("/1")), line_id, F.lit(1), "Status", _split_part(F.col("path"), "_", 2)),
+        node(part_id, line_id, F.lit(2), "Part", null_s),
+        node(F.concat(part_id, F.lit("/0")), part_id, F.lit(0), "Word", F.col("src")),
+        node(F.concat(part_id, F.lit("/1")), part_id, F.lit(1), "Word", F.col("dst")),
     )
     rest = ctx.select(F.col("ex").alias("tree_id"), F.explode(kids).alias("n")).select(
         "tree_id", F.col("n.node_id").alias("node_id"), F.col("n.parent_id").alias("parent_id"),
@@ -146,3 +148,18 @@ def fx_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def param_value(idx: Column, d: Column, salt: int) -> Column:
     """FX5 formula for a model parameter: ((idx*31 + d*17 + salt*13) % 97) / 97 - 0.5."""
     return (((idx * 31 + d * 17 + F.lit(salt * 13)) % 97).cast("double") / 97.0) - 0.5
+
+
+def fx_idents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX6: distinct identifier-like strings from the tables (names, codes, document words)."""
+    parts = [
+        table(spark, sf_dir, "part", "p_name").select(F.col("p_name").alias("x")),
+        table(spark, sf_dir, "customer", "c_name").select(F.col("c_name").alias("x")),
+        table(spark, sf_dir, "orders", "o_orderpriority").select(F.col("o_orderpriority").alias("x")),
+        table(spark, sf_dir, "events", "event_type").select(F.col("event_type").alias("x")),
+        fx_words(spark, sf_dir).select(F.col("w").alias("x")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
