@@ -1,0 +1,17 @@
+"""Pandas (Arrow-batched) UDFs. Kept apart: pandas_udf reads real type hints,
+so this module does not use postponed annotations."""
+
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
+
+
+@pandas_udf("double")
+def mean_score(s: pd.Series) -> float:
+    """Grouped-aggregate example of a user metric (K3)."""
+    return float(s.mean())
+
+
+@pandas_udf("long")
+def count_rows(s: pd.Series) -> int:
+    """Grouped-aggregate row count (pairs with other pandas aggregates)."""
+    return int(len(s))

@@ -168,3 +168,32 @@ LEFT JOIN path_vocab b ON s.path = b.word
 LEFT JOIN tok_vocab c ON s.dst = c.word
 LEFT JOIN tgt_vocab t ON s.target = t.word
 """, "sampled", "tok_vocab", "path_vocab", "tgt_vocab")
+
+
+# ---- metric stages over fx_preds -----------------------------------------
+_stage("legal", """
+SELECT *, cast(row_number() OVER (PARTITION BY ex ORDER BY rank) - 1 AS int) AS legal_rank FROM fx_preds
+WHERE word <> '<PAD_OR_OOV>' AND regexp_full_match(word, '^[a-zA-Z|]+$')
+""", "fx_preds")
+_stage("first", """
+SELECT e.ex, e.original, f.word AS prediction
+FROM (SELECT DISTINCT ex, original FROM fx_preds) e LEFT JOIN (SELECT ex, word FROM legal WHERE legal_rank = 0) f
+ON e.ex = f.ex
+""", "legal")
+_stage("conf", """
+SELECT ex, original, prediction,
+  cast(len(list_filter(p, lambda x: list_contains(o, x))) AS bigint) AS tp,
+  cast(len(list_filter(p, lambda x: NOT list_contains(o, x))) AS bigint) AS fp,
+  cast(len(list_filter(o, lambda x: NOT list_contains(p, x))) AS bigint) AS fn
+FROM (SELECT *, string_split(original, '|') AS o,
+        CASE WHEN prediction IS NULL THEN []::varchar[] ELSE string_split(prediction, '|') END AS p FROM first)
+""", "first")
+_stage("conf_nonan", """
+SELECT ex, original, prediction,
+  cast(len(list_filter(p, lambda x: list_contains(o, x))) AS bigint) AS tp,
+  cast(len(list_filter(p, lambda x: NOT list_contains(o, x))) AS bigint) AS fp,
+  cast(len(list_filter(o, lambda x: NOT list_contains(p, x))) AS bigint) AS fn
+FROM (SELECT *, list_filter(string_split(original, '|'), lambda x: length(x) > 0) AS o,
+        list_filter(string_split(prediction, '|'), lambda x: length(x) > 0) AS p
+      FROM first WHERE prediction IS NOT NULL)
+""", "first")
