@@ -161,8 +161,8 @@ def q_eval_summary(spark, sf_dir):
     acc = M.topk_accuracy(M.first_match_rank(preds), preds, K)
     wide = acc.agg(*[F.max(F.when(F.col("k") == i, F.col("acc"))).alias(f"top{i}") for i in (1, 5, 10)])
     prf = M.subtoken_prf(M.subtoken_confusion(M.first_legal(preds)))
-    # both sides are one-row aggregates
-    return wide.join(prf.select("precision", "recall", "f1", "n"), how="inner", on=F.lit(True))
+    # the subtoken scores are one-row aggregates: attach them as scalar subqueries
+    return wide.select("*", *[prf.select(c).scalar().alias(c) for c in ("precision", "recall", "f1", "n")])
 
 
 @register("semantics_switch", with_fx(f"""
