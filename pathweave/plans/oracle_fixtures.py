@@ -93,7 +93,7 @@ FX_DEPS = {
 }
 
 
-def with_fx(sql: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_fx(sql: str, *names: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """Prefix ``sql`` with the CTEs of the named fixtures (and their deps),
     then any extra (name, body) CTEs in the order given."""
     order: list[str] = []
@@ -111,7 +111,7 @@ def with_fx(sql: str, *names: str, extra: list[tuple[str, str]] | None = None) -
         ctes.append(f"{n} AS ({body.strip()})")
     if not ctes:
         return sql.strip()
-    return "WITH " + ",\n".join(ctes) + "\n" + sql.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + sql.strip()
 
 
 # ---------------------------------------------------------------------------
@@ -197,3 +197,46 @@ FROM (SELECT *, list_filter(string_split(original, '|'), lambda x: length(x) > 0
         list_filter(string_split(prediction, '|'), lambda x: length(x) > 0) AS p
       FROM first WHERE prediction IS NOT NULL)
 """, "first")
+
+
+# ---- tree stages over fx_nodes (length limit 5, width limit 2) -----------
+_stage("anc", """
+SELECT tree_id, node_id, parent_id AS anc_id, 1 AS k FROM fx_nodes WHERE parent_id IS NOT NULL
+UNION ALL
+SELECT a.tree_id, a.node_id, n.parent_id, a.k + 1 FROM anc a JOIN fx_nodes n
+  ON n.tree_id = a.tree_id AND n.node_id = a.anc_id WHERE n.parent_id IS NOT NULL
+""", "fx_nodes")
+_stage("tleaves", """
+SELECT n.* FROM fx_nodes n
+WHERE NOT EXISTS (SELECT 1 FROM fx_nodes c WHERE c.tree_id = n.tree_id AND c.parent_id = n.node_id)
+  AND n.token IS NOT NULL AND length(n.token) > 0 AND n.kind <> 'Comment'
+  AND (n.token <> 'null' OR n.kind = 'NullLiteralExpr')
+""", "fx_nodes")
+_stage("chain", """
+SELECT tree_id, node_id, list(kind ORDER BY k) AS kinds, list(child_idx ORDER BY k) AS cis, list(nid ORDER BY k) AS ids
+FROM (SELECT l.tree_id, l.node_id, 0 AS k, l.kind, l.child_idx, l.node_id AS nid FROM tleaves l
+      UNION ALL
+      SELECT a.tree_id, a.node_id, a.k, n.kind, n.child_idx, n.node_id FROM anc a
+      JOIN tleaves l ON l.tree_id = a.tree_id AND l.node_id = a.node_id
+      JOIN fx_nodes n ON n.tree_id = a.tree_id AND n.node_id = a.anc_id)
+GROUP BY tree_id, node_id
+""", "anc", "tleaves")
+
+
+_stage("lv", """
+SELECT l.tree_id, l.node_id, l.token, l.kind, c.kinds, c.cis, c.ids,
+       cast(row_number() OVER (PARTITION BY l.tree_id ORDER BY l.node_id) AS int) AS ord,
+       CASE WHEN l.kind = 'NameExpr' AND c.kinds[2] = 'Order' THEN 'METHOD_NAME' ELSE substr((CASE WHEN length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(l.token), '\\n', '', 'g'), '//s+', '', 'g'), '["'',]', '', 'g'), '[^\x20-\x7E]', '', 'g'), '[^A-Za-z]', '', 'g')) > 0 THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(l.token), '\\n', '', 'g'), '//s+', '', 'g'), '["'',]', '', 'g'), '[^\x20-\x7E]', '', 'g'), '[^A-Za-z]', '', 'g') WHEN length(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(l.token), '\\n', '', 'g'), '//s+', '', 'g'), '["'',]', '', 'g'), '[^\x20-\x7E]', '', 'g'), ' ', '_')) > 0 THEN replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(l.token), '\\n', '', 'g'), '//s+', '', 'g'), '["'',]', '', 'g'), '[^\x20-\x7E]', '', 'g'), ' ', '_') ELSE 'BLANK' END), 1, 50) END AS name
+FROM tleaves l JOIN chain c ON l.tree_id = c.tree_id AND l.node_id = c.node_id
+""", "chain")
+_stage("allpairs", """
+SELECT tree_id, l, r, l_ord, r_ord, kl, kr, cis_r[kr] - cis_l[kl] AS width, kl + kr AS length, src, dst,
+       kinds_l, cis_l, kinds_r, cis_r, ids_l
+FROM (SELECT *, list_position(ids_r, ids_l[kl + 1]) - 1 AS kr
+      FROM (SELECT a.tree_id, a.node_id AS l, b.node_id AS r, a.ord AS l_ord, b.ord AS r_ord, a.name AS src,
+                   b.name AS dst, a.kinds AS kinds_l, a.cis AS cis_l, a.ids AS ids_l, b.kinds AS kinds_r,
+                   b.cis AS cis_r, b.ids AS ids_r,
+                   list_min(list_filter(range(1, len(a.ids)), lambda i: list_contains(b.ids, a.ids[i + 1]))) AS kl
+            FROM lv a JOIN lv b ON a.tree_id = b.tree_id AND a.ord < b.ord))
+""", "lv")
+_stage("tpairs", "SELECT * FROM allpairs WHERE length <= 5 AND width <= 2", "allpairs")

@@ -27,4 +27,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_core, q_dataset, q_metrics, q_scalars  # noqa: F401
+    from . import q_core, q_dataset, q_metrics, q_scalars, q_trees  # noqa: F401
