@@ -240,3 +240,39 @@ FROM (SELECT *, list_position(ids_r, ids_l[kl + 1]) - 1 AS kr
             FROM lv a JOIN lv b ON a.tree_id = b.tree_id AND a.ord < b.ord))
 """, "lv")
 _stage("tpairs", "SELECT * FROM allpairs WHERE length <= 5 AND width <= 2", "allpairs")
+
+
+# ---- model stages (formula parameters, token/path dim 4, code dim 12) ----
+def _f(i: str, d: str, salt: int) -> str:
+    return f"(cast(({i} * 31 + {d} * 17 + {salt * 13}) % 97 AS double) / 97 - 0.5)"
+
+
+_stage("tokE", f"SELECT idx, t.d, {_f('idx', 't.d', 1)} AS v FROM tok_vocab, range(4) t(d)", "tok_vocab")
+_stage("pathE", f"SELECT idx, t.d, {_f('idx', 't.d', 2)} AS v FROM path_vocab, range(4) t(d)", "path_vocab")
+_stage("tgtE", f"SELECT idx, t.d, {_f('idx', 't.d', 5)} AS v FROM tgt_vocab, range(12) t(d)", "tgt_vocab")
+_stage("Wm", f"SELECT a.r, b.c, {_f('a.r', 'b.c', 3)} AS w FROM range(12) a(r), range(12) b(c)")
+_stage("av", f"SELECT t.c, {_f('t.c', '0', 4)} AS a FROM range(12) t(c)")
+_stage("enc_test", "SELECT * FROM encoded WHERE role = 'test' AND valid", "encoded")
+_stage("xs", """
+SELECT e.ex, e.pos, t.d AS r, t.v AS x FROM enc_test e JOIN tokE t ON e.src_idx = t.idx
+UNION ALL SELECT e.ex, e.pos, 4 + p.d, p.v FROM enc_test e JOIN pathE p ON e.path_idx = p.idx
+UNION ALL SELECT e.ex, e.pos, 8 + t.d, t.v FROM enc_test e JOIN tokE t ON e.dst_idx = t.idx
+""", "enc_test", "tokE", "pathE")
+_stage("hs", "SELECT ex, pos, c, tanh(sum(x * w)) AS h FROM xs JOIN Wm ON xs.r = Wm.r GROUP BY ex, pos, c", "xs", "Wm")
+_stage("ss", "SELECT ex, pos, sum(h * a) AS s FROM hs JOIN av ON hs.c = av.c GROUP BY ex, pos", "hs", "av")
+_stage("ws", """
+SELECT ex, pos, e / sum(e) OVER (PARTITION BY ex) AS w
+FROM (SELECT ex, pos, exp(s - max(s) OVER (PARTITION BY ex)) AS e FROM ss)
+""", "ss")
+_stage("code", "SELECT hs.ex, hs.c, sum(ws.w * hs.h) AS v FROM hs JOIN ws ON hs.ex = ws.ex AND hs.pos = ws.pos GROUP BY hs.ex, hs.c",
+       "hs", "ws")
+_stage("scores", "SELECT code.ex, t.idx, sum(code.v * t.v) AS score FROM code JOIN tgtE t ON code.c = t.d GROUP BY code.ex, t.idx",
+       "code", "tgtE")
+_stage("topk", """
+SELECT ex, idx, score, cast(row_number() OVER (PARTITION BY ex ORDER BY score DESC, idx) AS int) AS rank FROM scores
+QUALIFY rank <= 10
+""", "scores")
+_stage("mpreds", """
+SELECT k.ex, e.target AS original, k.rank, coalesce(v.word, '<PAD_OR_OOV>') AS word, k.score
+FROM topk k LEFT JOIN tgt_vocab v ON k.idx = v.idx JOIN (SELECT DISTINCT ex, target FROM enc_test) e ON k.ex = e.ex
+""", "topk", "tgt_vocab", "enc_test")
