@@ -145,3 +145,32 @@ def multiset_ops(first: DataFrame) -> DataFrame:
         F.array_join(F.filter("p", lambda x: ~F.array_contains("o", x)), "|").alias("pred_only"),
         F.array_join(F.filter("o", lambda x: ~F.array_contains("p", x)), "|").alias("orig_only"),
     )
+
+
+def evaluate_predictions(preds: DataFrame, k: int, filters: Sequence[WordFilter] | None = None) -> DataFrame:
+    """I13 metrics in one pass: per example the k suggestions are gathered
+    (a group of at most k rows), the first legal one and the first match
+    are found with array functions, and a single aggregate produces the
+    cumulative top-k curve and the strict subtoken P / R / F1."""
+    legal = legal_mask(F.col("word"), filters)
+    g = preds.groupBy("ex", "original").agg(
+        F.array_sort(F.collect_list(F.when(legal, F.struct("rank", "word")))).alias("lw"))
+    words = F.transform("lw", lambda x: x["word"])
+    hit_ranks = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("lw") - 1, F.lit(0))),
+                                     lambda i: F.when(normalize_word(F.get(words, i)) == normalize_word(F.col("original")),
+                                                      i)),
+                         lambda r: r.isNotNull())
+    per = g.select("ex", "original", F.get(words, 0).alias("prediction"),
+                   F.array_min(hit_ranks).alias("match_rank"))
+    conf = subtoken_confusion(per)
+    agg = conf.join(per.select("ex", "match_rank"), "ex").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum((F.col("match_rank") < i).cast("long")) for i in range(1, k + 1)]).alias("hits"),
+        F.sum("tp").cast("long").alias("tp"), F.sum("fp").cast("long").alias("fp"), F.sum("fn").cast("long").alias("fn"))
+    p = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
+    r = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))
+    out = agg.select("n", F.transform("hits", lambda h: h / F.col("n")).alias("topk_acc"),
+                     p.alias("precision"), r.alias("recall"))
+    f1 = F.when(F.col("precision") + F.col("recall") == 0, F.lit(0.0)).otherwise(
+        2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+    return out.withColumn("f1", f1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import FIXTURE, Settings
 from ..sources import fixtures as fx
 from . import examples, vocab
+from .ranking import reliable_checkpoint
 
 
 @dataclass
@@ -22,8 +23,10 @@ class Build:
 
     @cached_property
     def ctx(self) -> DataFrame:
-        """fx_ctx with role."""
-        return fx.fx_ctx_roles(self.spark, self.sf_dir)
+        """fx_ctx with role, written once to the shared checkpoint folder: the
+        histograms, the cut thresholds and the sampling all read it, so the
+        joins that produce it run once and executor loss does not replay them."""
+        return reliable_checkpoint(fx.fx_ctx_roles(self.spark, self.sf_dir))
 
     @cached_property
     def train(self) -> DataFrame:
@@ -55,15 +58,15 @@ class Build:
 
     @cached_property
     def token_counts(self) -> DataFrame:
-        return vocab.cut_strict(self.token_hist, self.settings.word_vocab_size, self.token_ranked)
+        return vocab.cut_strict(self.token_hist, self.settings.word_vocab_size)
 
     @cached_property
     def path_counts(self) -> DataFrame:
-        return vocab.cut_strict(self.path_hist, self.settings.path_vocab_size, self.path_ranked)
+        return vocab.cut_strict(self.path_hist, self.settings.path_vocab_size)
 
     @cached_property
     def target_counts(self) -> DataFrame:
-        return vocab.cut_strict(self.target_hist, self.settings.target_vocab_size, self.target_ranked)
+        return vocab.cut_strict(self.target_hist, self.settings.target_vocab_size)
 
     @cached_property
     def token_vocab(self) -> DataFrame:

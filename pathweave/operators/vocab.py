@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings, SpecialWords
@@ -30,21 +30,31 @@ def path_histogram(contexts: DataFrame) -> DataFrame:
 
 
 def rank_words(hist: DataFrame) -> DataFrame:
-    """0-based position ``r`` by count desc, word asc (our tie-break)."""
+    """0-based position ``r`` by count desc, word asc (our tie-break), for a
+    histogram of any size (distributed global numbering)."""
     return global_index(hist, [F.col("cnt").desc(), F.col("word").asc()], name="r")
 
 
-def cut_threshold(ranked: DataFrame, max_size: int) -> Column:
-    """Count at 0-based position ``max_size`` (NULL when fewer words)."""
-    return ranked.filter(F.col("r") == max_size).agg(F.max("cnt")).scalar()
+def count_at(hist: DataFrame, position: int) -> Column:
+    """Count found at 0-based ``position`` of the descending counts (NULL when
+    there are not that many words), as a scalar subquery.
+
+    Works on the count-of-counts table: its size is the number of distinct
+    count values, at most sqrt(2 * total occurrences), so its running sum
+    runs in one small ordered partition whatever the vocabulary size.
+    """
+    cc = hist.groupBy("cnt").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = cc.withColumn("cum", F.sum("n").over(w))
+    return cum.filter(F.col("cum") > position).agg(F.max("cnt")).scalar()
 
 
-def cut_strict(hist: DataFrame, max_size: int, ranked: DataFrame | None = None) -> DataFrame:
+def cut_strict(hist: DataFrame, max_size: int) -> DataFrame:
     """if more than ``max_size`` words, keep those with count greater than
-    the count at position ``max_size``; all ties at the border are dropped."""
-    ranked = ranked if ranked is not None else rank_words(hist)
-    thr = cut_threshold(ranked, max_size)
-    return ranked.filter(F.col("cnt") > F.coalesce(thr, F.lit(-1))).select("word", "cnt", "r")
+    the count at position ``max_size``; all ties at the border are dropped.
+    At most ``max_size`` words survive."""
+    thr = count_at(hist, max_size)
+    return hist.filter(F.col("cnt") > F.coalesce(thr, F.lit(-1))).select("word", "cnt")
 
 
 def cut_topn(ranked: DataFrame, max_size: int) -> DataFrame:
@@ -52,26 +62,31 @@ def cut_topn(ranked: DataFrame, max_size: int) -> DataFrame:
     return ranked.filter(F.col("r") < max_size)
 
 
+def number_bounded(counts: DataFrame) -> DataFrame:
+    """Position ``r`` by (count desc, word) for a table already cut to at most
+    a vocabulary cap: a single ordered partition of proven size."""
+    w = Window.orderBy(F.col("cnt").desc(), F.col("word").asc())
+    return counts.withColumn("r", (F.row_number().over(w) - 1).cast("long"))
+
+
 def specials_frame(spark: SparkSession, specials: SpecialWords) -> DataFrame:
     """The special words with their fixed indices."""
     rows = [(w, i) for i, w in enumerate(specials.ordered)]
     return spark.createDataFrame(rows, "word string, idx int")
 
 
-def vocab_from_counts(spark: SparkSession, counted: DataFrame, max_size: int, specials: SpecialWords) -> DataFrame:
-    """Numbered vocabulary, specials first, then words by count desc.
-
-    ``counted`` must carry the position ``r`` of ``rank_words`` (the F1 cut
-    keeps a prefix of that order, so the positions stay valid).
-    """
-    words = cut_topn(counted, max_size).select("word", (F.col("r") + specials.n).cast("int").alias("idx"))
+def vocab_from_counts(spark: SparkSession, counts: DataFrame, max_size: int, specials: SpecialWords) -> DataFrame:
+    """E1 + F2 + G5: numbered vocabulary, specials first, then the first
+    ``max_size`` words by count desc. ``counts`` is the F1 cut (at most
+    ``max_size`` rows), so the numbering runs on a bounded table."""
+    words = cut_topn(number_bounded(counts), max_size).select(
+        "word", (F.col("r") + specials.n).cast("int").alias("idx"))
     return specials_frame(spark, specials).unionByName(words)
 
 
 def build_vocab(spark: SparkSession, hist: DataFrame, cap: int, specials: SpecialWords) -> tuple[DataFrame, DataFrame]:
     """Histogram -> (count map after the F1 cut, numbered vocabulary)."""
-    ranked = rank_words(hist)
-    counts = cut_strict(hist, cap, ranked)
+    counts = cut_strict(hist, cap)
     return counts, vocab_from_counts(spark, counts, cap, specials)
 
 

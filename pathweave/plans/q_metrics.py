@@ -162,7 +162,8 @@ def q_eval_summary(spark, sf_dir):
     wide = acc.agg(*[F.max(F.when(F.col("k") == i, F.col("acc"))).alias(f"top{i}") for i in (1, 5, 10)])
     prf = M.subtoken_prf(M.subtoken_confusion(M.first_legal(preds)))
     # the subtoken scores are one-row aggregates: attach them as scalar subqueries
-    return wide.select("*", *[prf.select(c).scalar().alias(c) for c in ("precision", "recall", "f1", "n")])
+    one = prf.select(F.struct("precision", "recall", "f1", "n").alias("p")).scalar()
+    return wide.select("*", *[one[c].alias(c) for c in ("precision", "recall", "f1", "n")])
 
 
 @register("semantics_switch", with_fx(f"""

@@ -35,7 +35,10 @@ class Forward:
     @property
     def codes(self):
         if self._codes is None:
-            self._codes = MD.code_vectors(self.ctx, self.params)
+            # the code-vector table feeds scoring, decoding and attention: materialise it once
+            from ..operators.ranking import reliable_checkpoint
+
+            self._codes = reliable_checkpoint(MD.code_vectors(self.ctx, self.params))
         return self._codes
 
     def scored(self, k=K):
@@ -341,8 +344,6 @@ CROSS JOIN (SELECT round(precision, {R}) AS precision, round(recall, {R}) AS rec
 def q_evaluate(spark, sf_dir):
     """I13 (flagship): evaluation filter -> forward pass -> top-k -> top-k accuracy and subtoken P/R/F1."""
     preds = Forward(spark, sf_dir).preds()
-    acc = M.topk_accuracy(M.first_match_rank(preds), preds, K)
-    wide = acc.agg(*[F.round(F.max(F.when(F.col("k") == i, F.col("acc"))), R).alias(f"top{i}") for i in (1, 5, 10)])
-    prf = M.subtoken_prf(M.subtoken_confusion(M.first_legal(preds)))
-    return wide.select("*", *[F.round(prf.select(c).scalar(), R).alias(c) for c in ("precision", "recall", "f1")],
-                       prf.select("n").scalar().alias("n"))
+    ev = M.evaluate_predictions(preds, K)
+    return ev.select(*[F.round(F.get("topk_acc", i - 1), R).alias(f"top{i}") for i in (1, 5, 10)],
+                     *[F.round(c, R).alias(c) for c in ("precision", "recall", "f1")], "n")

@@ -121,13 +121,14 @@ def fx_nodes(spark: SparkSession, sf_dir: str, ctx: DataFrame | None = None) ->
     return roots.unionByName(names).unionByName(rest)
 
 
-def fx_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_preds(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """FX4: ten ranked suggestions per part, without a model.
 
     Rank 3 is the OOV word, rank 5 an illegal name; the rest are names of
-    other parts picked by a key formula (equi-join, no cross join).
+    other parts picked by a key formula (equi-join, no cross join). ``p``
+    may be a slice of the part table (a micro-batch of a stream).
     """
-    p = table(spark, sf_dir, "part", "p_partkey", "p_name")
+    p = p if p is not None else table(spark, sf_dir, "part", "p_partkey", "p_name")
     q = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select(
         F.col("p_partkey").alias("q_partkey"), F.col("p_name").alias("q_name"), F.col("p_brand").alias("q_brand"))
     n = table(spark, sf_dir, "part", "p_partkey").agg(F.count(F.lit(1))).scalar()
