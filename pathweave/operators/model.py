@@ -174,3 +174,20 @@ def attention_topk(per_ctx: DataFrame, k: int) -> DataFrame:
     reporting precision, ties by the triple, so the order is engine-independent)."""
     w = Window.partitionBy("ex").orderBy(F.round("weight", ROUND).desc(), "src", "path", "dst")
     return per_ctx.withColumn("arank", F.row_number().over(w)).filter(F.col("arank") <= k)
+
+
+def encode_lines(lines: DataFrame, token_vocab: DataFrame, path_vocab: DataFrame, target_vocab: DataFrame,
+                 settings: Settings) -> DataFrame:
+    """A5 + B2 + C1 for example lines (ex, line): parse, split contexts (missing
+    parts -> PAD word), look every part up. Nothing is filtered (predict path)."""
+    from ..sources.lines import parse_example, split_contexts
+    from .vocab import lookup
+
+    s = settings
+    c = split_contexts(parse_example(lines), s.token_specials.pad).withColumnRenamed("i", "pos")
+    t = lookup(c, "src", token_vocab, "src_idx", s.token_specials.oov_idx, s.word_vocab_size, s)
+    t = lookup(t, "path", path_vocab, "path_idx", s.path_specials.oov_idx, s.path_vocab_size, s)
+    t = lookup(t, "dst", token_vocab, "dst_idx", s.token_specials.oov_idx, s.word_vocab_size, s)
+    t = lookup(t, "target", target_vocab, "target_idx", s.target_specials.oov_idx, s.target_vocab_size, s)
+    tp, pp = s.token_specials.pad_idx, s.path_specials.pad_idx
+    return t.withColumn("valid", (F.col("src_idx") != tp) | (F.col("path_idx") != pp) | (F.col("dst_idx") != tp))
