@@ -180,3 +180,144 @@ def tree_contexts(nodes: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_P
     path = java_path_string()
     return p.select("tree_id", "l_ord", "r_ord", "src",
                     (maybe_hash_path(path, no_hash) if not no_hash else path).alias("path"), "dst")
+
+
+# ---------------------------------------------------------------------------
+# C#-style extraction: variables (names) and their leaves, ordered pairs of
+# variables, limits on the token parents (length, |width| < W).
+# ---------------------------------------------------------------------------
+
+CS_CHILD_ID_PARENTS = ("SimpleAssignmentExpression", "ElementAccessExpression", "SimpleMemberAccessExpression",
+                       "InvocationExpression", "BracketedArgumentList", "ArgumentList")
+
+
+def check_limits(length: int, width: int) -> None:
+    """Both limits must be positive (checked before any plan is built)."""
+    if length < 1 or width < 1:
+        raise ValueError("Width and Length params must be positive.")
+
+
+def cs_leaves(chains: DataFrame, unit_kind: str, identifier_kinds: tuple[str, ...], literal_kinds: tuple[str, ...],
+              declaration_parents: tuple[str, ...], name_kind: str = "NameExpr") -> DataFrame:
+    """Leaf record -- kind, text, constant flag, variable name
+    (the unit's own name token becomes METHOD_NAME), document ordinal."""
+    lv = leaf_ordinals(leaves(chains).filter(F.col("kind").isin(*identifier_kinds, *literal_kinds)))
+    parent_kind = F.get("up", 0)["kind"]
+    is_method_name = (F.col("kind") == name_kind) & (parent_kind == unit_kind)
+    return lv.withColumns({
+        "var": F.when(is_method_name, F.lit(METHOD_NAME)).otherwise(F.col("token")),
+        "is_const": ~(F.col("kind").isin(*identifier_kinds) & parent_kind.isin(*declaration_parents)),
+        "is_literal_kind": F.col("kind").isin(*literal_kinds),
+    })
+
+
+def variables(cs_lv: DataFrame) -> DataFrame:
+    """One row per (tree, name): first-seen ordinal, leaf count,
+    constant (no occurrence is a declaration), literal (first occurrence is a literal)."""
+    return cs_lv.groupBy("tree_id", "var").agg(
+        F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("n_leaves"),
+        F.bool_and("is_const").alias("is_const"),
+        F.min_by("is_literal_kind", "ord").alias("is_literal"))
+
+
+def variable_pairs(vars_: DataFrame, max_pairs: int | None, seed: int = 42) -> DataFrame:
+    """C5 (pair level) + G7 + F5: 2-combinations of names in first-seen order
+    plus each name with itself; at most ``max_pairs`` per tree in a seeded
+    random order (a bounded per-tree limit, planned as a partial top-k)."""
+    from pyspark.sql import Window
+
+    a = vars_.select("tree_id", F.col("var").alias("v1"), F.col("first_ord").alias("o1"))
+    b = vars_.select(F.col("tree_id").alias("t2"), F.col("var").alias("v2"), F.col("first_ord").alias("o2"))
+    # names of one tree: bounded by the tree's leaves, which B9 bounds
+    pairs = a.join(b, (a.tree_id == b.t2) & (a.o1 <= b.o2)).select(
+        "tree_id", "v1", "v2", "o1", "o2", (F.col("o1") == F.col("o2")).alias("is_self"))
+    if max_pairs is None:
+        return pairs
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree_id").cast("string"), "v1", "v2"))
+    w = Window.partitionBy("tree_id").orderBy(h)
+    return pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_pairs).drop("_r")
+
+
+def cs_leaf_pairs(chains: DataFrame, cs_lv: DataFrame, max_length: int = 7, max_width: int = 4) -> DataFrame:
+    """Ordered leaf pairs (lhs != rhs) whose token-parent path is within the
+    C# limits, with the LCA and the side steps. Width applies only when both
+    sides of the LCA are non-empty (steps >= 2)."""
+    check_limits(max_length, max_width)
+    s = _sides(cs_lv.withColumn("name", F.col("var")), max_length).drop("name")
+    cols = s.columns
+    L_ = s.select(*[F.col(c).alias(f"l_{c}") for c in cols])
+    R_ = s.select(*[F.col(c).alias(f"r_{c}") for c in cols])
+    deltas = [d for d in range(-(max_width - 1), max_width) if d != 0]
+    # (A) both sides non-empty: equi-join on the allowed child-index offsets
+    la = L_.filter(F.col("l_k") >= 2).withColumn("key", F.explode(F.array(*[F.col("l_ci") + d for d in deltas]))) \
+        if deltas else None
+    ra = R_.filter(F.col("r_k") >= 2)
+    parts = []
+    if la is not None:
+        parts.append(la.join(ra, (la.l_tree_id == ra.r_tree_id) & (la.l_a_id == ra.r_a_id) & (la.key == ra.r_ci))
+                     .drop("key"))
+    # (B) the left token's parent is the LCA; (C) the right one's
+    lb = L_.filter(F.col("l_k") == 1)
+    parts.append(lb.join(R_, (lb.l_tree_id == R_.r_tree_id) & (lb.l_a_id == R_.r_a_id) & (lb.l_ci != R_.r_ci)))
+    lc = L_.filter(F.col("l_k") >= 2)
+    rc = R_.filter(F.col("r_k") == 1)
+    parts.append(lc.join(rc, (lc.l_tree_id == rc.r_tree_id) & (lc.l_a_id == rc.r_a_id) & (lc.l_ci != rc.r_ci)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.filter(F.col("l_k") + F.col("r_k") <= max_length)
+    return out.select(F.col("l_tree_id").alias("tree_id"), F.col("l_leaf").alias("lhs"), F.col("r_leaf").alias("rhs"),
+                      F.col("l_a_id").alias("a_id"), F.col("l_k").alias("kl"), F.col("r_k").alias("kr"),
+                      F.col("l_full").alias("lf"), F.col("r_full").alias("rf"))
+
+
+def pair_count_small(vars_: DataFrame, max_pairs: int) -> DataFrame:
+    """Trees whose number of variable pairs (combinations + self pairs) fits the sample size."""
+    n = vars_.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_vars"))
+    return n.withColumn("small", F.col("n_vars") * (F.col("n_vars") + 1) / 2 <= max_pairs)
+
+
+def cs_contexts(pairs: DataFrame, cs_lv: DataFrame, vars_: DataFrame, max_pairs: int | None,
+                seed: int = 42) -> DataFrame:
+    """Orient leaf pairs by the variable order (earlier-seen name
+    on the left; a name with itself both ways, never a token with itself) and
+    keep the sampled variable pairs only.
+
+    The variable-pair table is generated only for trees with more pairs than
+    the sample size; every other tree keeps all its pairs, which is exact."""
+    v = cs_lv.join(vars_.select("tree_id", "var", "first_ord"), ["tree_id", "var"]).select(
+        F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), "var", "first_ord")
+    p = pairs.join(v.withColumnRenamed("var", "lvar").withColumnRenamed("first_ord", "lo"),
+                   (pairs.tree_id == F.col("_t")) & (pairs.lhs == F.col("_n"))).drop("_t", "_n")
+    p = p.join(v.withColumnRenamed("var", "rvar").withColumnRenamed("first_ord", "ro"),
+               (p.tree_id == F.col("_t")) & (p.rhs == F.col("_n"))).drop("_t", "_n")
+    p = p.filter(F.col("lo") <= F.col("ro")).withColumn("is_self", F.col("lo") == F.col("ro"))
+    if max_pairs is None:
+        return p
+    size = pair_count_small(vars_, max_pairs)
+    p = p.join(size.select("tree_id", "small"), "tree_id")
+    small = p.filter("small")
+    big_vars = vars_.join(size.filter(~F.col("small")).select("tree_id"), "tree_id", "left_semi")
+    sampled = variable_pairs(big_vars, max_pairs, seed).select(F.col("tree_id").alias("_t"), "v1", "v2")
+    big = p.filter(~F.col("small")).join(
+        sampled, (F.col("tree_id") == F.col("_t")) & (F.col("lvar") == F.col("v1")) & (F.col("rvar") == F.col("v2")),
+        "left_semi")
+    return small.unionByName(big).drop("small")
+
+
+def cs_path_string(child_id_cap: int = 3, child_id_parents: tuple[str, ...] = CS_CHILD_ID_PARENTS) -> Column:
+    """``Kind[id]^Kind...^Ancestor_Kind[id]..._Kind``; a node carries its
+    (capped) child index when its parent's kind is in the set."""
+    kinds = F.array(*[F.lit(k) for k in child_id_parents])
+
+    def piece(chain: str, i) -> Column:
+        node, parent = F.get(chain, i), F.get(chain, i + 1)
+        cid = F.when(F.array_contains(kinds, F.coalesce(parent["kind"], F.lit(""))),
+                     F.least(node["child_idx"], F.lit(child_id_cap)).cast("string")).otherwise(F.lit(""))
+        return F.concat(node["kind"], cid)
+
+    left = F.transform(F.sequence(F.lit(1), F.col("kl") - 1), lambda i: piece("lf", i))
+    right = F.transform(F.sequence(F.col("kr") - 1, F.lit(1), F.lit(-1)), lambda i: piece("rf", i))
+    left_txt = F.when(F.col("kl") >= 2, F.concat(F.array_join(left, "^"), F.lit("^"))).otherwise(F.lit(""))
+    right_txt = F.when(F.col("kr") >= 2, F.concat(F.lit("_"), F.array_join(right, "_"))).otherwise(F.lit(""))
+    return F.concat(left_txt, F.get("lf", F.col("kl"))["kind"], right_txt)

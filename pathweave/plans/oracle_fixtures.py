@@ -276,3 +276,37 @@ _stage("mpreds", """
 SELECT k.ex, e.target AS original, k.rank, coalesce(v.word, '<PAD_OR_OOV>') AS word, k.score
 FROM topk k LEFT JOIN tgt_vocab v ON k.idx = v.idx JOIN (SELECT DISTINCT ex, target FROM enc_test) e ON k.ex = e.ex
 """, "topk", "tgt_vocab", "enc_test")
+
+
+# ---- C#-style stages: identifiers Word / NameExpr, literals Flag / Status,
+# declarations under the unit root; length 7, width 4, 100 variable pairs ---
+_stage("cslv", """
+SELECT l.tree_id, l.node_id, l.kind, l.token, l.kinds, l.cis, l.ids, l.ord,
+  CASE WHEN l.kind = 'NameExpr' AND l.kinds[2] = 'Order' THEN 'METHOD_NAME' ELSE l.token END AS var,
+  NOT (l.kind IN ('Word', 'NameExpr') AND l.kinds[2] IN ('Order')) AS is_const,
+  l.kind IN ('Flag', 'Status') AS is_literal_kind
+FROM lv l WHERE l.kind IN ('Word', 'NameExpr', 'Flag', 'Status')
+""", "lv")
+_stage("csvars", """
+SELECT tree_id, var, cast(min(ord) AS int) AS first_ord, cast(count(*) AS bigint) AS n_leaves,
+       bool_and(is_const) AS is_const, arg_min(is_literal_kind, ord) AS is_literal
+FROM cslv GROUP BY tree_id, var
+""", "cslv")
+_stage("csvpairs", """
+SELECT * FROM (
+  SELECT a.tree_id, a.var AS v1, b.var AS v2, a.first_ord = b.first_ord AS is_self,
+         row_number() OVER (PARTITION BY a.tree_id ORDER BY md5('42|' || cast(a.tree_id AS varchar) || '|' || a.var || '|' || b.var)) AS rn
+  FROM csvars a JOIN csvars b ON a.tree_id = b.tree_id AND a.first_ord <= b.first_ord) WHERE rn <= 100
+""", "csvars")
+_stage("cspairs", """
+SELECT p.*, kinds_l[kl + 1] AS a_kind FROM (
+  SELECT *, list_position(ids_r, ids_l[kl + 1]) - 1 AS kr FROM (
+    SELECT a.tree_id, a.node_id AS lhs, b.node_id AS rhs, a.var AS lvar, b.var AS rvar, a.token AS ltok, b.token AS rtok,
+           a.kinds AS kinds_l, a.cis AS cis_l, a.ids AS ids_l, b.kinds AS kinds_r, b.cis AS cis_r, b.ids AS ids_r,
+           list_min(list_filter(range(1, len(a.ids)), lambda i: list_contains(b.ids, a.ids[i + 1]))) AS kl
+    FROM cslv a JOIN cslv b ON a.tree_id = b.tree_id AND a.node_id <> b.node_id)) p
+JOIN csvars x ON x.tree_id = p.tree_id AND x.var = p.lvar
+JOIN csvars y ON y.tree_id = p.tree_id AND y.var = p.rvar
+JOIN csvpairs v ON v.tree_id = p.tree_id AND v.v1 = p.lvar AND v.v2 = p.rvar
+WHERE kl + kr <= 7 AND (kl = 1 OR kr = 1 OR abs(cis_r[kr] - cis_l[kl]) < 4) AND x.first_ord <= y.first_ord
+""", "cslv", "csvars", "csvpairs")
