@@ -67,3 +67,16 @@ def maybe_broadcast(df: DataFrame, max_rows: int, row_bytes: int, limit_bytes: i
     still switch to broadcast when the runtime size turns out small).
     """
     return F.broadcast(df) if max_rows * row_bytes <= limit_bytes else df
+
+
+def number_within_skew_safe(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rn") -> DataFrame:
+    """1-based row number inside each group without putting a group in one task.
+
+    Rows get their global position in (keys, order); each group's first
+    position comes from a grouped min (partial aggregation, so a hot key
+    is pre-reduced on the map side); the join back has one row per key on
+    the small side, which AQE's skew-join handling splits when a key is hot.
+    """
+    g = global_index(df, [*keys, *order], name="_g")
+    starts = g.groupBy(*keys).agg(F.min("_g").alias("_g0"))
+    return g.join(starts, keys).withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("long")).drop("_g", "_g0")
