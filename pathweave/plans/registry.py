@@ -27,4 +27,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import q_core, q_dataset, q_metrics, q_model, q_scalars, q_series, q_similarity, q_sources, q_stream, q_trees, q_trees_cs  # noqa: F401
+    from . import q_core, q_dataset, q_metrics, q_model, q_scalars, q_series, q_similarity, q_sources, q_stream, q_train, q_trees, q_trees_cs  # noqa: F401
