@@ -529,3 +529,20 @@ def q_unique_in_order(spark, sf_dir):
     w = fx.fx_words(spark, sf_dir)
     return w.groupBy("doc_id", "w").agg(
         F.min(F.col("line_no").cast("long") * 100000 + F.col("pos")).alias("first_seen"))
+
+
+@register("extractor_contract", with_fx(f"""
+SELECT ex, cast(pos AS int) AS pos, src, cast({S.h8('path')} AS varchar) AS path, dst FROM fx_ctx
+""", "fx_ctx"))
+def q_extractor_contract(spark, sf_dir):
+    """K1: any extractor plugs in by producing example rows (id, target,
+    contexts array<struct<src, path, dst>>); here the text lines of A20 are
+    turned into that row form and validated, then unnested to the long form."""
+    from ..sources.bags import to_long, validate_bags
+
+    p = L.parse_example(L.emit_example_lines(fx.fx_ctx(spark, sf_dir)))
+    parts = F.transform("contexts", lambda c: F.split(c, ",", -1))
+    bags = p.select(F.col("ex").alias("example_id"), "target",
+                    F.transform(parts, lambda q: F.struct(q[0].alias("src"), q[1].alias("path"), q[2].alias("dst")))
+                    .alias("contexts"))
+    return to_long(validate_bags(bags)).select(F.col("example_id").alias("ex"), "pos", "src", "path", "dst")
