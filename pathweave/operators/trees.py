@@ -67,29 +67,26 @@ def ancestor_chains(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
                                    F.col("child_idx").cast("int").alias("child_idx")).alias("_me"),
                           F.col("parent_id").alias("_pp"))
     base = nodes.alias("c").join(parent, (F.col("c.tree_id") == parent._t) & (F.col("c.parent_id") == parent._n), "left")
+    keep = [F.col(f"c.{c}").alias(c) for c in nodes.columns]
     cur = base.select(
-        F.col("c.tree_id").alias("tree_id"), F.col("c.node_id").alias("node_id"),
+        *keep,
         F.when(F.col("_me").isNotNull(), F.array(F.col("_me"))).otherwise(F.array().cast(f"array<{NODE}>")).alias("up"),
-        F.col("_pp").alias("top_parent"),  # parent of the last chain element (NULL = chain reaches the root)
-        F.col("_n").isNull().alias("done"))
-    cur = cur.withColumn("done", F.col("done") | F.col("top_parent").isNull())
+        (F.col("_n").isNull() | F.col("_pp").isNull()).alias("done"))
     cur = reliable_checkpoint(cur)
     for _ in range(max_rounds):
         if cur.filter(~F.col("done")).limit(1).count() == 0:
             break
         other = cur.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"),
-                           F.col("top_parent").alias("_tp"), F.col("done").alias("_d"))
+                           F.col("done").alias("_d"))
         # jump to the last element of my chain and append its chain
         last = F.get("up", F.size("up") - 1)["node_id"]
         j = cur.join(other, (cur.tree_id == other._t) & (last == other._n) & ~cur.done, "left")
         cur = j.select(
-            "tree_id", "node_id",
+            *nodes.columns,
             F.when(F.col("_n").isNotNull(), F.concat("up", "_up")).otherwise(F.col("up")).alias("up"),
-            F.when(F.col("_n").isNotNull(), F.col("_tp")).otherwise(F.col("top_parent")).alias("top_parent"),
             F.when(F.col("_n").isNotNull(), F.col("_d")).otherwise(F.col("done")).alias("done"))
         cur = reliable_checkpoint(cur)
-    out = nodes.join(cur.select("tree_id", "node_id", "up"), ["tree_id", "node_id"])
-    return out.withColumn("depth", F.size("up").cast("int")).withColumn("me", me)
+    return cur.drop("done").withColumn("depth", F.size("up").cast("int")).withColumn("me", me)
 
 
 def leaf_names(chains: DataFrame, unit_kind: str, name_kind: str = "NameExpr") -> Column:
@@ -119,16 +116,55 @@ def _sides(lv: DataFrame, max_length: int) -> DataFrame:
                     F.get("full", F.col("p"))["child_idx"].alias("ci"))
 
 
+def _cid(node: Column, cap: int | None) -> Column:
+    c = node["child_idx"]
+    return (F.least(c, F.lit(cap)) if cap is not None else c).cast("string")
+
+
+def java_path_pieces(child_id_cap: int | None = None,
+                     child_id_parents: tuple[str, ...] = JAVA_CHILD_ID_PARENTS) -> dict[str, Column]:
+    """H10 pieces computed on one side row (chain ``full``, steps ``k``):
+
+    * up: ``(Type[id])^`` from the leaf to just below the ancestor -- the id
+      for the first node or when the *parent's* kind is in the set;
+    * common: ``(Type[id])`` of the ancestor, id when its parent's kind is in the set;
+    * down: ``_(Type[id])`` from just below the ancestor to the leaf -- the id
+      for the last node or when the node's *own* kind is in the set.
+    """
+    kinds = F.array(*[F.lit(k) for k in child_id_parents])
+    up = F.transform(
+        F.sequence(F.lit(0), F.col("k") - 1),
+        lambda i: F.concat(F.lit("("), F.get("full", i)["kind"],
+                           F.when((i == 0) | F.array_contains(kinds, F.get("full", i + 1)["kind"]),
+                                  _cid(F.get("full", i), child_id_cap)).otherwise(F.lit("")), F.lit(")^")))
+    common_node = F.get("full", F.col("k"))
+    common_parent_kind = F.coalesce(F.get("full", F.col("k") + 1)["kind"], F.lit(""))
+    common = F.concat(F.lit("("), common_node["kind"],
+                      F.when(F.array_contains(kinds, common_parent_kind), _cid(common_node, child_id_cap))
+                      .otherwise(F.lit("")), F.lit(")"))
+    down = F.transform(
+        F.sequence(F.col("k") - 1, F.lit(0), F.lit(-1)),
+        lambda i: F.concat(F.lit("_("), F.get("full", i)["kind"],
+                           F.when((i == 0) | F.array_contains(kinds, F.get("full", i)["kind"]),
+                                  _cid(F.get("full", i), child_id_cap)).otherwise(F.lit("")), F.lit(")")))
+    return {"up": F.concat(F.array_join(up, ""), common), "down": F.array_join(down, "")}
+
+
 def leaf_pairs(chains: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PATH_LENGTH,
-               max_width: int = JAVA_MAX_PATH_WIDTH) -> DataFrame:
-    """C4 + C6 + B12 + B13 (Java rules): pairs (l before r) within the limits,
-    with their LCA ``a_id``, steps ``kl``/``kr`` and width ``ci_r - ci_l``."""
+               max_width: int = JAVA_MAX_PATH_WIDTH, child_id_cap: int | None = None) -> DataFrame:
+    """C4 + C6 + B12 + B13 + H10 (Java rules): pairs (l before r) within the
+    limits, with their LCA ``a_id``, steps ``kl``/``kr``, width ``ci_r - ci_l``
+    and the readable ``path``. The path pieces are built on the side rows,
+    so only short strings travel through the join."""
     lv = leaves(chains)
     lv = leaf_ordinals(lv).withColumn("name", leaf_names(lv, unit_kind))
     s = _sides(lv, max_length)
-    left = s.select(*[F.col(c).alias(f"l_{c}") for c in s.columns],
+    pieces = java_path_pieces(child_id_cap)
+    s = s.select("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", pieces["up"].alias("up"),
+                 pieces["down"].alias("down"))
+    left = s.select(*[F.col(c).alias(f"l_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "up")],
                     F.explode(F.sequence(F.col("ci") + 1, F.col("ci") + max_width)).alias("key"))
-    right = s.select(*[F.col(c).alias(f"r_{c}") for c in s.columns])
+    right = s.select(*[F.col(c).alias(f"r_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "down")])
     j = left.join(right, (left.l_tree_id == right.r_tree_id) & (left.l_a_id == right.r_a_id)
                   & (left.key == right.r_ci))
     j = j.filter(F.col("l_k") + F.col("r_k") <= max_length)
@@ -137,39 +173,17 @@ def leaf_pairs(chains: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PAT
                     F.col("l_a_id").alias("a_id"), F.col("l_k").alias("kl"), F.col("r_k").alias("kr"),
                     (F.col("r_ci") - F.col("l_ci")).alias("width"),
                     F.col("l_name").alias("src"), F.col("r_name").alias("dst"),
-                    F.col("l_full").alias("lf"), F.col("r_full").alias("rf"))
-
+                    F.concat("l_up", "r_down").alias("path"))
 
-def java_path_string(child_id_cap: int | None = None,
-                     child_id_parents: tuple[str, ...] = JAVA_CHILD_ID_PARENTS) -> Column:
-    """``(Type[id])^...(Common[id])_(Type[id])...`` from a pair row.
-
-    Going up, the id is shown for the first node or when the *parent's* kind
-    is in the set; the common node by its parent; going down, for the last
-    node or when the node's *own* kind is in the set.
-    """
-    kinds = F.array(*[F.lit(k) for k in child_id_parents])
 
-    def cid(node: Column) -> Column:
-        c = node["child_idx"]
-        return (F.least(c, F.lit(child_id_cap)) if child_id_cap is not None else c).cast("string")
+def hash_paths(df: DataFrame, col: str = "path", out: str = "path_hash") -> DataFrame:
+    """H8/H9 on a column with few distinct values: hash the distinct values
+    once and join them back (AQE broadcasts the small side when its runtime
+    size is under the threshold, sort-merge otherwise)."""
+    from ..functions.names import java_string_hash
 
-    up = F.transform(
-        F.sequence(F.lit(0), F.col("kl") - 1),
-        lambda i: F.concat(F.lit("("), F.get("lf", i)["kind"],
-                           F.when((i == 0) | F.array_contains(kinds, F.get("lf", i + 1)["kind"]),
-                                  cid(F.get("lf", i))).otherwise(F.lit("")), F.lit(")^")))
-    common_node = F.get("lf", F.col("kl"))
-    common_parent_kind = F.coalesce(F.get("lf", F.col("kl") + 1)["kind"], F.lit(""))
-    common = F.concat(F.lit("("), common_node["kind"],
-                      F.when(F.array_contains(kinds, common_parent_kind), cid(common_node)).otherwise(F.lit("")),
-                      F.lit(")"))
-    down = F.transform(
-        F.sequence(F.col("kr") - 1, F.lit(0), F.lit(-1)),
-        lambda i: F.concat(F.lit("_("), F.get("rf", i)["kind"],
-                           F.when((i == 0) | F.array_contains(kinds, F.get("rf", i)["kind"]),
-                                  cid(F.get("rf", i))).otherwise(F.lit("")), F.lit(")")))
-    return F.array_join(F.concat(up, F.array(common), down), "")
+    d = df.select(col).distinct().withColumn(out, java_string_hash(col).cast("string"))
+    return df.join(d, col)
 
 
 def tree_contexts(nodes: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PATH_LENGTH,
@@ -177,9 +191,9 @@ def tree_contexts(nodes: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_P
     """K6 / A20 input: (tree_id, l_ord, r_ord, src, path, dst) of every emitted pair."""
     chains = ancestor_chains(nodes)
     p = leaf_pairs(chains, unit_kind, max_length, max_width)
-    path = java_path_string()
-    return p.select("tree_id", "l_ord", "r_ord", "src",
-                    (maybe_hash_path(path, no_hash) if not no_hash else path).alias("path"), "dst")
+    if no_hash:
+        return p.select("tree_id", "l_ord", "r_ord", "src", "path", "dst")
+    return hash_paths(p).select("tree_id", "l_ord", "r_ord", "src", F.col("path_hash").alias("path"), "dst")
 
 
 # ---------------------------------------------------------------------------

@@ -126,7 +126,7 @@ def q_filter_path_width(spark, sf_dir):
 def q_path_string(spark, sf_dir):
     """Readable Java-style path of every emitted pair, with its end tokens."""
     p = _pairs(spark, sf_dir)
-    return p.select("tree_id", "l", "r", "src", T.java_path_string().alias("path"), "dst")
+    return p.select("tree_id", "l", "r", "src", "path", "dst")
 
 
 @register("mask_target_leaf", tq("SELECT tree_id, node_id, name FROM lv", "lv"))
@@ -164,9 +164,8 @@ FROM ({TARGET_SQL}) t JOIN tpairs p ON t.tree_id = p.tree_id GROUP BY t.tree_id,
 def q_tree_example_lines(spark, sf_dir):
     """A20 on trees: one `target src,hash,dst ...` line per unit, pairs in (i, j) order."""
     nodes = _nodes(spark, sf_dir)
-    p = _pairs(spark, sf_dir)
-    ctx = p.select("tree_id", "l_ord", "r_ord", F.concat_ws(",", "src", maybe_hash_path(T.java_path_string()), "dst")
-                   .alias("c"))
+    p = T.hash_paths(_pairs(spark, sf_dir))
+    ctx = p.select("tree_id", "l_ord", "r_ord", F.concat_ws(",", "src", "path_hash", "dst").alias("c"))
     g = ctx.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("l_ord", "r_ord", "c"))).alias("cs"))
     j = T.unit_targets(nodes, UNIT).join(g, "tree_id")
     return j.select("tree_id", F.concat("target", F.lit(" "), F.array_join(F.transform("cs", lambda x: x["c"]), " "))
