@@ -96,13 +96,13 @@ def leaf_names(chains: DataFrame, unit_kind: str, name_kind: str = "NameExpr") -
         truncate_label(normalize_name("token"), MAX_LABEL_LENGTH))
 
 
-def unit_targets(nodes: DataFrame, unit_kind: str, name_kind: str = "NameExpr") -> DataFrame:
-    """Target of each unit: subtokens of its name joined by '|', else the normalised name."""
-    roots = nodes.filter(F.col("kind") == unit_kind).select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_r"))
-    names = nodes.filter(F.col("kind") == name_kind)
-    j = names.join(roots, (names.tree_id == roots._t) & (names.parent_id == roots._r))
+def unit_targets(chains: DataFrame, unit_kind: str, name_kind: str = "NameExpr") -> DataFrame:
+    """Target of each unit: subtokens of its name joined by '|', else the
+    normalised name (the name node is the one whose parent is the unit root;
+    the parent's kind is the first element of the chain, so no join)."""
+    names = chains.filter((F.col("kind") == name_kind) & (F.get("up", 0)["kind"] == unit_kind))
     sub = F.array_join(split_subtokens("token"), "|")
-    return j.select("tree_id", F.when(F.length(sub) > 0, sub).otherwise(normalize_name("token")).alias("target"))
+    return names.select("tree_id", F.when(F.length(sub) > 0, sub).otherwise(normalize_name("token")).alias("target"))
 
 
 def _sides(lv: DataFrame, max_length: int) -> DataFrame:

@@ -31,7 +31,10 @@ def tq(sql: str, *names: str, extra=None) -> str:
 
 
 def _nodes(spark, sf_dir):
-    return fx.fx_nodes(spark, sf_dir)
+    # the node table feeds both sides of the chain joins: materialise it once
+    from ..operators.ranking import reliable_checkpoint
+
+    return reliable_checkpoint(fx.fx_nodes(spark, sf_dir))
 
 
 def _pairs(spark, sf_dir):
@@ -151,9 +154,9 @@ FROM ({TARGET_SQL}) t JOIN tpairs p ON t.tree_id = p.tree_id GROUP BY t.tree_id,
 """, "tpairs", "fx_nodes"))
 def q_drop_unit_without_paths(spark, sf_dir):
     """Units with at least one surviving path (Java drops the others)."""
-    nodes = _nodes(spark, sf_dir)
-    p = _pairs(spark, sf_dir).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_contexts"))
-    return T.unit_targets(nodes, UNIT).join(p, "tree_id")
+    chains = T.ancestor_chains(_nodes(spark, sf_dir))
+    p = T.leaf_pairs(chains, UNIT, LMAX, WMAX).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_contexts"))
+    return T.unit_targets(chains, UNIT).join(p, "tree_id")
 
 
 @register("tree_example_lines", tq(f"""
@@ -163,11 +166,11 @@ FROM ({TARGET_SQL}) t JOIN tpairs p ON t.tree_id = p.tree_id GROUP BY t.tree_id,
 """, "tpairs", "fx_nodes"))
 def q_tree_example_lines(spark, sf_dir):
     """A20 on trees: one `target src,hash,dst ...` line per unit, pairs in (i, j) order."""
-    nodes = _nodes(spark, sf_dir)
-    p = T.hash_paths(_pairs(spark, sf_dir))
+    chains = T.ancestor_chains(_nodes(spark, sf_dir))
+    p = T.hash_paths(T.leaf_pairs(chains, UNIT, LMAX, WMAX))
     ctx = p.select("tree_id", "l_ord", "r_ord", F.concat_ws(",", "src", "path_hash", "dst").alias("c"))
     g = ctx.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("l_ord", "r_ord", "c"))).alias("cs"))
-    j = T.unit_targets(nodes, UNIT).join(g, "tree_id")
+    j = T.unit_targets(chains, UNIT).join(g, "tree_id")
     return j.select("tree_id", F.concat("target", F.lit(" "), F.array_join(F.transform("cs", lambda x: x["c"]), " "))
                     .alias("line"))
 
