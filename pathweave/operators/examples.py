@@ -25,38 +25,42 @@ def context_tiers(ctx: DataFrame, word_counts: DataFrame, path_counts: DataFrame
         "tier", F.when(full, 1).when(partial, 2).otherwise(3))
 
 
-def sample_flags(tiered: DataFrame, settings: Settings) -> DataFrame:
-    """flag the contexts kept by the sampling, with their new position.
-
-    Bags of at most ``max_contexts`` keep everything in order. Larger bags
-    keep full-found contexts first and top up with partial-found ones, each
-    tier in a seeded random order; contexts with no known part are dropped.
-    Both windows share one partitioning by example, which the fixture's own
-    numbering already produced.
-    """
+def bag_sizes(tiered: DataFrame, settings: Settings) -> DataFrame:
+    """Per bag: contexts before sampling ``n``, known ones ``n12`` (tier 1 or 2),
+    and kept after sampling ``k`` -- a grouped count with map-side combine,
+    so a huge bag never sits in one task."""
     m = settings.max_contexts
-    by_ex = Window.partitionBy("ex")
-    ranked = tiered.withColumn("n", F.count(F.lit(1)).over(by_ex)).withColumn(
-        "rn", F.row_number().over(by_ex.orderBy("tier", seeded_hash(settings.seed, "ex", "pos"))))
-    keep = (F.col("n") <= m) | ((F.col("tier") < 3) & (F.col("rn") <= m))
-    return ranked.withColumn("keep", keep).withColumn(
-        "spos", F.when(F.col("n") <= m, F.col("pos")).otherwise(F.col("rn")).cast("int"))
+    g = tiered.groupBy("role", "ex").agg(F.count(F.lit(1)).alias("n"),
+                                         F.sum((F.col("tier") < 3).cast("long")).alias("n12"))
+    return g.withColumn("k", F.when(F.col("n") <= m, F.col("n")).otherwise(F.least(F.lit(m), F.col("n12"))))
+
 
+def sample_contexts(tiered: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
+    """bags of at most ``max_contexts`` keep everything in order; larger
+    bags keep full-found contexts first and top up with partial-found ones,
+    each tier in a seeded random order (contexts with no known part go).
 
-def sampled_contexts(flags: DataFrame) -> DataFrame:
-    """Kept contexts only, renumbered."""
-    return flags.filter("keep").drop("pos").withColumnRenamed("spos", "pos")
+    The large-bag branch is ``row_number() <= max`` over (tier, seeded hash):
+    planned as a partial WindowGroupLimit, each map task forwards at most
+    ``max`` rows of a bag, so a hot bag is cut down before the shuffle."""
+    m = settings.max_contexts
+    s = sizes.select("ex", (F.col("n") <= m).alias("small"))
+    t = tiered.join(s, "ex")
+    small = t.filter("small").drop("small")
+    big = t.filter(~F.col("small") & (F.col("tier") < 3)).drop("small")
+    w = Window.partitionBy("ex").orderBy("tier", seeded_hash(settings.seed, "ex", "pos"))
+    big = big.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= m)
+    big = big.withColumn("pos", F.col("rn").cast("int")).drop("rn")
+    return small.unionByName(big)
 
 
-def dataset_stats(flags: DataFrame) -> DataFrame:
+def dataset_stats(sizes: DataFrame) -> DataFrame:
     """Per role, kept and empty examples, context sums, means over kept rows, max bag.
 
     B5 (drop empty examples) is the ``k = 0`` case here.
     """
-    per_ex = flags.groupBy("role", "ex").agg(
-        F.max("n").alias("n"), F.sum(F.col("keep").cast("long")).alias("k"))
     kept = F.col("k") > 0
-    s = per_ex.groupBy("role").agg(
+    s = sizes.groupBy("role").agg(
         F.sum(kept.cast("long")).alias("total"),
         F.sum((~kept).cast("long")).alias("empty"),
         F.sum("n").cast("long").alias("sum_total"),

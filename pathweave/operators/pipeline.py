@@ -88,13 +88,15 @@ class Build:
         return examples.context_tiers(self.ctx, self.token_counts, self.path_counts, self.settings)
 
     @cached_property
-    def flags(self) -> DataFrame:
-        return examples.sample_flags(self.tiered, self.settings)
+    def sizes(self) -> DataFrame:
+        """(role, ex, n, n12, k): bag sizes before and after sampling."""
+        return examples.bag_sizes(self.tiered, self.settings)
 
     @cached_property
     def sampled(self) -> DataFrame:
         """Kept contexts: ex, role, target, src, path, dst, pos (new)."""
-        return examples.sampled_contexts(self.flags).select("ex", "role", "grp", "target", "src", "path", "dst", "pos")
+        return examples.sample_contexts(self.tiered, self.sizes, self.settings).select(
+            "ex", "role", "grp", "target", "src", "path", "dst", "pos")
 
     @cached_property
     def encoded(self) -> DataFrame:

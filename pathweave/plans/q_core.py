@@ -22,4 +22,4 @@ FROM (SELECT role, cast(sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS bigint) AS tot
 """, "flags"))
 def dataset_stats(spark, sf_dir):
     """D4 over the whole build (the flagship of the dataset stage)."""
-    return examples.dataset_stats(Build(spark, sf_dir).flags)
+    return examples.dataset_stats(Build(spark, sf_dir).sizes)

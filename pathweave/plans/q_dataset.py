@@ -158,8 +158,7 @@ SELECT ex, role FROM flags GROUP BY ex, role HAVING sum(CASE WHEN keep THEN 1 EL
 """, "flags"))
 def q_drop_empty_examples(spark, sf_dir):
     """Examples left with no context after sampling."""
-    f = Build(spark, sf_dir).flags
-    return f.groupBy("ex", "role").agg(F.sum(F.col("keep").cast("int")).alias("k")).filter("k = 0").select("ex", "role")
+    return Build(spark, sf_dir).sizes.filter("k = 0").select("ex", "role")
 
 
 @register("truncate_contexts", with_fx(f"SELECT ex, pos, src, path, dst FROM fx_ctx WHERE pos <= {MAXC}", "fx_ctx"))
@@ -459,8 +458,7 @@ def q_save_load_freq(spark, sf_dir):
     freq = (b.token_counts.select(F.lit("token").alias("vocab"), "word", "cnt")
             .unionByName(b.path_counts.select(F.lit("path").alias("vocab"), "word", "cnt"))
             .unionByName(b.target_counts.select(F.lit("target").alias("vocab"), "word", "cnt")))
-    n_train = (b.flags.filter(F.col("role") == "train").groupBy("ex").agg(F.sum(F.col("keep").cast("int")).alias("k"))
-               .filter("k > 0").agg(F.count(F.lit(1)).alias("cnt"))
+    n_train = (b.sizes.filter((F.col("role") == "train") & (F.col("k") > 0)).agg(F.count(F.lit(1)).alias("cnt"))
                .select(F.lit("meta").alias("vocab"), F.lit("n_train_examples").alias("word"), "cnt"))
     out = L.scratch_path(spark, "freq")
     freq.write.mode("overwrite").parquet(out + "/freq")
