@@ -157,7 +157,8 @@ def leaf_pairs(chains: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PAT
     and the readable ``path``. The path pieces are built on the side rows,
     so only short strings travel through the join."""
     lv = leaves(chains)
-    lv = leaf_ordinals(lv).withColumn("name", leaf_names(lv, unit_kind))
+    # both join sides (and any reuse of the pairs) start from the leaf rows: materialise them once
+    lv = reliable_checkpoint(leaf_ordinals(lv).withColumn("name", leaf_names(lv, unit_kind)))
     s = _sides(lv, max_length)
     pieces = java_path_pieces(child_id_cap)
     s = s.select("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", pieces["up"].alias("up"),
