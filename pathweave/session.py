@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str | None = None) -> SparkSession:
     """Session for tests and the bench (the cluster passes its own)."""
-    memory = memory or os.environ.get("PATHWEAVE_DRIVER_MEMORY", "16g")
+    memory = memory or os.environ.get("PATHWEAVE_DRIVER_MEMORY", "6g")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("pathweave")
