@@ -188,3 +188,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = new.select("node", "label")
         if done:
             return labels
+
+
+def side(df: DataFrame, rows: int) -> DataFrame:
+    """The table, marked for broadcast if it has at most so many (short) rows, as counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
