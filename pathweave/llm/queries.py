@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, decontaminate, language_id, licences, line_dedup, mixing, quotations, token_counts
+from . import ball_tree, decontaminate, jaccard_join, language_id, licences, line_dedup, mixing, quotations, token_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.dedup_lines(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")))
     kept = F.coalesce("text", F.lit(""))
     return got.select("doc_id", "n_lines", F.col("__n_removed").alias("n_removed"), F.length(kept).cast("long").alias("kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
