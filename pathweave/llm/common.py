@@ -193,3 +193,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def side(df: DataFrame, rows: int) -> DataFrame:
     """The table, marked for broadcast if it has at most so many (short) rows, as counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged result that later stages have consumed."""
+    spark = staged.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
