@@ -51,6 +51,13 @@ def edges(n: np.ndarray | int, b: int):
     return n * b // BLOCKS, n * (b + 1) // BLOCKS
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ... modulo 2**64."""
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.cumprod(p)
+
+
 class Prefixes:
     """Hashes of substrings of many lines laid end to end."""
 
@@ -59,8 +66,9 @@ class Prefixes:
         self.at = np.concatenate([[0], np.cumsum(self.len)])
         code = mix(np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(9))
         n = len(code)
-        self.back = np.cumprod(np.concatenate([[1], np.full(n, BACK, np.uint64)]).astype(np.uint64))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * np.cumprod(np.concatenate([[1], np.full(max(0, n - 1), BASE, np.uint64)]).astype(np.uint64))[:n])])
+        self.back = powers(BACK, n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(code * powers(BASE, n), out=self.sums[1:])
 
     def of(self, a, b) -> np.ndarray:
         """Hash of the characters [a, b), positions over all lines; concatenations are
