@@ -227,7 +227,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         members = sa[places]
         group = rank[members]
         nxt = members + h
-        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], -1)
+        second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], n - 1 - nxt)  # of two that end, the shorter first
         order = np.lexsort((second, group))
         members, group, second = members[order], group[order], second[order]
         sa[places] = members
