@@ -104,11 +104,38 @@ def get_subtokens(x) -> Column:
 
 
 def java_string_hash(x) -> Column:
-    """H8: 31-polynomial over the characters, 32-bit wrap, signed (as Java's hashCode)."""
-    codes = F.transform(F.split(_c(x), "", -1), lambda ch: F.ascii(ch).cast("long"))
+    """H8: 31-polynomial over the UTF-16 units, 32-bit wrap, signed (as Java's hashCode)."""
+    return signed_int(hash_state(x)["h"])
+
+
+def signed_int(h) -> Column:
+    """An unsigned 32-bit number as int."""
+    return F.when(h >= F.lit(2147483648), h - F.lit(4294967296)).otherwise(h).cast("int")
+
+
+def hash_state(x) -> Column:
+    """struct(h, p): the unsigned hash of a text and 31 ** (its UTF-16 units) modulo 2**32."""
     mod = F.lit(4294967296)
-    h = F.aggregate(codes, F.lit(0).cast("long"), lambda acc, c: (acc * 31 + c) % mod)
-    return F.when(h >= F.lit(2147483648), h - mod).otherwise(h).cast("int")
+    codes = F.transform(F.split(_c(x), "", -1), lambda ch: F.ascii(ch).cast("long"))
+
+    def step(acc: Column, c: Column) -> Column:
+        pair = c > F.lit(65535)  # a character beyond the basic plane is two units
+        high, low = F.lit(55232) + F.shiftright(c, 10), F.lit(56320) + c % F.lit(1024)
+        h = F.when(pair, (acc["h"] * 31 + high) * 31 + low).otherwise(acc["h"] * 31 + c) % mod
+        # split("") of a text gives one empty piece only for the empty text; its code is 0 and it has no unit
+        p = F.when(pair, acc["p"] * 961).when(c == 0, acc["p"]).otherwise(acc["p"] * 31) % mod
+        return F.struct(h.alias("h"), p.alias("p"))
+
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("p"))
+    return F.aggregate(codes, start, step)
+
+
+def hash_of_concat(h_left, h_right, p_right) -> Column:
+    """The unsigned hash of a + b from hash(a), hash(b) and 31 ** length(b); the product
+    is taken in two halves so that it stays within 64 bits."""
+    mod, half = F.lit(4294967296), F.lit(65536)
+    high = (_c(h_left) * F.floor(_c(p_right) / half)) % mod
+    return (high * half + _c(h_left) * (_c(p_right) % half) + _c(h_right)) % mod
 
 
 def maybe_hash_path(path, no_hash: bool = False) -> Column:

@@ -107,7 +107,7 @@ def first_match_rank(preds: DataFrame, filters: Sequence[WordFilter] | None = No
 
 def topk_accuracy(matches: DataFrame, preds: DataFrame, k: int) -> DataFrame:
     """Cumulative top-k curve: share of all examples whose first match rank is < i, i = 1..k."""
-    hits = F.array(*[F.sum((F.col("match_rank") < i).cast("long")) for i in range(1, k + 1)])
+    hits = F.array(*[F.count_if(F.col("match_rank") < i) for i in range(1, k + 1)])
     a = matches.agg(hits.alias("h"))
     n = preds.select("ex").distinct().agg(F.count(F.lit(1))).scalar()
     return a.select(F.posexplode("h").alias("i", "c"), n.alias("n")).select(
@@ -117,7 +117,7 @@ def topk_accuracy(matches: DataFrame, preds: DataFrame, k: int) -> DataFrame:
 def topk_accuracy_by_index(preds: DataFrame, k: int) -> DataFrame:
     """Share of examples whose exact target is among the first i of the unfiltered list."""
     per = preds.groupBy("ex").agg(F.min(F.when(F.col("word") == F.col("original"), F.col("rank"))).alias("r"))
-    hits = F.array(*[F.sum((F.col("r") <= i).cast("long")) for i in range(1, k + 1)])
+    hits = F.array(*[F.count_if(F.col("r") <= i) for i in range(1, k + 1)])
     a = per.agg(hits.alias("h"), F.count(F.lit(1)).alias("n"))
     return a.select(F.posexplode("h").alias("i", "c"), "n").select(
         (F.col("i") + 1).cast("int").alias("k"), (F.col("c") / F.col("n")).alias("acc"))
@@ -165,7 +165,7 @@ def evaluate_predictions(preds: DataFrame, k: int, filters: Sequence[WordFilter]
     conf = subtoken_confusion(per)
     agg = conf.join(per.select("ex", "match_rank"), "ex").agg(
         F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum((F.col("match_rank") < i).cast("long")) for i in range(1, k + 1)]).alias("hits"),
+        F.array(*[F.count_if(F.col("match_rank") < i) for i in range(1, k + 1)]).alias("hits"),
         F.sum("tp").cast("long").alias("tp"), F.sum("fp").cast("long").alias("fp"), F.sum("fn").cast("long").alias("fn"))
     p = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
     r = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))

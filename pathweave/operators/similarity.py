@@ -55,13 +55,17 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int)
             V = np.vstack(list(pdf["vec"])).astype(np.float64)
             V = V / np.linalg.norm(V, axis=1, keepdims=True)
             S = V @ Q.T  # rows: words, cols: queries
+            S = np.round(S, 6)  # the order of results is (rounded similarity, word), here and in the last step
             words = pdf["word"].to_numpy()
             out_q, out_w, out_s = [], [], []
             for j in range(len(qids)):
                 s = S[:, j].copy()
-                mask = np.array([w in excl[j] for w in words])
-                s[mask] = -np.inf
-                top = np.argsort(-s, kind="stable")[:k]
+                s[np.isin(words, list(excl[j]))] = -np.inf
+                if len(s) > k:  # all that reach the kth value, then the words decide
+                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                else:
+                    near = np.arange(len(s))
+                top = near[np.lexsort((words[near], -s[near]))][:k]
                 top = top[np.isfinite(s[top])]
                 out_q.extend([qids[j]] * len(top))
                 out_w.extend(words[top])

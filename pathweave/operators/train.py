@@ -24,9 +24,9 @@ from .ranking import reliable_checkpoint
 PARAM_COLS = ["name", "row", "vec", "m", "v"]
 
 
-def _uniform(seed: int, name: str, row, d):
+def _uniform(seed: int, name: str, *parts):
     """Repeatable uniform [0, 1) from a 64-bit hash (no driver-side generator)."""
-    h = F.xxhash64(F.lit(seed), F.lit(name), row, d)
+    h = F.xxhash64(F.lit(seed), F.lit(name), *parts)
     return F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 

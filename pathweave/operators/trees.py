@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import JAVA_MAX_PATH_LENGTH, JAVA_MAX_PATH_WIDTH, MAX_LABEL_LENGTH, METHOD_NAME
-from ..functions.names import JAVA_CHILD_ID_PARENTS, maybe_hash_path, normalize_name, split_subtokens, truncate_label
+from ..functions.names import (JAVA_CHILD_ID_PARENTS, hash_of_concat, hash_state, maybe_hash_path, normalize_name,
+                               signed_int, split_subtokens, truncate_label)
 from .ranking import reliable_checkpoint
 
 NODE = "struct<node_id:string,kind:string,child_idx:int>"
@@ -86,6 +87,8 @@ def ancestor_chains(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
             F.when(F.col("_n").isNotNull(), F.concat("up", "_up")).otherwise(F.col("up")).alias("up"),
             F.when(F.col("_n").isNotNull(), F.col("_d")).otherwise(F.col("done")).alias("done"))
         cur = reliable_checkpoint(cur)
+    else:
+        raise ValueError("parents form a cycle, or chains are longer than 2 ** max_rounds")
     return cur.drop("done").withColumn("depth", F.size("up").cast("int")).withColumn("me", me)
 
 
@@ -163,9 +166,12 @@ def leaf_pairs(chains: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PAT
     pieces = java_path_pieces(child_id_cap)
     s = s.select("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", pieces["up"].alias("up"),
                  pieces["down"].alias("down"))
-    left = s.select(*[F.col(c).alias(f"l_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "up")],
+    # hashes of the pieces, so that a pair's hash needs two numbers of either side
+    s = s.withColumns({"hu": hash_state("up")["h"], "hd": hash_state("down")})
+    s = s.withColumns({"pd": F.col("hd")["p"], "hd": F.col("hd")["h"]})
+    left = s.select(*[F.col(c).alias(f"l_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "up", "hu")],
                     F.explode(F.sequence(F.col("ci") + 1, F.col("ci") + max_width)).alias("key"))
-    right = s.select(*[F.col(c).alias(f"r_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "down")])
+    right = s.select(*[F.col(c).alias(f"r_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "down", "hd", "pd")])
     j = left.join(right, (left.l_tree_id == right.r_tree_id) & (left.l_a_id == right.r_a_id)
                   & (left.key == right.r_ci))
     j = j.filter(F.col("l_k") + F.col("r_k") <= max_length)
@@ -174,17 +180,8 @@ def leaf_pairs(chains: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PAT
                     F.col("l_a_id").alias("a_id"), F.col("l_k").alias("kl"), F.col("r_k").alias("kr"),
                     (F.col("r_ci") - F.col("l_ci")).alias("width"),
                     F.col("l_name").alias("src"), F.col("r_name").alias("dst"),
-                    F.concat("l_up", "r_down").alias("path"))
-
-
-def hash_paths(df: DataFrame, col: str = "path", out: str = "path_hash") -> DataFrame:
-    """H8/H9 on a column with few distinct values: hash the distinct values
-    once and join them back (AQE broadcasts the small side when its runtime
-    size is under the threshold, sort-merge otherwise)."""
-    from ..functions.names import java_string_hash
-
-    d = df.select(col).distinct().withColumn(out, java_string_hash(col).cast("string"))
-    return df.join(d, col)
+                    F.concat("l_up", "r_down").alias("path"),
+                    signed_int(hash_of_concat("l_hu", "r_hd", "r_pd")).cast("string").alias("path_hash"))
 
 
 def tree_contexts(nodes: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PATH_LENGTH,
@@ -194,7 +191,7 @@ def tree_contexts(nodes: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_P
     p = leaf_pairs(chains, unit_kind, max_length, max_width)
     if no_hash:
         return p.select("tree_id", "l_ord", "r_ord", "src", "path", "dst")
-    return hash_paths(p).select("tree_id", "l_ord", "r_ord", "src", F.col("path_hash").alias("path"), "dst")
+    return p.select("tree_id", "l_ord", "r_ord", "src", F.col("path_hash").alias("path"), "dst")
 
 
 # ---------------------------------------------------------------------------
@@ -209,7 +206,7 @@ CS_CHILD_ID_PARENTS = ("SimpleAssignmentExpression", "ElementAccessExpression",
 def check_limits(length: int, width: int) -> None:
     """Both limits must be positive (checked before any plan is built)."""
     if length < 1 or width < 1:
-        raise ValueError("Width and Length params must be positive.")
+        raise ValueError(f"path limits below 1: length {length}, width {width}")
 
 
 def cs_leaves(chains: DataFrame, unit_kind: str, identifier_kinds: tuple[str, ...], literal_kinds: tuple[str, ...],

@@ -51,17 +51,17 @@ FROM (SELECT DISTINCT ex FROM fx_ctx) a
 UNION ALL
 SELECT ex, 'r/00', 'r', 0, 'NameExpr', target FROM (SELECT DISTINCT ex, target FROM fx_ctx) b
 UNION ALL
-SELECT ex, 'r/' || lpad(cast(pos AS varchar), 2, '0'), 'r', cast(pos AS int), 'Line', cast(NULL AS varchar) FROM fx_ctx
+SELECT ex, 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar), 'r', cast(pos AS int), 'Line', cast(NULL AS varchar) FROM fx_ctx
 UNION ALL
-SELECT ex, 'r/' || lpad(cast(pos AS varchar), 2, '0') || '/0', 'r/' || lpad(cast(pos AS varchar), 2, '0'), 0, 'Flag', split_part(split_part(path, '^', 2), '_', 1) FROM fx_ctx
+SELECT ex, 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar) || '/0', 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar), 0, 'Flag', split_part(split_part(path, '^', 2), '_', 1) FROM fx_ctx
 UNION ALL
-SELECT ex, 'r/' || lpad(cast(pos AS varchar), 2, '0') || '/1', 'r/' || lpad(cast(pos AS varchar), 2, '0'), 1, 'Status', split_part(path, '_', 2) FROM fx_ctx
+SELECT ex, 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar) || '/1', 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar), 1, 'Status', split_part(path, '_', 2) FROM fx_ctx
 UNION ALL
-SELECT ex, 'r/' || lpad(cast(pos AS varchar), 2, '0') || '/2', 'r/' || lpad(cast(pos AS varchar), 2, '0'), 2, 'Part', cast(NULL AS varchar) FROM fx_ctx
+SELECT ex, 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar) || '/2', 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar), 2, 'Part', cast(NULL AS varchar) FROM fx_ctx
 UNION ALL
-SELECT ex, 'r/' || lpad(cast(pos AS varchar), 2, '0') || '/2/0', 'r/' || lpad(cast(pos AS varchar), 2, '0') || '/2', 0, 'Word', src FROM fx_ctx
+SELECT ex, 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar) || '/2/0', 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar) || '/2', 0, 'Word', src FROM fx_ctx
 UNION ALL
-SELECT ex, 'r/' || lpad(cast(pos AS varchar), 2, '0') || '/2/1', 'r/' || lpad(cast(pos AS varchar), 2, '0') || '/2', 1, 'Word', dst FROM fx_ctx
+SELECT ex, 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar) || '/2/1', 'r/' || lpad(cast(length(cast(pos AS varchar)) AS varchar), 2, '0') || cast(pos AS varchar) || '/2', 1, 'Word', dst FROM fx_ctx
 """
 
 FX_SQL["fx_preds"] = """

@@ -520,13 +520,14 @@ def q_union_outputs(spark, sf_dir):
 
 
 @register("unique_in_order", with_fx("""
-SELECT doc_id, w, cast(min(line_no * 100000 + pos) AS bigint) AS first_seen FROM fx_words GROUP BY doc_id, w
+SELECT doc_id, w, cast(line_no AS int) AS first_line, cast(pos AS int) AS first_pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY line_no, pos) AS r FROM fx_words) WHERE r = 1
 """, "fx_words"))
 def q_unique_in_order(spark, sf_dir):
     """Distinct words of each document with their first-seen position (long form, no big arrays)."""
     w = fx.fx_words(spark, sf_dir)
-    return w.groupBy("doc_id", "w").agg(
-        F.min(F.col("line_no").cast("long") * 100000 + F.col("pos")).alias("first_seen"))
+    first = w.groupBy("doc_id", "w").agg(F.min(F.struct("line_no", "pos")).alias("at"))
+    return first.select("doc_id", "w", F.col("at.line_no").alias("first_line"), F.col("at.pos").alias("first_pos"))
 
 
 @register("extractor_contract", with_fx(f"""

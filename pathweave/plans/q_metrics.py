@@ -60,11 +60,11 @@ def q_skip_oov(spark, sf_dir):
 
 @register("prediction_filter_udf", with_fx("""
 SELECT ex, rank, word FROM fx_preds
-WHERE word <> '<PAD_OR_OOV>' AND regexp_full_match(word, '^[a-zA-Z|]+$') AND length(word) <= 24
+WHERE word <> '<PAD_OR_OOV>' AND regexp_full_match(word, '^[a-zA-Z|]+$') AND word <> original
 """, "fx_preds"))
 def q_prediction_filter(spark, sf_dir):
-    """K2: user predicates (here a length cap) AND-ed with the default ones."""
-    filters = M.default_filters() + [lambda w: F.length(w) <= 24]
+    """K2: user predicates (here: not the original name itself) AND-ed with the default ones."""
+    filters = M.default_filters() + [lambda w: w != F.col("original")]
     return _preds(spark, sf_dir).filter(M.legal_mask(F.col("word"), filters)).select("ex", "rank", "word")
 
 
@@ -186,9 +186,6 @@ def q_semantics_switch(spark, sf_dir):
 SELECT ex, avg(score) AS mean_legal_score, cast(count(*) AS bigint) AS n_legal FROM legal GROUP BY ex
 """, "legal"))
 def q_metric_udaf(spark, sf_dir):
-    """K3: a user metric as a pandas grouped-aggregate UDF (groups are at most k rows)."""
-    from ..functions.udfs import count_rows, mean_score
-
+    """K3: a user metric over the legal suggestions, as aggregate expressions."""
     legal = M.legal_names(_preds(spark, sf_dir))
-    return legal.groupBy("ex").agg(mean_score("score").alias("mean_legal_score"),
-                                   count_rows("score").alias("n_legal"))
+    return legal.groupBy("ex").agg(F.avg("score").alias("mean_legal_score"), F.count(F.lit(1)).alias("n_legal"))

@@ -75,7 +75,7 @@ def q_dropout(spark, sf_dir):
     ctx = MD.context_vectors(b.encoded.filter(F.col("role") == "train"), mp, FIXTURE)
     keep = FIXTURE.dropout_keep
     x = ctx.select("ex", "pos", F.posexplode("x").alias("r", "x"))
-    u = TR._uniform(FIXTURE.seed, "dropout", F.col("ex") * 1000 + F.col("pos"), F.col("r"))
+    u = TR._uniform(FIXTURE.seed, "dropout", F.col("ex"), F.col("pos"), F.col("r"))
     return x.select("ex", "pos", "r", F.when(u < keep, F.col("x") / keep).otherwise(F.lit(0.0)).alias("x"))
 
 

@@ -167,7 +167,7 @@ FROM ({TARGET_SQL}) t JOIN tpairs p ON t.tree_id = p.tree_id GROUP BY t.tree_id,
 def q_tree_example_lines(spark, sf_dir):
     """A20 on trees: one `target src,hash,dst ...` line per unit, pairs in (i, j) order."""
     chains = T.ancestor_chains(_nodes(spark, sf_dir))
-    p = T.hash_paths(T.leaf_pairs(chains, UNIT, LMAX, WMAX))
+    p = T.leaf_pairs(chains, UNIT, LMAX, WMAX)
     ctx = p.select("tree_id", "l_ord", "r_ord", F.concat_ws(",", "src", "path_hash", "dst").alias("c"))
     g = ctx.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("l_ord", "r_ord", "c"))).alias("cs"))
     j = T.unit_targets(chains, UNIT).join(g, "tree_id")

@@ -81,7 +81,7 @@ def page_nodes(pages: DataFrame) -> DataFrame:
                         raise ValueError("empty page")
                     out.extend(_parse(int(pid), html))
                 except Exception as e:  # noqa: BLE001 -- a bad page must not stop the others
-                    out.append((int(pid), None, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+                    out.append((int(pid), None, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=cols).astype({"child_idx": "Int32"})
 
     return pages.select("page_id", "html").mapInPandas(run, NODE_SCHEMA)

@@ -91,7 +91,9 @@ def fx_nodes(spark: SparkSession, sf_dir: str, ctx: DataFrame | None = None) ->
     """
     ctx = ctx if ctx is not None else fx_ctx(spark, sf_dir)
     null_s = F.lit(None).cast("string")
-    line_id = F.concat(F.lit("r/"), F.lpad(F.col("pos").cast("string"), 2, "0"))
+    # the number of digits before the number: ids of any position sort in document order
+    digits = F.col("pos").cast("string")
+    line_id = F.concat(F.lit("r/"), F.lpad(F.length(digits).cast("string"), 2, "0"), digits)
     roots = ctx.select("ex").distinct().select(
         F.col("ex").alias("tree_id"), F.lit("r").alias("node_id"), null_s.alias("parent_id"),
         F.lit(0).alias("child_idx"), F.lit("Order").alias("kind"), null_s.alias("token"))
