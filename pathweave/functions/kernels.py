@@ -38,21 +38,31 @@ def load_matrix(path: str):
         return hit
     t = pq.read_table(path.replace("file:", "", 1) if path.startswith("file:") else path)
     idx = t.column("idx").to_numpy()
-    vec = np.vstack(t.column("vec").to_pylist()).astype(np.float64)
+    col = t.column("vec").combine_chunks()
+    vec = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(idx), -1)
     order = np.argsort(idx, kind="stable")
     hit = (idx[order], vec[order])
+    _MATRIX_CACHE.clear()  # one matrix per worker
     _MATRIX_CACHE[path] = hit
     return hit
 
 
-def blocked_topk(codes: np.ndarray, targets: np.ndarray, k: int, block: int = 65536, true_idx=None):
-    """Top-k target rows per code vector by dot product, scanning the target
-    matrix in blocks so memory stays at B x block.
+def blocked_topk(codes: np.ndarray, targets: np.ndarray, k: int, block: int = 8192, true_idx=None, cells: int = 4 << 20):
+    """Top-k target rows per code vector by dot product, scanning the target matrix
+    in blocks for a slice of the code vectors at a time: at most ``cells`` scores
+    (32 MB) are held at once, whatever the batch and the number of targets.
 
     Ties are broken by the lower target row. Also returns log-sum-exp of
     all scores and, when ``true_idx`` is given, each row's own target score
     (for the cross-entropy loss).
     """
+    step = max(1, cells // max(1, min(block, len(targets))))
+    parts = [_topk_slice(codes[i:i + step], targets, k, block, None if true_idx is None else true_idx[i:i + step])
+             for i in range(0, max(1, len(codes)), step)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _topk_slice(codes: np.ndarray, targets: np.ndarray, k: int, block: int, true_idx):
     B, V = codes.shape[0], targets.shape[0]
     k = min(k, V)
     best_s = np.full((B, 0), -np.inf)
@@ -62,13 +72,6 @@ def blocked_topk(codes: np.ndarray, targets: np.ndarray, k: int, block: int = 65
     own = np.full(B, np.nan)
     for start in range(0, V, block):
         S = codes @ targets[start:start + block].T
-        cols = np.arange(start, start + S.shape[1])
-        cat_s = np.concatenate([best_s, S], axis=1)
-        cat_i = np.concatenate([best_i, np.broadcast_to(cols, S.shape)], axis=1)
-        # order by score desc, then row asc
-        order = np.lexsort((cat_i, -cat_s), axis=1)[:, :k]
-        best_s = np.take_along_axis(cat_s, order, axis=1)
-        best_i = np.take_along_axis(cat_i, order, axis=1)
         bm = S.max(axis=1)
         nm = np.maximum(lse_m, bm)
         lse_z = lse_z * np.exp(lse_m - nm) + np.exp(S - nm[:, None]).sum(axis=1)
@@ -77,4 +80,21 @@ def blocked_topk(codes: np.ndarray, targets: np.ndarray, k: int, block: int = 65
             inblk = (true_idx >= start) & (true_idx < start + S.shape[1])
             rows = np.nonzero(inblk)[0]
             own[rows] = S[rows, true_idx[rows] - start]
+        # only scores that reach the block's kth value can enter the k best
+        if S.shape[1] > k:
+            r, c = np.nonzero(S >= np.partition(S, S.shape[1] - k, axis=1)[:, [S.shape[1] - k]])
+        else:
+            r, c = (x.ravel() for x in np.indices(S.shape))
+        s = S[r, c]
+        order = np.lexsort((c, -s, r))
+        r, c, s = r[order], c[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        first = place < k
+        new_s = s[first].reshape(B, -1)
+        new_i = c[first].reshape(B, -1) + start
+        cat_s, cat_i = np.concatenate([best_s, new_s], axis=1), np.concatenate([best_i, new_i], axis=1)
+        # order by score desc, then row asc
+        order = np.lexsort((cat_i, -cat_s), axis=1)[:, :k]
+        best_s = np.take_along_axis(cat_s, order, axis=1)
+        best_i = np.take_along_axis(cat_i, order, axis=1)
     return best_s, best_i, lse_m + np.log(lse_z), own

@@ -55,7 +55,7 @@ def first_legal(preds: DataFrame, filters: Sequence[WordFilter] | None = None) -
         F.min_by(F.when(m, F.col("word")), F.when(m, F.col("rank"))).alias("prediction"))
 
 
-def subtoken_confusion(first: DataFrame, strict: bool = True) -> DataFrame:
+def subtoken_confusion(first: DataFrame, strict: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """TP, FP, FN with multiplicity, by presence on the other side.
 
     strict: split keeps empty subtokens (Python ``str.split``); no legal
@@ -71,7 +71,7 @@ def subtoken_confusion(first: DataFrame, strict: bool = True) -> DataFrame:
         first = first.filter(F.col("prediction").isNotNull())
     t = first.withColumns({"o": orig, "p": pred})
     return t.select(
-        "ex", "original", "prediction",
+        "ex", "original", "prediction", *carry,
         F.size(F.filter("p", lambda x: F.array_contains("o", x))).cast("long").alias("tp"),
         F.size(F.filter("p", lambda x: ~F.array_contains("o", x))).cast("long").alias("fp"),
         F.size(F.filter("o", lambda x: ~F.array_contains("p", x))).cast("long").alias("fn"),
@@ -162,8 +162,8 @@ def evaluate_predictions(preds: DataFrame, k: int, filters: Sequence[WordFilter]
                          lambda r: r.isNotNull())
     per = g.select("ex", "original", F.get(words, 0).alias("prediction"),
                    F.array_min(hit_ranks).alias("match_rank"))
-    conf = subtoken_confusion(per)
-    agg = conf.join(per.select("ex", "match_rank"), "ex").agg(
+    conf = subtoken_confusion(per, carry=("match_rank",))
+    agg = conf.agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.count_if(F.col("match_rank") < i) for i in range(1, k + 1)]).alias("hits"),
         F.sum("tp").cast("long").alias("tp"), F.sum("fp").cast("long").alias("fp"), F.sum("fn").cast("long").alias("fn"))

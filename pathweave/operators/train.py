@@ -89,20 +89,23 @@ def _load_params(path: str):
 
 
 def run_epoch(spark: SparkSession, bags: DataFrame, params_path: str, epoch: int, n_tasks: int,
-              batch_size: int = 1024, lr: float = 1e-3, keep: float = 0.75, seed: int = 42) -> DataFrame:
+              batch_size: int = 1024, lr: float = 1e-3, keep: float = 0.75, seed: int = 42,
+              start_step: int = 0) -> DataFrame:
     """One pass; returns the averaged change rows (name, row, dvec, dm, dv) and a '_loss' row."""
     key = F.xxhash64(F.lit(seed), F.lit(epoch), F.col("ex"))
     shuffled = bags.repartition(n_tasks, key).sortWithinPartitions(key)
 
     def run(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
         from ..functions.backprop import adam_step, forward_backward
 
         P, M, V = _load_params(params_path)
         P0, M0, V0 = ({k: x.copy() for k, x in d.items()} for d in (P, M, V))
-        rng = np.random.default_rng(seed + epoch)
-        loss, count, t = 0.0, 0, 0
+        shard = TaskContext.get().partitionId()  # repartition(n) deals the same rows to the same shard
+        rng = np.random.default_rng([seed, epoch, shard])
+        loss, count, t = 0.0, 0, start_step  # moments carry on, so the step they are corrected by does too
         rows = []
         for pdf in batches:
             recs = list(zip(pdf["target_idx"], pdf["s"], pdf["p"], pdf["d"]))
@@ -161,14 +164,17 @@ def fit(spark: SparkSession, bags: DataFrame, init: DataFrame, base: str, epochs
     if start_epoch == 0:
         init.write.mode("overwrite").parquet(epoch_path(base, 0))
     log = []
+    rows = bags.count() if start_epoch else 0  # steps done so far are those of the epochs before
     for e in range(start_epoch, start_epoch + epochs):
         cur = epoch_path(base, e)
-        summed = run_epoch(spark, bags, cur, e, n_tasks, batch_size, lr, seed=seed)
+        done = e * -(-rows // (n_tasks * batch_size))
+        summed = run_epoch(spark, bags, cur, e, n_tasks, batch_size, lr, seed=seed, start_step=done)
         summed = reliable_checkpoint(summed)  # reused twice below: the loss row and the update
         lrow = summed.filter(F.col("name") == "_loss").agg(F.sum(F.get("s", 0)).alias("l"), F.sum(F.get("s", 1)).alias("n"))
         new = apply_changes(spark.read.parquet(cur), summed, n_tasks)
         new.write.mode("overwrite").parquet(epoch_path(base, e + 1))
         r = lrow.collect()[0]  # one aggregate row
+        rows = int(r["n"] or 0)
         log.append((e + 1, float(r["l"] / r["n"]) if r["n"] else None))
         if on_epoch is not None:
             on_epoch(e + 1, epoch_path(base, e + 1))

@@ -24,8 +24,12 @@ def _setup(spark, sf_dir):
     return b, init, bags
 
 
+# shards of an epoch: a setting, so that the trained model does not depend on the cores
+SHARDS = 8
+
+
 def _tasks(spark):
-    return max(1, spark.sparkContext.defaultParallelism)
+    return SHARDS
 
 
 def _evaluator(spark, b, role, out):
