@@ -52,8 +52,8 @@ def q_stream_metrics(spark, sf_dir):
 
     def per_batch(batch, epoch, out):
         conf = M.subtoken_confusion(M.first_legal(fx.fx_preds(spark, sf_dir, p=batch)))
-        conf.agg(F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"),
-                 F.sum("fn").alias("fn")).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        sums = conf.agg(F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+        ST.batch_sink(sums, epoch, out)
 
     acc = spark.read.parquet(ST.run_foreach_batch(parts, "metrics", per_batch))
     totals = acc.agg(F.sum("n").alias("n"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
@@ -86,7 +86,7 @@ def q_stream_predict(spark, sf_dir):
         enc = MD.encode_lines(batch, b.token_vocab, hashed_paths, b.target_vocab, FIXTURE)
         codes = MD.code_vectors(MD.context_vectors(enc, f.params, FIXTURE), f.params)
         scored = MD.score_targets(codes, matrix, 10)
-        MD.predict(codes, scored, b.target_vocab, FIXTURE).write.mode("append").parquet(out)
+        ST.batch_sink(MD.predict(codes, scored, b.target_vocab, FIXTURE), epoch, out)
 
     res = spark.read.parquet(ST.run_foreach_batch(lines, "predict", per_batch))
     return res.select("ex", "original", "rank", "word", F.round("score", 6).alias("score"))
