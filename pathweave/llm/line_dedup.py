@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, release, seeds, side, stage
+from .common import discard, mix, release, seeds, side, stage
 
 LEAST, BLOCKS = 12, 3
 BASE = int(seeds(1, 77)[0])
@@ -182,7 +182,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     t = texts.select("h", "norm")
     checked = hits.join(t, "h").join(t.select(F.col("h").alias("other"), F.col("norm").alias("other_norm")), "other").where(F.levenshtein("norm", "other_norm", 1).between(0, 1))
     near = checked.select("first").distinct().select("first.doc_id", "first.th", "first.line_no")
-    return equal.unionByName(near).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("drops"))
+    drops = stage(equal.unionByName(near).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("drops")), "lines-drops")
+    for used in (lines, firsts, shared, texts, variants):
+        discard(used)
+    return drops
 
 
 def _keeper():
@@ -204,7 +207,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """All columns of docs, the text without its repeated lines, and __n_removed."""
     spark = docs.sparkSession
     th = F.xxhash64(F.col(text).cast("string"))
-    drops = stage(repeated_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), th.alias("th"), F.col(text).cast("string").alias("text"))), "lines-drops")
+    drops = repeated_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), th.alias("th"), F.col(text).cast("string").alias("text")))
     release(spark)
     drops = drops.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("drops").alias("__drops"))
     d = docs.select(F.struct("*").alias("__row"), F.col(doc_id).cast("long").alias("__key"), th.alias("__h"))
