@@ -4,6 +4,8 @@ D1-D3, D5, D13, E1, F1-F4, F6, G1, G2, G4-G6, H18, H20, J5, K4)."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -359,28 +361,31 @@ def q_read_raw_examples(spark, sf_dir):
 
 
 PADDED_SQL = f"""
-SELECT l.ex, l.line || repeat(' ', cast(greatest(0, {MAXC} - n.n) AS int)) AS line
-FROM lines l JOIN (SELECT ex, count(*) AS n FROM fx_ctx GROUP BY ex) n ON l.ex = n.ex
+SELECT ex, role, target || ' ' || string_agg({CTX_TEXT}, ' ' ORDER BY pos) || repeat(' ', cast(greatest(0, {MAXC} - count(*)) AS int)) AS line
+FROM sampled GROUP BY ex, role, target
 """
 
 
-@register("write_padded_dataset", with_fx(PADDED_SQL, "fx_ctx", extra=[("lines", LINES_SQL)]))
+def _padded(spark, sf_dir):
+    return L.padded_lines(Build(spark, sf_dir).sampled, FIXTURE)
+
+
+@register("write_padded_dataset", with_fx(f"SELECT role, line FROM ({PADDED_SQL})", "sampled"))
 def q_write_padded_dataset(spark, sf_dir):
-    """Padded lines, written as text and read back."""
+    """Padded lines of the sampled bags, one text output per role, read back."""
     out = L.scratch_path(spark, "padded")
-    pl = L.padded_lines(fx.fx_ctx(spark, sf_dir), FIXTURE)
-    pl.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    _padded(spark, sf_dir).select("role", "line").write.partitionBy("role").text(out)
+    return spark.read.text(out).select("role", F.col("value").alias("line"))
 
 
 @register("parse_example", with_fx("""
 SELECT ex, cast(len(p) - 1 AS int) AS n_fields,
        cast(len(list_filter(p[2:], lambda c: c = '')) AS int) AS n_empty
 FROM (SELECT ex, string_split(line, ' ') AS p FROM padded)
-""", "fx_ctx", extra=[("lines", LINES_SQL), ("padded", PADDED_SQL)]))
+""", "sampled", extra=[("padded", PADDED_SQL)]))
 def q_parse_example(spark, sf_dir):
     """B1: only the newline is stripped, so padding blanks become empty contexts."""
-    p = L.parse_example(L.padded_lines(fx.fx_ctx(spark, sf_dir), FIXTURE))
+    p = L.parse_example(_padded(spark, sf_dir))
     return p.select("ex", F.size("contexts").alias("n_fields"),
                     F.size(F.filter("contexts", lambda c: c == "")).alias("n_empty"))
 
@@ -393,10 +398,10 @@ FROM (SELECT ex, p, i, string_split(p[i + 1], ',') AS c
 """
 
 
-@register("split_context", with_fx(SPLIT_CTX_SQL, "fx_ctx", extra=[("lines", LINES_SQL), ("padded", PADDED_SQL)]))
+@register("split_context", with_fx(SPLIT_CTX_SQL, "sampled", extra=[("padded", PADDED_SQL)]))
 def q_split_context(spark, sf_dir):
     """B2: every field of a padded line as (src, path, dst); empty fields -> ('', PAD, PAD)."""
-    p = L.parse_example(L.padded_lines(fx.fx_ctx(spark, sf_dir), FIXTURE))
+    p = L.parse_example(_padded(spark, sf_dir))
     return L.split_contexts(p, FIXTURE.token_specials.pad)
 
 
@@ -404,10 +409,10 @@ def q_split_context(spark, sf_dir):
 SELECT ex, target, cast(sum(CASE WHEN src = '' THEN 0 ELSE 1 END) AS bigint) AS n_real,
        cast(sum(CASE WHEN src = '' THEN 1 ELSE 0 END) AS bigint) AS n_padding
 FROM ({SPLIT_CTX_SQL}) GROUP BY ex, target
-""", "fx_ctx", extra=[("lines", LINES_SQL), ("padded", PADDED_SQL)]))
+""", "sampled", extra=[("padded", PADDED_SQL)]))
 def q_read_padded_examples(spark, sf_dir):
     """A4: space-delimited padded dataset, empty field -> PAD context."""
-    p = L.parse_example(L.padded_lines(fx.fx_ctx(spark, sf_dir), FIXTURE))
+    p = L.parse_example(_padded(spark, sf_dir))
     c = L.split_contexts(p, FIXTURE.token_specials.pad)
     return c.groupBy("ex", "target").agg(F.sum((F.col("src") != "").cast("long")).alias("n_real"),
                                          F.sum((F.col("src") == "").cast("long")).alias("n_padding"))
@@ -490,9 +495,8 @@ SELECT role, cast(count(*) AS bigint) AS n FROM fx_split GROUP BY role
 """, "fx_split"))
 def q_count_examples_cached(spark, sf_dir):
     """Example counts per role kept in a meta table; reused when present."""
-    out = L.scratch_path(spark, "meta")
-    fx.fx_split(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
+    name = f"example-counts-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    return L.stored(spark, name, lambda: fx.fx_split(spark, sf_dir).groupBy("role").agg(F.count(F.lit(1)).alias("n")))
 
 
 @register("append_output", with_fx("SELECT role, cast(count(*) AS bigint) AS n FROM lines_r GROUP BY role",

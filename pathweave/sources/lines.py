@@ -56,12 +56,23 @@ def split_contexts(parsed: DataFrame, pad: str) -> DataFrame:
 
 
 def padded_lines(ctx: DataFrame, settings: Settings) -> DataFrame:
-    """Line plus one blank per missing context up to max."""
-    lines = emit_example_lines(ctx)
-    n = ctx.groupBy("ex").agg(F.count(F.lit(1)).alias("n"))
-    j = lines.join(n, "ex")
-    pad = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(settings.max_contexts) - F.col("n")).cast("int"))
-    return j.select("ex", F.concat("line", pad).alias("line"))
+    """Line of a sampled bag (at most max contexts) plus one blank per missing
+    context up to max; the role is kept."""
+    g = ctx.groupBy("ex", "role", "target").agg(
+        F.array_sort(F.collect_list(F.struct("pos", context_text().alias("c")))).alias("cs"))
+    pad = F.repeat(F.lit(" "), F.greatest(F.lit(0), F.lit(settings.max_contexts) - F.size("cs")).cast("int"))
+    line = F.concat(F.col("target"), F.lit(" "), F.array_join(F.transform("cs", lambda x: x["c"]), " "), pad)
+    return g.select("ex", "role", line.alias("line"))
+
+
+def stored(spark: SparkSession, name: str, build) -> DataFrame:
+    """A table kept under a name in the shared folder: read if it is there, else built,
+    written and read (A16)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pathweave-out/stored-{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def histogram_lines(hist: DataFrame) -> DataFrame:
