@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pathweave.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
 from pathweave.llm.common import side, table
+from pathweave.llm.common import stage as staged
 from pathweave.session import ensure_checkpoint_dir, ship_package
 
 LEAST_SCORE = 0.5  # a document whose best language has a lower posterior is rejected
@@ -55,6 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ship_package(spark)
     found = jaccard_join.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = staged(gone, "near-gone")
     kept = docs.join(side(gone, 1_000_000), F.expr("doc_id <=> __gone"), "left_anti")
     twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
     if twice.limit(1).count() == 0:
@@ -67,6 +69,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that share no window with the benchmark."""
     ship_package(spark)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__gone"))
+    found = staged(found, "leaks-gone")
     return docs.join(side(found, 1_000_000), F.expr("doc_id <=> __gone"), "left_anti")
 
 
