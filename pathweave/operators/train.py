@@ -194,6 +194,15 @@ def retained_epochs(spark: SparkSession, base: str, keep: int = 10) -> DataFrame
     return e.withColumn("k", F.dense_rank().over(Window.orderBy(F.col("epoch").desc()))).filter(F.col("k") <= keep)
 
 
+def prune_epochs(spark: SparkSession, base: str, keep: int = 10) -> None:
+    """Delete all but the newest ``keep`` versions."""
+    kept = {r["epoch"] for r in retained_epochs(spark, base, keep).collect()}  # at most ``keep`` numbers
+    every = {r["epoch"] for r in spark.read.parquet(base).select("epoch").distinct().collect()}
+    for e in sorted(every - kept):
+        path = spark._jvm.org.apache.hadoop.fs.Path(epoch_path(base, e))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(params: DataFrame) -> DataFrame:
     """Weights only, without the optimizer moments (cannot be trained further)."""
     return params.select("name", "row", "vec")

@@ -123,9 +123,11 @@ def q_node_type_label(spark, sf_dir):
     return n.select("tree_id", "node_id", N.node_type_label("kind", op).alias("label"))
 
 
-@register("url_encode_name")
+@register("url_encode_name", with_fx("""
+SELECT x, replace(replace(replace(url_encode(x), '%20', '+'), '~', '%7E'), '%2A', '*') AS y FROM fx_idents
+""", "fx_idents"))
 def q_url_encode_name(spark, sf_dir):
-    """H25 (Java URL encoding: blank -> '+'), rows-only check."""
+    """H25 (Java URL encoding: blank -> '+', '~' encoded, '*' kept)."""
     return fx.fx_idents(spark, sf_dir).select("x", N.url_encode_name("x").alias("y"))
 
 

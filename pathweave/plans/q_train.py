@@ -120,13 +120,14 @@ def q_best_epoch(spark, sf_dir):
     return ev.agg(F.max_by("epoch", "f1").alias("best_epoch"), F.max("f1").alias("best_f1"))
 
 
-@register("params_versions")
+@register("params_versions", f"SELECT cast(e AS int) AS epoch, cast(r AS int) AS newest_rank FROM (VALUES ({EPOCHS}, 1), ({EPOCHS - 1}, 2)) t(e, r)")
 def q_params_versions(spark, sf_dir):
-    """Every epoch saved as a partition; the newest two kept by the retention rule."""
+    """Every epoch saved as a partition; the newest two kept, the others deleted."""
     _, init, bags = _setup(spark, sf_dir)
     base = scratch_path(spark, "params")
     TR.fit(spark, bags, init, base, EPOCHS, _tasks(spark), seed=FIXTURE.seed)
-    return TR.retained_epochs(spark, base, keep=2).select("epoch", F.col("k").cast("int").alias("newest_rank"))
+    TR.prune_epochs(spark, base, keep=2)
+    return TR.retained_epochs(spark, base, keep=EPOCHS + 1).select("epoch", F.col("k").cast("int").alias("newest_rank"))
 
 
 @register("release_params")
