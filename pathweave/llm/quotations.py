@@ -94,15 +94,13 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("prev"))
     tree = stage(nodes.join(before, ["conv_id", "turn"], "left").join(links, ["conv_id", "turn"], "left")
                  .select("conv_id", "turn", F.coalesce("origin", "prev").alias("parent"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "quotes-tree")
-    # pointer doubling: (ancestor, steps to it, whether it is a root)
-    up = stage(tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "quotes-up")
-    while True:
-        higher = up.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"))
-        new = stage(up.join(higher, ["conv_id", "up"]).select("conv_id", "turn", F.col("upper").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "quotes-up")
-        moved = new.where("moved").limit(1).count()
-        up = new.drop("moved")
-        if not moved:
-            break
+    # pointer doubling: (ancestor, steps to it, whether it is a root); finished rows leave the loop
+    state = stage(tree.select("conv_id", "turn", F.coalesce("parent", "turn").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNull().alias("done")), "quotes-up")
+    while state.where("not done").limit(1).count():
+        higher = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("upper"), F.col("depth").alias("more"), F.col("done").alias("top"))
+        moved = state.where("not done").join(higher, ["conv_id", "up"]).select("conv_id", "turn", F.col("upper").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("done"))
+        state = state.where("done").unionByName(stage(moved, "quotes-up"))
+    up = state.drop("done")
     info = tree.join(up.withColumnRenamed("up", "thread"), ["conv_id", "turn"])
     got = m.join(info, ["conv_id", "turn"], "left")
     return got.select("conv_id", "turn", *carry, F.col("clean").alias("text"), F.col("levels").alias("quote_levels"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
