@@ -36,13 +36,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import mix, stage
 
 MARK = "▁"
 WORD, PIECE, ROUNDS, SAMPLE_ROWS, SAMPLE_CHARS = 32, 8, 3, 1500, 8000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-7  # probability of a letter that no piece covers, alike in all languages
-CACHE_WORDS = 150_000
+CACHE_WORDS, CACHE_NUMBERS = 400_000, 4_000_000  # words and numbers that a worker keeps
 UND = "und"
 
 
@@ -62,51 +62,99 @@ def vocabulary(path: str, longest: int = PIECE) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    out = []
-    for w in LETTERS.findall(text.lower()):
-        if len(w) <= WORD:
-            out.append(w)
-        else:
-            out += [w[i : i + WORD] for i in range(0, len(w), WORD)]
-    return out
+    words = LETTERS.findall(text.lower())
+    if max(map(len, words), default=0) <= WORD:
+        return words
+    return [w[i : i + WORD] for w in words for i in range(0, len(w), WORD)]
+
+
+class PieceTable:
+    """Numbers of pieces by the hash of their characters: a large table of single
+    slots and a small one for the pieces that fall into a slot already taken."""
+
+    BASE, BITS = np.uint64(0x9E3779B97F4A7C15), (20, 16)
+
+    def __init__(self, pieces: list[str]):
+        self.longest, self.unknown = max(map(len, pieces)), len(pieces)
+        h, size = np.zeros(len(pieces), np.uint64), np.array([len(x) for x in pieces])
+        for k in range(self.longest):
+            on = np.flatnonzero(size > k)
+            h[on] = h[on] * self.BASE + mix(np.array([ord(pieces[i][k]) + 1 for i in on], np.uint64))
+        h = mix(h)
+        self.tables, left = [], np.arange(len(pieces))
+        for bits in self.BITS:
+            size = bits
+            while True:
+                slot = (h[left] >> np.uint64(64 - size)).astype(np.int64) if not self.tables else (h[left] & np.uint64((1 << size) - 1)).astype(np.int64)
+                _, first = np.unique(slot, return_index=True)
+                if not self.tables or len(first) == len(left):
+                    break
+                size += 1
+            keys, ids = np.zeros(1 << size, np.uint64), np.full(1 << size, -1, np.int32)
+            keys[slot[first]], ids[slot[first]] = h[left[first]], left[first]
+            self.tables.append((size, keys, ids))
+            left = np.delete(left, first)
+            if not len(left):
+                break
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        h = mix(h)
+        size, keys, ids = self.tables[0]
+        slot = (h >> np.uint64(64 - size)).astype(np.int64)
+        got = np.where(keys[slot] == h, ids[slot], np.int32(-1))
+        if len(self.tables) > 1:
+            size, keys, ids = self.tables[1]
+            slot = (h & np.uint64((1 << size) - 1)).astype(np.int64)
+            hit = np.flatnonzero(keys[slot] == h)
+            got[hit] = np.maximum(got[hit], ids[slot[hit]])
+        return got
 
 
 class Lattice:
-    """For words of one length: which piece ends where. pieces[i][l] are the piece
-    numbers of the substrings [i, i + l) of all words; the last number is 'unknown'."""
+    """For words of one length: which piece stands where. pieces[i] lists (length,
+    words or None for all, piece numbers); one letter that is no piece is 'unknown'."""
 
-    def __init__(self, words: list[str], index: dict[str, int], longest: int):
+    def __init__(self, words: list[str], table: PieceTable):
         n, self.size = len(words[0]) + 1, len(words)
-        self.n, unknown = n, len(index)
-        marked = [MARK + w for w in words]
-        self.pieces: list[list[tuple[int, np.ndarray]]] = []
-        get = index.get
+        self.n = n
+        codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(self.size, n)
+        codes = np.ascontiguousarray(mix(codes.T.astype(np.uint64) + np.uint64(1)))
+        self.pieces: list[list[tuple[int, np.ndarray | None, np.ndarray]]] = []
         for i in range(n):
-            row = []
-            for ln in range(1, min(longest, n - i) + 1):
-                ids = np.fromiter((get(w[i : i + ln], -1) for w in marked), np.int32, self.size)
+            row, h = [], np.zeros(self.size, np.uint64)
+            for ln in range(1, min(table.longest, n - i) + 1):
+                h = h * table.BASE + codes[i + ln - 1]
+                ids = table.find(h)
                 if ln == 1:
-                    ids[ids < 0] = unknown
-                elif not (ids >= 0).any():
+                    ids[ids < 0] = table.unknown
+                    row.append((ln, None, ids))
                     continue
-                row.append((ln, ids))
+                at = np.flatnonzero(ids >= 0)
+                if len(at):
+                    row.append((ln, at, ids[at]))
             self.pieces.append(row)
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[i] (words, languages); p has a row per piece, one for unknown, and a last row of zeros."""
+        """alpha[i] (words, languages); p has a row per piece and one for unknown."""
         alpha = np.zeros((self.n + 1, self.size, p.shape[1]))
         alpha[0] = 1.0
         for i, row in enumerate(self.pieces):
-            for ln, ids in row:
-                alpha[i + ln] += alpha[i] * p[ids]
+            for ln, at, ids in row:
+                if at is None:
+                    alpha[i + ln] += alpha[i] * p[ids]
+                else:
+                    alpha[i + ln][at] += alpha[i][at] * p[ids]
         return alpha
 
     def backward(self, p: np.ndarray) -> np.ndarray:
         beta = np.zeros((self.n + 1, self.size, p.shape[1]))
         beta[self.n] = 1.0
         for i in range(self.n - 1, -1, -1):
-            for ln, ids in self.pieces[i]:
-                beta[i] += beta[i + ln] * p[ids]
+            for ln, at, ids in self.pieces[i]:
+                if at is None:
+                    beta[i] += beta[i + ln] * p[ids]
+                else:
+                    beta[i][at] += beta[i + ln][at] * p[ids]
         return beta
 
 
@@ -123,22 +171,21 @@ def by_length(words: list[str], block: int = 4096) -> Iterator[list[int]]:
 
 def em(counts: list[tuple[str, float]], pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Expected piece counts of one language after ``rounds`` rounds (last entry: unknown letters)."""
-    index, v = {x: i for i, x in enumerate(pieces)}, len(pieces)
-    longest = max(map(len, pieces))
+    v, table = len(pieces), PieceTable(pieces)
     words, weights = [w for w, _ in counts], np.array([c for _, c in counts], float)
-    blocks = [(Lattice([words[i] for i in idx], index, longest), weights[idx]) for idx in by_length(words)]
+    blocks = [(Lattice([words[i] for i in idx], table), weights[idx]) for idx in by_length(words)]
     expected = np.ones(v + 1)
     for _ in range(rounds):
-        p = np.append(0.9 * expected / expected.sum() + 0.1 / (v + 1), 0.0)
+        p = 0.9 * expected / expected.sum() + 0.1 / (v + 1)
         p[v] = UNKNOWN
         expected = np.zeros(v + 1)
         for lat, w in blocks:
             a, b = lat.forward(p[:, None])[:, :, 0], lat.backward(p[:, None])[:, :, 0]
             scale = w / a[lat.n]
             for i, row in enumerate(lat.pieces):
-                for ln, ids in row:
-                    ok = ids >= 0
-                    expected += np.bincount(ids[ok], (a[i] * p[ids] * b[i + ln] * scale)[ok], v + 1)
+                for ln, at, ids in row:
+                    s = slice(None) if at is None else at
+                    expected += np.bincount(ids, a[i][s] * p[ids] * b[i + ln][s] * scale[s], v + 1)
     return expected
 
 
@@ -146,7 +193,7 @@ def em(counts: list[tuple[str, float]], pieces: list[str], rounds: int = ROUNDS)
 class Model:
     langs: list[str]
     pieces: list[str]
-    prob: np.ndarray  # (pieces + unknown + zero, languages)
+    prob: np.ndarray  # (pieces + unknown, languages)
     prior: np.ndarray
 
 
@@ -154,12 +201,12 @@ def make_model(expected: dict[str, np.ndarray], rows: dict[str, int], pieces: li
     langs = sorted(expected)
     v = len(pieces)
     if not langs:
-        return Model([], pieces, np.zeros((v + 2, 0)), np.zeros(0))
+        return Model([], pieces, np.zeros((v + 1, 0)), np.zeros(0))
     e = np.stack([expected[x] for x in langs], axis=1)[:v]
     pool = e.sum(axis=1, keepdims=True) + 0.5
     pool /= pool.sum()
     p = (e + smooth * pool) / (e.sum(axis=0, keepdims=True) + smooth)
-    p = np.vstack([p, np.full((1, len(langs)), UNKNOWN), np.zeros((1, len(langs)))])
+    p = np.vstack([p, np.full((1, len(langs)), UNKNOWN)])
     n = np.array([rows[x] for x in langs], float) + 1
     return Model(langs, pieces, p, np.log(n / n.sum()))
 
@@ -168,53 +215,55 @@ class Scorer:
     """Log probabilities of words per language, cached."""
 
     def __init__(self, model: Model):
-        self.m, self.index = model, {x: i for i, x in enumerate(model.pieces)}
-        self.longest = max(map(len, model.pieces))
+        self.m, self.pieces = model, PieceTable(model.pieces)
+        self.room = max(1024, min(CACHE_WORDS, CACHE_NUMBERS // max(1, len(model.langs))))
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.m.langs)))
+        self.table = np.zeros((1024, len(self.m.langs)))
 
     def learn(self, words: list[str]) -> None:
-        if len(self.at) + len(words) > CACHE_WORDS:
-            self.clear()
-        got = np.zeros((len(words), len(self.m.langs)))
-        for idx in by_length(words):
-            lat = Lattice([words[i] for i in idx], self.index, self.longest)
-            got[idx] = np.log(lat.forward(self.m.prob)[lat.n])
+        """Sum over the segmentations of words not seen yet."""
         n = len(self.at)
+        while n + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for idx in by_length(words):
+            lat = Lattice([words[i] for i in idx], self.pieces)
+            self.table[n + np.array(idx)] = np.log(lat.forward(self.m.prob)[lat.n])
         self.at.update(zip(words, range(n, n + len(words)), strict=True))
-        self.table = np.vstack([self.table, got])
 
     def loglik(self, words: list[str]) -> np.ndarray:
         """Summed over the words, in blocks that bound what is cached at once."""
         total = np.zeros(len(self.m.langs))
-        for i in range(0, len(words), CACHE_WORDS // 2):
-            part = words[i : i + CACHE_WORDS // 2]
-            new = [w for w in dict.fromkeys(part) if w not in self.at]
-            if len(self.at) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = list(dict.fromkeys(part))
+        for i in range(0, len(words), self.room // 2):
+            part = words[i : i + self.room // 2]
+            new = sorted(w for w in set(part) if w not in self.at)
             if new:
+                if len(self.at) + len(new) > self.room:
+                    self.clear()
+                    new = sorted(set(part))
                 self.learn(new)
-            at = self.at
-            total += self.table[np.fromiter((at[w] for w in part), np.int64, len(part))].sum(axis=0)
+            total += self.table[np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))].sum(axis=0)
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        # words of many texts are learned together, which is what makes the forward sums cheap
         split = [words_of(t) if t else [] for t in texts]
-        fresh = list({w for ws in split for w in ws if w not in self.at})
-        for i in range(0, min(len(fresh), CACHE_WORDS // 2), 16384):
-            self.learn(list(dict.fromkeys(w for w in fresh[i : i + 16384] if w not in self.at)))
-        for t, ws in zip(texts, split, strict=True):
-            if not self.m.langs or not ws or not any(w.isalpha() or any(c.isalpha() for c in w) for w in ws):
+        if self.m.langs:
+            # words of many texts are learned together, which is what makes the forward sums cheap
+            fresh = {w for w in set().union(*split) if w not in self.at}
+            if len(self.at) + len(fresh) > self.room:
+                self.clear()
+                fresh = set().union(*split)
+            if len(fresh) <= self.room:  # else text by text
+                self.learn(sorted(fresh))
+        for words in split:
+            if not self.m.langs or not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
                 langs.append(UND)
                 scores.append(0.0)
                 continue
-            z = self.m.prior + self.loglik(ws)
+            z = self.m.prior + self.loglik(words)
             z = np.exp(z - z.max())
             best = int(z.argmax())
             langs.append(self.m.langs[best])
@@ -243,7 +292,7 @@ def predictor(model: Model, key: str):
             texts_, size, begin = list(s), 0, 0
             for i, t in enumerate(texts_):
                 size += len(t or "")
-                if size > 1_000_000 or i + 1 == len(texts_):
+                if size > 3_000_000 or i + 1 == len(texts_):
                     a, b = scorer.predict(texts_[begin : i + 1])
                     langs += a
                     scores += b
