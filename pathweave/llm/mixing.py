@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import side, stage
 
 WEIGHTS, SHARE, REPEATS, BLOCK, SEED = (3.0, 1.0, 2.0), 1.5, 2, 16, 20240607
 SIZE = r"[^\x20\x09-\x0D]+"
@@ -109,7 +109,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
                         words.alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"), *carry)
     sized = stage(sized, "mix-sized")
     counts = sized.groupBy("no_source", "source").agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")) / 4)).cast("long").alias("n"))
-    dealt = sized.join(counts, ["no_source", "source"]).withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), "n"))
+    dealt = sized.join(side(counts, 100_000), ["no_source", "source"]).withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), "n"))
     dealt = stage(dealt.drop("n"), "mix-dealt")
     shards = dealt.groupBy("no_source", "source", "shard").agg(F.sum("size").alias("words"))
 
