@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing
@@ -31,6 +31,15 @@ def piece_vocabulary() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but the rows whose id and text hash are in gone(__gone, __th)."""
+    return docs.join(side(gone, 1_000_000), F.col("doc_id").eqNullSafe(F.col("__gone")) & (text_hash() == F.col("__th")), "left_anti")
+
+
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: not ``und``, posterior at least LEAST_SCORE."""
     ship_package(spark)
@@ -52,25 +61,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id
-    (and, of rows that repeat its id and text, one)."""
+    (null last; of rows that repeat its id and text, one). A document is an id with a
+    text, so other texts of the same or of a null id are judged by themselves."""
     ship_package(spark)
-    found = jaccard_join.jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = staged(gone, "near-gone")
-    kept = docs.join(side(gone, 1_000_000), F.expr("doc_id <=> __gone"), "left_anti")
-    twice = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    if twice.limit(1).count() == 0:
+    gone = jaccard_join.later_copies(docs, shingle=SHINGLE, percent=PERCENT).select(F.col("id").alias("__gone"), F.col("th").alias("__th"))
+    kept = without(docs, staged(gone, "near-gone"))
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
         return kept
-    again = kept.join(twice, F.expr("doc_id <=> __twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.expr("doc_id <=> __twice"), "left_anti").unionByName(again)
+    twice = docs.groupBy(F.col("doc_id").alias("__twice"), text_hash().alias("__th")).count().where("count > 1").drop("count")
+    twice = staged(twice, "near-twice")
+    same = (F.col("doc_id").eqNullSafe(F.col("__twice"))) & (text_hash() == F.col("__th"))
+    again = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, same, "left_anti").unionByName(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
+    """Documents (an id with a text) that share no window with the benchmark."""
     ship_package(spark)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__gone"))
-    found = staged(found, "leaks-gone")
-    return docs.join(side(found, 1_000_000), F.expr("doc_id <=> __gone"), "left_anti")
+    keyed = docs.select(F.struct("doc_id", text_hash().alias("th")).alias("doc_id"), "text")
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id.doc_id").alias("__gone"), F.col("doc_id.th").alias("__th"))
+    return without(docs, staged(found, "leaks-gone"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

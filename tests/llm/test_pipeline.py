@@ -56,3 +56,18 @@ def test_awkward_rows_pass_through(spark):
     empty = docs_of(spark, [])
     for name, stage in C.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_null_and_repeated_ids_are_judged_by_text(spark):
+    from .util import docs_of, prose
+
+    rng = random.Random(8)
+    a, b, c, d, e, f = (prose(rng, 60, 5000) for _ in range(6))
+    leak = spark.read.parquet(f"{SMALL}/benchmark.parquet").selectExpr("max_by(text, length(text))").first()[0]
+    rows = [(5, a), (7, a + " x"), (7, b), (9, b + " y"), (None, a + " z"), (None, c), (None, d), (None, d), (None, d + " v"), (11, e), (11, e), (11, e + " w")]
+    left = sorted(map(str, rows_of(C.drop_near_duplicates(spark, docs_of(spark, rows), SMALL))))
+    assert [x for x in left if d not in x and e not in x] == sorted(map(str, [(5, a), (7, b), (None, c)]))
+    assert sum(d in x for x in left) == 1 and sum(e in x for x in left) == 1
+    rows = [(None, leak), (None, c), (3, d + " " + leak), (3, f), (4, e)]
+    left = rows_of(C.drop_contaminated(spark, docs_of(spark, rows), SMALL))
+    assert sorted(map(str, left)) == sorted(map(str, [(None, c), (3, f), (4, e)]))
