@@ -18,8 +18,8 @@ documents. The work is cut into shards so that equal strings meet:
    prefixes. Neighbours in the order with ``length`` common bytes are the same
    string; its smallest doc_id decides.
 4. An anchor with very many runs is spread over several shards. Each sends the
-   sorted distinct strings that are still unremoved there; they are merged by binary
-   search, range by range, and what a smaller doc_id holds in another shard is
+   sorted distinct strings that are still unremoved there, dealt to parts by a hash of
+   the whole string; each part is merged by binary search, and what a smaller doc_id holds in another shard is
    removed too.
 5. Removed intervals are joined back to the texts.
 
@@ -103,13 +103,13 @@ def code_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------- exchange of anchors
-def _send(buckets: int):
+def _send(buckets: int, length: int = LENGTH):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2048):
                 part = batch.slice(start, 2048)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                doc, _, _, anchor = runs(*text_bytes(part.column(1)))
+                doc, _, _, anchor = runs(*text_bytes(part.column(1)), length)
                 if not len(doc):
                     continue
                 code = code_of(anchor, buckets)
@@ -327,7 +327,7 @@ def _shard(length: int):
         n = len(ids)
         cols = {"id": ids.tolist(), "th": th.tolist(), "packed": (start * 256 + size - length).tolist(), "key": [None] * n, "part": [None] * n, "strings": [None] * n, "ids": [None] * n, "ths": [None] * n, "places": [None] * n}
         if len(key):
-            part = (mix(loads(strings.ravel())[::length]) % salts.astype(np.uint64)).astype(np.int64)
+            part = (string_hashes(strings) % salts.astype(np.uint64)).astype(np.int64)
             order = np.lexsort((part, key))
             bound = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (part[order][1:] != part[order][:-1])]))
             for a, b in zip(bound, np.append(bound[1:], len(order)), strict=True):
@@ -342,20 +342,39 @@ def _shard(length: int):
     return run
 
 
+def string_hashes(strings: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of bytes, over all of it."""
+    h = np.zeros(len(strings), np.uint64)
+    for k in range(0, strings.shape[1], 8):
+        eight = np.zeros((len(strings), 8), np.uint8)
+        eight[:, : strings.shape[1] - k] = strings[:, k : k + 8]
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + eight.view("<u8").ravel() + np.uint64(k + 1))
+    return h
+
+
 def merge_sorted(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct strings of all shards with their smallest id: each shard's list is
-    placed in the merged one by binary search."""
-    every, least = np.zeros(0, lists[0][0].dtype), np.zeros(0, np.int64)
+    """Sorted distinct strings of all shards with their smallest id: lists are merged two by
+    two, the smaller placed in the larger by binary search, so that a string is moved
+    once per halving and not once per list."""
+    merged = []
     for strings, ids in lists:
         first = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
-        s, low = strings[first], np.minimum.reduceat(ids, first)
-        at = np.searchsorted(every, s)
-        known = np.zeros(len(s), bool)
-        inside = at < len(every)
-        known[inside] = every[at[inside]] == s[inside]
-        least[at[known]] = np.minimum(least[at[known]], low[known])
-        every, least = np.insert(every, at[~known], s[~known]), np.insert(least, at[~known], low[~known])
-    return every, least
+        merged.append((strings[first], np.minimum.reduceat(ids, first)))
+    while len(merged) > 1:
+        merged.sort(key=lambda x: len(x[0]))
+        merged = [_merge_two(*merged[i : i + 2]) if i + 1 < len(merged) else merged[i] for i in range(0, len(merged), 2)]
+    return merged[0]
+
+
+def _merge_two(small: tuple[np.ndarray, np.ndarray], large: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    (s, low), (every, least) = small, large
+    at = np.searchsorted(every, s)
+    known = np.zeros(len(s), bool)
+    inside = at < len(every)
+    known[inside] = every[at[inside]] == s[inside]
+    least = least.copy()
+    least[at[known]] = np.minimum(least[at[known]], low[known])
+    return np.insert(every, at[~known], s[~known]), np.insert(least, at[~known], low[~known])
 
 
 def _merge(length: int):
@@ -377,7 +396,7 @@ def removed_intervals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first byte * 256 + bytes - length."""
     spark = docs.sparkSession
     buckets = pieces(docs, 16 << 20, least=16)
-    sent = stage(docs.select("id", "text").mapInArrow(_send(buckets), "bucket int, ids binary, codes binary, owners binary"), "repeats-sent")
+    sent = stage(docs.select("id", "text").mapInArrow(_send(buckets, length), "bucket int, ids binary, codes binary, owners binary"), "repeats-sent")
     far = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_meet, "id long, codes binary")
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -79,3 +79,39 @@ def test_merge_by_binary_search():
     b = np.sort(np.array([b"bb", b"cc"], "S2"))
     s, least = S.merge_sorted([(a, np.array([5, 4, 7, 1])), (b, np.array([2, 9]))])
     assert s.tolist() == [b"aa", b"bb", b"cc", b"dd"] and least.tolist() == [5, 2, 9, 1]
+
+
+def test_hot_strings_are_dealt_by_all_their_bytes():
+    # windows that start in one phrase have the same first bytes, but go to many parts
+    rng = np.random.default_rng(1)
+    strings = rng.integers(97, 123, (4000, 50)).astype(np.uint8)
+    strings[:, :40] = 97
+    part = S.string_hashes(strings) % np.uint64(8)
+    assert np.bincount(part.astype(int), minlength=8).min() > 400
+    assert (S.string_hashes(strings[::-1]) == S.string_hashes(strings)[::-1]).all()
+    strings = np.repeat(strings[:1], 50, 0)
+    strings[np.arange(50), np.arange(50)] = 65
+    assert len(np.unique(S.string_hashes(strings))) == 50
+
+
+def test_shard_spreads_strings_of_one_phrase():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    pieces = [b"a phrase of forty bytes that repeats here: " + bytes(rng.randrange(97, 123) for _ in range(7)) for _ in range(200)]
+    n = len(pieces)
+    shard = pa.table({"key": [7] * n, "id": list(range(n)), "th": list(range(n)), "start": [0] * n, "h": list(range(n)), "piece": pa.array(pieces, pa.binary()), "salts": [4] * n})
+    out = S._shard(50)(shard).to_pydict()
+    parts = {p: len(s) // 50 for p, s in zip(out["part"], out["strings"]) if s is not None}
+    assert sorted(parts) == [0, 1, 2, 3] and sum(parts.values()) == n and max(parts.values()) < n // 2
+
+
+@pytest.mark.parametrize("length", [30, 80])
+def test_other_lengths_equal_brute_force(spark, monkeypatch, length):
+    monkeypatch.setattr(S, "HOT", 8)
+    rng = random.Random(length)
+    header = "from the header of one source: "
+    rows = [(i, header + prose(rng, 6, 10**6)) for i in range(40)]
+    shared = prose(rng, 12, 10**6)[:length]
+    rows += [(100 + i, prose(rng, 5, 10**6) + shared + prose(rng, 5, 10**6)) for i in range(10)]
+    assert run(spark, rows, length=length) == brute(rows, length)
