@@ -167,6 +167,86 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, np.searchsorted(s, off)
 
 
+def windows(data: np.ndarray, off: np.ndarray, gap: np.ndarray, ahead: int, limit: int = SLICE) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first, last, begin, own, end): documents first:last in the bytes begin:end. A
+    document of over 2 x limit bytes comes in several windows cut at gap bytes: words
+    that start before ``own`` belong to the window, ``ahead`` more words follow them."""
+    for i, j in doc_slices(off, limit):
+        a, e = int(off[i]), int(off[j])
+        if e - a <= 2 * limit:
+            yield i, j, a, e, e
+            continue
+        while a < e:
+            own = _next_gap(data, a + limit, e, gap)
+            end, size = own, 4096
+            while own < e:
+                word = ~gap[data[own : min(e, own + size)]]
+                starts = np.flatnonzero(word[1:] & ~word[:-1])
+                if len(starts) > ahead or own + size >= e:
+                    end = own + 1 + int(starts[ahead]) if len(starts) > ahead else e
+                    break
+                size *= 4
+            yield i, j, a, own, end
+            a = own
+
+
+def _next_gap(data: np.ndarray, at: int, end: int, gap: np.ndarray) -> int:
+    for s in range(at, end, 1 << 16):
+        found = np.flatnonzero(gap[data[s : min(end, s + (1 << 16))]])
+        if len(found):
+            return s + int(found[0])
+    return end
+
+
+class Powers:
+    """Powers of an odd base modulo 2**64 and of its inverse, as far as needed."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if n >= len(self.up):
+            n = 1 << (n + 1).bit_length()
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (self.base, self.inverse))
+
+    def prefix(self, codes: np.ndarray) -> np.ndarray:
+        """Prefix polynomials: entry i is the sum of codes[j] * base**j over j < i."""
+        self.reach(len(codes))
+        out = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * self.up[: len(codes)], out=out[1:])
+        return out
+
+    def between(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprints of the stretches start:end, wherever they stand."""
+        return (prefix[end] - prefix[start]) * self.down[start]
+
+
+# ---------------------------------------------------------------- screens
+class Screen:
+    """A bitmap over 64-bit keys: says no only to keys that it was not built from."""
+
+    def __init__(self, bits: np.ndarray, size: int):
+        self.bits, self.shift = bits, np.uint64(64 - size)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> self.shift
+        return (self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def screen(keys: DataFrame, col: str, count: int, most: int = 29) -> Screen:
+    """The bitmap of a long column, about 16 bits a key and at most 2**most bits (64
+    MB); beyond that more keys pass by chance, which callers count or join exactly."""
+    size = min(most, max(15, (16 * max(1, count) - 1).bit_length()))
+    slot = F.shiftrightunsigned(F.col(col), 64 - size) + 1
+    got = keys.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    bits = np.zeros((1 << size) // 8, np.uint8)
+    for r in got.toLocalIterator():
+        at = (r["b"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return Screen(bits, size)
+
+
 # ---------------------------------------------------------------- components
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components by minimum labels with pointer jumping.
