@@ -4,13 +4,15 @@ Texts are lower-cased (A-Z), split at ``[.,;:!?]`` and the bytes 0x0A to 0x0D in
 pieces, and those at spaces and tabs into words. Prefix polynomials over the bytes
 give every word a fingerprint, prefix polynomials over the words every n-gram one.
 Each level n (1 to ``LONGEST``) is a pass over all texts: a shuffle sums the
-occurrences by fingerprint (of language and phrase) and keeps a pointer (document,
-byte offset, length) to one of them. From level 2 on, an n-gram is only counted
-if both its (n-1)-grams may be frequent: a phrase occurs no more often than its parts,
-so nothing frequent is lost. The test is a bitmap of bounded size; what passes by
-chance is counted like all else.
-
-Collisions: a second, independent fingerprint rides along. Where the occurrences
+occurrences by fingerprint (of language and phrase). From level 2 on, an n-gram is only
+counted if both its (n-1)-grams may be frequent: a phrase occurs no more often than its
+parts, so nothing frequent is lost. The test is a bitmap of bounded size; what passes
+by chance is counted like all else. Then pointers (document, byte offset, length) to the
+fingerprints found frequent are shuffled, one per task, and one is kept: first from a share
+of the documents, which holds nearly all (a phrase occurs ``least`` times), then from
+all documents for the fingerprints still without one.
+
+Collisions: 31 bits of a second, independent fingerprint ride along. Where the occurrences
 of one fingerprint disagree in it, their phrases are counted by their text instead. Only
 frequent phrases are materialised, by their pointers, and their fingerprints
 are taken again from the text.
@@ -36,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, Powers, Screen, discard, lowered, mix, release, screen, seeds, stage, text_bytes, windows
+from .common import BYTE_CODE, Powers, Screen, lowered, mix, release, screen, seeds, stage, text_bytes, windows
 
 LONGEST, LEAST, TOP, UND = 5, 100, 2000, "und"
-WINDOW = 1 << 20  # bytes of text expanded at once
+WINDOW = 1 << 19  # bytes of text expanded at once
 PIECE = np.zeros(256, bool)
 PIECE[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 GAP = PIECE.copy()
@@ -47,9 +49,9 @@ GAP[[9, 32]] = True
 CODES = (BYTE_CODE, seeds(256, 29))
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # of bytes; words use these plus 2
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-NEAR = 500_000  # pointers that are broadcast, as counted; more are joined by a shuffle
-COUNTS = "lang string, fp long, c long, lo long, hi long, doc long, at int, size int"
-TEXTS = "lang string, fp long, phrase string, c long"
+NEAR = 100_000  # pointers that are broadcast, as counted; more are joined by a shuffle
+FEW = 32  # a phrase is looked for in one of so many documents first, then in all
+TEXTS = "lang string, phrase string, c long"
 
 
 class Grams:
@@ -111,13 +113,12 @@ def _passes(grams: Grams, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, n
 
 
 def _count(n: int, before: Screen | None, mask: int):
-    """Arrow batches of (lang, text, doc) -> the n-grams of each window, counted."""
+    """Arrow batches of (lang, text) -> the n-grams of each window, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(mask)
         for batch in batches:
-            docs = np.asarray(batch.column("doc"))
-            for _, off, langs, salts, begin in _passes(grams, batch):
+            for _, _, _, salts, _ in _passes(grams, batch):
                 i = grams.firsts(n)
                 if before is not None and len(i):
                     i = i[before(grams.prints(i, n - 1, salts)[0])]
@@ -126,20 +127,47 @@ def _count(n: int, before: Screen | None, mask: int):
                     continue
                 fp, other = grams.prints(i, n, salts)
                 order = np.argsort(fp)
-                fp, other, i = fp[order], other[order], i[order]
+                fp, other = fp[order], (other[order] >> np.uint64(33)).astype(np.int32)
                 head = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-                at = i[head]
-                doc = grams.doc[at]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([langs[d] for d in doc.tolist()], pa.string()),
-                    pa.array(fp[head].view(np.int64)),
-                    pa.array(np.diff(np.append(head, len(fp)))),
-                    pa.array(np.minimum.reduceat(other.view(np.int64), head)),
-                    pa.array(np.maximum.reduceat(other.view(np.int64), head)),
-                    pa.array(docs[doc]),
-                    pa.array((grams.start[at] + begin - off[doc]).astype(np.int32)),
-                    pa.array((grams.end[at + n - 1] - grams.start[at]).astype(np.int32)),
-                ], names=["lang", "fp", "c", "lo", "hi", "doc", "at", "size"])
+                    pa.array(fp[head].view(np.int64)), pa.array(np.diff(np.append(head, len(fp)))),
+                    pa.array(np.minimum.reduceat(other, head)), pa.array(np.maximum.reduceat(other, head)),
+                ], names=["fp", "c", "lo", "hi"])
+
+    return run
+
+
+def _point(frequent: list[Screen], wanted: list[Screen], mask: int):
+    """Arrow batches of (lang, text, doc) -> a pointer to an occurrence of every n-gram that
+    passes its level's screen of wanted ones, once per task. Prefixes of frequent n-grams
+    are frequent, so what the other screens stop isn't looked at further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, seen = Grams(mask), [np.zeros(0, np.uint64) for _ in frequent]
+        for batch in batches:
+            docs = np.asarray(batch.column("doc"))
+            for _, off, _, salts, begin in _passes(grams, batch):
+                i = grams.firsts(1)
+                for n, (known, sought) in enumerate(zip(frequent, wanted, strict=True), 1):
+                    i = i[grams.run[i] >= i + n]
+                    fp = grams.prints(i, n, salts)[0]
+                    hit = known(fp)
+                    i, fp = i[hit], fp[hit]
+                    hit = sought(fp)
+                    new, at = np.unique(fp[hit], return_index=True)
+                    at = i[hit][at]
+                    old = np.searchsorted(seen[n - 1], new)
+                    fresh = np.ones(len(new), bool)
+                    inside = old < len(seen[n - 1])
+                    fresh[inside] = seen[n - 1][old[inside]] != new[inside]
+                    new, at = new[fresh], at[fresh]
+                    if not len(new):
+                        continue
+                    seen[n - 1] = np.insert(seen[n - 1], old[fresh], new)
+                    doc = grams.doc[at]
+                    start = grams.start[at] + begin - off[doc]
+                    size = grams.end[at + n - 1] - grams.start[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(np.full(len(new), n, np.int32)), pa.array(docs[doc]), pa.array(start << 32 | size)], names=["fp", "words", "doc", "place"])
 
     return run
 
@@ -158,38 +186,35 @@ def _spell(n: int, wanted: np.ndarray, mask: int):
                     continue
                 i = i[hit]
                 texts = [" ".join(bytes(low[begin + grams.start[k] : begin + grams.end[k]]).decode() for k in range(j, j + n)) for j in i.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in grams.doc[i].tolist()], pa.string()), pa.array(fp[hit].view(np.int64)), pa.array(texts), pa.array(np.ones(len(i), np.int64))], names=["lang", "fp", "phrase", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in grams.doc[i].tolist()], pa.string()), pa.array(texts), pa.array(np.ones(len(i), np.int64))], names=["lang", "phrase", "c"])
 
     return run
 
 
-def _read(n_words: int, mask: int):
-    """(text, pointers) -> the phrases pointed at whose fingerprint is the pointer's."""
+def _read(longest: int, mask: int):
+    """(lang, text, pointers) -> the phrases pointed at whose fingerprint is the pointer's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, out = Grams(mask), ([], [], [], [])
+        grams = Grams(mask)
         for batch in batches:
-            for text, points in zip(batch.column("text").to_pylist(), batch.column("points").to_pylist(), strict=True):
+            found = []
+            for lang, text, points in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), batch.column("points").to_pylist(), strict=True):
                 raw = (text or "").encode()
-                parts = [raw[p["at"] : p["at"] + p["size"]].lower() for p in points]
+                parts = [raw[p["place"] >> 32 : (p["place"] >> 32) + (p["place"] & 0xFFFFFFFF)].lower() for p in points]
                 off = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                salts = _salts([p["lang"] for p in points])
                 data = np.frombuffer(b"".join(parts), np.uint8)
                 grams.read(data, 0, len(data), len(data), off)
+                salts = np.repeat(_salts([lang]), len(parts))
                 size = np.bincount(grams.doc, minlength=len(parts))
-                where = np.cumsum(size) - size
-                fp = np.zeros(len(parts), np.uint64)
-                for n in range(1, n_words + 1):
-                    at = np.flatnonzero(size == n)
-                    at = at[grams.run[where[at]] == where[at] + n] if len(at) else at
-                    if len(at):
-                        fp[at] = grams.prints(where[at], n, salts)[0]
-                for k in np.flatnonzero(fp.view(np.int64) == np.array([p["fp"] for p in points], np.int64)).tolist():
-                    for column, value in zip(out, (points[k]["lang"], points[k]["fp"], b" ".join(parts[k].split()).decode(), points[k]["c"]), strict=True):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], names=["lang", "fp", "phrase", "c"])
-                out = ([], [], [], [])
+                first = np.cumsum(size) - size
+                for n in range(1, longest + 1):
+                    k = np.array([j for j, p in enumerate(points) if p["words"] == n and size[j] == n], np.int64)
+                    k = k[grams.run[first[k]] == first[k] + n] if len(k) else k
+                    fp = grams.prints(first[k], n, salts)[0].view(np.int64) if len(k) else k
+                    found += [(lang, n, b" ".join(parts[j].split()).decode(), points[j]["c"], points[j]["fp"]) for j, x in zip(k.tolist(), fp.tolist(), strict=True) if points[j]["fp"] == x]
+            if found:
+                columns = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["lang", "words", "phrase", "f", "fp"])
 
     return run
 
@@ -200,36 +225,52 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("doc"))
-    found, before, totals = [], None, None
+    totals = stage(d.mapInArrow(_words(), "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    out, levels, screens, many = None, [], [], 0
     for n in range(1, longest + 1):
-        rows = d.mapInArrow(_count(n, before, mask), COUNTS)
-        # one buffer per group: all first() values are of one row
-        sums = rows.groupBy("fp").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.first(x).alias(x) for x in ("lang", "doc", "at", "size")])
-        if n == 1:
-            d1 = d.mapInArrow(_words(), "lang string, n long")
-            totals = stage(d1.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+        rows = d.select("lang", "text").mapInArrow(_count(n, screens[-1] if screens else None, mask), "fp long, c long, lo int, hi int")
+        sums = rows.groupBy("fp").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         level = stage(sums.where(F.col("c") >= least), f"phrases-{n}")
-        many = level.count()
-        if not many:
-            discard(level)
+        size = level.count()
+        del rows, sums  # else their shuffle files stay
+        release(spark)
+        if not size:
             break
         wrong = _collisions(level)
         if wrong is not None:
-            spelt = d.mapInArrow(_spell(n, wrong, mask), TEXTS).groupBy("lang", "fp", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-            found.append(stage(spelt.select("lang", F.lit(n).alias("words"), "phrase", F.col("c").alias("f")), f"phrases-spelt-{n}"))
-        good = level.where("lo = hi")
-        points = good.groupBy("doc").agg(F.collect_list(F.struct("lang", "fp", "c", "at", "size")).alias("points"))
-        points = F.broadcast(points) if many <= NEAR else points
-        read = d.select("doc", "text").join(points, "doc").select("text", "points").mapInArrow(_read(longest, mask), TEXTS)
-        found.append(stage(read.dropDuplicates(["lang", "fp", "phrase"]).select("lang", F.lit(n).alias("words"), "phrase", F.col("c").alias("f")), f"phrases-read-{n}"))
-        before = screen(level, "fp", many)
-        release(spark)
-    if not found:
+            spelt = d.select("lang", "text").mapInArrow(_spell(n, wrong, mask), TEXTS).groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+            spelt = stage(spelt.select("lang", F.lit(n).alias("words"), "phrase", "f", F.lit(None).cast("long").alias("fp")), f"phrases-spelt-{n}")
+            out = spelt if out is None else out.unionByName(spelt)
+        levels.append(level.where("lo = hi").select("fp", F.lit(n).alias("words"), "c"))
+        screens.append(screen(level, "fp", size))
+        many += size
+    if not levels:
         return spark.createDataFrame([], "lang string, words int, phrase string, f long"), totals
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out, totals
+    wanted = levels[0]
+    for x in levels[1:]:
+        wanted = wanted.unionByName(x)
+    sought = screens
+    for part in (d.where(F.pmod("doc", F.lit(FEW)) == 0), d):
+        read = stage(_materialised(part, wanted, screens, sought, longest, mask, many), "phrases-read")
+        out = read if out is None else out.unionByName(read)
+        wanted = stage(wanted.join(read.select("fp", "words"), ["fp", "words"], "left_anti"), "phrases-left")
+        left = {r["words"]: r["n"] for r in wanted.groupBy("words").agg(F.count("*").alias("n")).collect()}
+        if not left:
+            break
+        many = sum(left.values())
+        sought = [screen(wanted.where(F.col("words") == n), "fp", left.get(n, 0)) for n in range(1, len(screens) + 1)]
+    return out.select("lang", "words", "phrase", "f"), totals
+
+
+def _materialised(d: DataFrame, wanted: DataFrame, screens: list[Screen], sought: list[Screen], longest: int, mask: int, many: int) -> DataFrame:
+    """(lang, words, phrase, f, fp) of the wanted (fp, words, c) that occur in d."""
+    # one buffer per group: both first() values are of one row
+    points = d.mapInArrow(_point(screens, sought, mask), "fp long, words int, doc long, place long").groupBy("fp", "words").agg(F.first("doc").alias("doc"), F.first("place").alias("place"))
+    points = stage(points.join(wanted, ["fp", "words"]), "phrases-points")
+    points = points.groupBy("doc").agg(F.collect_list(F.struct("fp", "words", "place", "c")).alias("points"))
+    points = F.broadcast(points) if many <= NEAR else points
+    read = d.join(points, "doc").select("lang", "text", "points").mapInArrow(_read(longest, mask), "lang string, words int, phrase string, f long, fp long")
+    return read.dropDuplicates(["lang", "words", "phrase"])
 
 
 def _words():

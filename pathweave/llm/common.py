@@ -235,9 +235,9 @@ class Screen:
 
 
 def screen(keys: DataFrame, col: str, count: int, most: int = 29) -> Screen:
-    """The bitmap of a long column, about 16 bits a key and at most 2**most bits (64
+    """The bitmap of a long column, about 64 bits a key and at most 2**most bits (64
     MB); beyond that more keys pass by chance, which callers count or join exactly."""
-    size = min(most, max(15, (16 * max(1, count) - 1).bit_length()))
+    size = min(most, max(15, (64 * max(1, count) - 1).bit_length()))
     slot = F.shiftrightunsigned(F.col(col), 64 - size) + 1
     got = keys.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     bits = np.zeros((1 << size) // 8, np.uint8)

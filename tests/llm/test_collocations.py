@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -95,11 +96,22 @@ def test_windows_of_a_long_text_change_nothing(monkeypatch, window):
             for r in b.to_pylist():
                 total[r["fp"]] += r["c"]
                 assert r["lo"] == r["hi"]
-                raw = texts[r["doc"]].encode()[r["at"] : r["at"] + r["size"]].split()
-                assert len(raw) == n
         return total
 
+    def pointers():
+        known = [C.Screen(np.full(4096, 255, np.uint8), 15)] * 3  # all pass
+        found = [set(), set(), set()]
+        for b in C._point(known, known, int(C.ALL))([batch]):
+            for r in b.to_pylist():
+                at, size = r["place"] >> 32, r["place"] & 0xFFFFFFFF
+                assert len(texts[r["doc"]].encode()[at : at + size].split()) == r["words"]
+                assert r["fp"] not in found[r["words"] - 1]
+                found[r["words"] - 1].add(r["fp"])
+        return found
+
+    assert [set(counts(n)) for n in (1, 2, 3)] == pointers()
     want = {n: counts(n) for n in (1, 2, 5)}
     monkeypatch.setattr(C, "WINDOW", window)
+    assert [set(counts(n)) for n in (1, 2, 3)] == pointers()
     assert {n: counts(n) for n in (1, 2, 5)} == want
     assert sum(want[1].values()) == sum(len(re.split(r"[\s.]+", (t or "").strip(" .\n"))) for t in texts if t)
