@@ -72,3 +72,58 @@ def adam_step(P, M, V, g, t, lr=1e-3, b1=0.9, b2=0.999, eps=1e-8):
         mh = M[k] / (1 - b1 ** t)
         vh = V[k] / (1 - b2 ** t)
         P[k] -= lr * mh / (np.sqrt(vh) + eps)
+
+
+def dropout_mask(ex, n_contexts: int, width: int, keep: float, seed) -> np.ndarray:
+    """Scaled 0 / 1 mask of one example's contexts: a function of the seed and the example alone,
+    so that it does not depend on how examples are dealt to tasks."""
+    return (np.random.default_rng([*seed, int(ex) & ((1 << 63) - 1)]).random((n_contexts, width)) < keep) / keep
+
+
+def bags_forward(s_idx, p_idx, d_idx, lens, T, P, W, a, mask=None):
+    """Code vectors of ragged bags (all non-empty) and what the way back needs."""
+    X = np.hstack([T[s_idx], P[p_idx], T[d_idx]])
+    if mask is not None:
+        X = X * mask
+    H = np.tanh(X @ W)
+    s = H @ a
+    off = np.concatenate([[0], np.cumsum(lens)[:-1]])
+    seg = np.repeat(np.arange(len(lens)), lens)
+    e = np.exp(s - np.maximum.reduceat(s, off)[seg])
+    al = e / np.add.reduceat(e, off)[seg]
+    return np.add.reduceat(al[:, None] * H, off, axis=0), (X, H, al, off, seg)
+
+
+def bags_backward(dv, cache, s_idx, p_idx, d_idx, T, P, W, a, mask=None):
+    """Gradients of token and path rows, transform and attention from those of the code vectors."""
+    X, H, al, off, seg = cache
+    dal = (H * dv[seg]).sum(axis=1)
+    ds = al * (dal - np.add.reduceat(al * dal, off)[seg])
+    dZ = (al[:, None] * dv[seg] + ds[:, None] * a[None, :]) * (1 - H * H)
+    dX = dZ @ W.T
+    if mask is not None:
+        dX = dX * mask
+    dt, dp = T.shape[1], P.shape[1]
+    gT, gP = np.zeros_like(T), np.zeros_like(P)
+    np.add.at(gT, s_idx, dX[:, :dt])
+    np.add.at(gP, p_idx, dX[:, dt:dt + dp])
+    np.add.at(gT, d_idx, dX[:, dt + dp:])
+    return gT, gP, X.T @ dZ, H.T @ ds
+
+
+def softmax_block(C, want, Y):
+    """One block of targets (rows Y; want: each code's own row or -1) -> maximum, scaled sum
+    of exponentials, the sum of exp * row, and the own score (nan if the own row is elsewhere)."""
+    S = C @ Y.T
+    m = S.max(axis=1)
+    E = np.exp(S - m[:, None])
+    own = np.where(want >= 0, S[np.arange(len(C)), np.maximum(want, 0)], np.nan)
+    return m, E.sum(axis=1), E @ Y, own
+
+
+def softmax_block_grad(C, want, Y, lse, n):
+    """Gradient of a block of target rows, the loss averaged over n examples."""
+    p = np.exp(C @ Y.T - lse[:, None])
+    own = np.nonzero(want >= 0)[0]
+    p[own, want[own]] -= 1.0
+    return (p / n).T @ C

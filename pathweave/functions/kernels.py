@@ -1,12 +1,9 @@
-"""numpy kernels used inside mapInPandas (Arrow batches, one call per batch).
+"""numpy kernels used inside tasks (one call per Arrow batch or block).
 
 Kept free of Spark imports so they can be unit-tested on plain arrays.
 """
 
 import numpy as np
-import pyarrow.parquet as pq
-
-_MATRIX_CACHE: dict = {}
 
 
 def segment_forward(xs, W: np.ndarray, a: np.ndarray):
@@ -31,22 +28,6 @@ def segment_forward(xs, W: np.ndarray, a: np.ndarray):
     return codes, np.split(w, np.cumsum(lens)[:-1])
 
 
-def load_matrix(path: str):
-    """Dense (index, matrix) of a parquet table (idx int, vec array<double>), cached per worker."""
-    hit = _MATRIX_CACHE.get(path)
-    if hit is not None:
-        return hit
-    t = pq.read_table(path.replace("file:", "", 1) if path.startswith("file:") else path)
-    idx = t.column("idx").to_numpy()
-    col = t.column("vec").combine_chunks()
-    vec = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(idx), -1)
-    order = np.argsort(idx, kind="stable")
-    hit = (idx[order], vec[order])
-    _MATRIX_CACHE.clear()  # one matrix per worker
-    _MATRIX_CACHE[path] = hit
-    return hit
-
-
 def blocked_topk(codes: np.ndarray, targets: np.ndarray, k: int, block: int = 8192, true_idx=None, cells: int = 4 << 20):
     """Top-k target rows per code vector by dot product, scanning the target matrix
     in blocks for a slice of the code vectors at a time: at most ``cells`` scores
@@ -70,6 +51,15 @@ def _topk_slice(codes: np.ndarray, targets: np.ndarray, k: int, block: int, true
     lse_m = np.full(B, -np.inf)
     lse_z = np.zeros(B)
     own = np.full(B, np.nan)
+    if V <= block:  # one block: no running state
+        S = codes @ targets.T
+        m = S.max(axis=1)
+        lse = m + np.log(np.exp(S - m[:, None]).sum(axis=1))
+        if true_idx is not None:
+            rows = np.nonzero((true_idx >= 0) & (true_idx < V))[0]
+            own[rows] = S[rows, true_idx[rows]]
+        s, i = _best(S, k)
+        return s, i, lse, own
     for start in range(0, V, block):
         S = codes @ targets[start:start + block].T
         bm = S.max(axis=1)
@@ -80,21 +70,26 @@ def _topk_slice(codes: np.ndarray, targets: np.ndarray, k: int, block: int, true
             inblk = (true_idx >= start) & (true_idx < start + S.shape[1])
             rows = np.nonzero(inblk)[0]
             own[rows] = S[rows, true_idx[rows] - start]
-        # only scores that reach the block's kth value can enter the k best
-        if S.shape[1] > k:
-            r, c = np.nonzero(S >= np.partition(S, S.shape[1] - k, axis=1)[:, [S.shape[1] - k]])
-        else:
-            r, c = (x.ravel() for x in np.indices(S.shape))
-        s = S[r, c]
-        order = np.lexsort((c, -s, r))
-        r, c, s = r[order], c[order], s[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        first = place < k
-        new_s = s[first].reshape(B, -1)
-        new_i = c[first].reshape(B, -1) + start
+        new_s, new_i = _best(S, min(k, S.shape[1]))
+        new_i = new_i + start
         cat_s, cat_i = np.concatenate([best_s, new_s], axis=1), np.concatenate([best_i, new_i], axis=1)
         # order by score desc, then row asc
         order = np.lexsort((cat_i, -cat_s), axis=1)[:, :k]
         best_s = np.take_along_axis(cat_s, order, axis=1)
         best_i = np.take_along_axis(cat_i, order, axis=1)
     return best_s, best_i, lse_m + np.log(lse_z), own
+
+
+def _best(S: np.ndarray, k: int):
+    """The k largest of every row in order, ties by the lower column."""
+    B, V = S.shape
+    if k >= V or V <= 64:
+        at = np.argsort(-S, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(S, at, axis=1), at
+    # only scores that reach the kth value can be among the k best
+    r, c = np.nonzero(S >= np.partition(S, V - k, axis=1)[:, [V - k]])
+    s = S[r, c]
+    order = np.lexsort((c, -s, r))
+    r, c, s = r[order], c[order], s[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return s[first].reshape(B, -1), c[first].reshape(B, -1)

@@ -9,10 +9,9 @@ Plan per stage
   ``max_contexts`` after sampling -- and one ``mapInPandas`` runs the
   tanh transform, the masked softmax and the weighted sum for a whole Arrow
   batch of bags with numpy.
-* C9/E6: the target matrix is a side input written once to the shared
-  checkpoint folder; every task scores its bags against it block by block
-  and keeps a running top-k, so nothing large is shuffled or broadcast
-  through the driver.
+* C9/E6: code vectors and targets meet in block products (``scoring``): a task
+  holds one block of each, and the blocks' states are merged, so no task reads
+  the target matrix whole and nothing large goes through the driver.
 """
 
 from __future__ import annotations
@@ -20,12 +19,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..sources.fixtures import param_value
-from ..sources.lines import scratch_path
+from . import scoring
 from .ranking import maybe_broadcast
 
 ROUND = 6  # scores and vectors are reported at 6 decimals
@@ -103,54 +102,24 @@ def code_vectors(ctx: DataFrame, params: ModelParams) -> DataFrame:
     return bags.mapInPandas(run, schema)
 
 
-def write_target_matrix(spark: SparkSession, params: ModelParams) -> str:
-    """Materialise the target matrix once in the shared folder (side input of C9)."""
-    path = scratch_path(spark, "targets")
-    params.target_emb.write.mode("overwrite").parquet(path)
-    return path
-
-
-def score_targets(codes: DataFrame, matrix_path: str, k: int) -> DataFrame:
-    """C9 + E6 (+ D12 parts): top-k targets by score for every code vector,
-    plus log-sum-exp over all targets and the score of the true target."""
-
-    def run(batches):
-        import pandas as pd
-
-        from ..functions.kernels import blocked_topk, load_matrix
-
-        idx, M = load_matrix(matrix_path)
-        pos_of = {int(v): i for i, v in enumerate(idx)}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            C = np.vstack(list(pdf["code"]))
-            true_rows = np.array([pos_of.get(int(t), -1) for t in pdf["target_idx"]])
-            s, i, lse, own = blocked_topk(C, M, k, true_idx=np.where(true_rows < 0, 10 ** 12, true_rows))
-            kk = s.shape[1]
-            yield pd.DataFrame({
-                "ex": np.repeat(pdf["ex"].to_numpy(), kk),
-                "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), len(pdf)),
-                "idx": idx[i.ravel()].astype(np.int32),
-                "score": s.ravel(),
-                "lse": np.repeat(lse, kk),
-                "own": np.repeat(own, kk),
-            })
-
-    return codes.select("ex", "target_idx", "code").mapInPandas(
-        run, "ex long, rank int, idx int, score double, lse double, own double")
+def score_targets(codes: DataFrame, params: ModelParams, k: int, settings: Settings, code_blocks: int | None = None) -> DataFrame:
+    """C9 + E6 (+ D12 parts): top-k targets by score for every code vector, plus log-sum-exp
+    over all targets and the score of the true target, from block products."""
+    return scoring.score_targets(codes, params.target_emb, k, settings.target_vocab_size + 2, code_blocks, dim=params.code_dim)
 
 
 def predict(codes: DataFrame, scored: DataFrame, target_vocab: DataFrame, settings: Settings,
-            normalize: bool = False) -> DataFrame:
+            normalize: bool | str = False) -> DataFrame:
     """I6 (+ C2, I7): (ex, original, rank, word, score); ``normalize`` applies a
-    softmax over the k scores of each example."""
+    softmax over the k scores of each example, or over all targets with "full"."""
     oov = settings.target_specials.oov
     v = maybe_broadcast(target_vocab.select("idx", "word"), settings.target_vocab_size + 2,
                         settings.vocab_row_bytes, settings.broadcast_limit_bytes)
     p = scored.join(v, "idx", "left").withColumn("word", F.coalesce("word", F.lit(oov)))
     p = p.join(codes.select("ex", F.col("target").alias("original")), "ex")
-    if normalize:
+    if normalize == "full":
+        p = p.withColumn("score", F.exp(F.col("score") - F.col("lse")))
+    elif normalize:
         w = Window.partitionBy("ex")
         e = F.exp(F.col("score") - F.max("score").over(w))
         p = p.withColumn("score", e / F.sum(e).over(w))

@@ -1,9 +1,9 @@
 """Nearest words by cosine (I15, I16) and word2vec text export / import.
 
-The query vectors are a side input written to the shared checkpoint folder;
-every task scores its slice of the vocabulary against all queries with
-numpy and keeps a partial top-k, and the final top-k per query is a
-``row_number() <= k`` (partial WindowGroupLimit before the shuffle).
+Words and query vectors meet in block products (``scoring.block_pairs``): a task
+holds one block of each and keeps a partial top-k per query with numpy, and the
+final top-k per query is a ``row_number() <= k`` (partial WindowGroupLimit before
+the shuffle).
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.lines import scratch_path
+from .ranking import reliable_checkpoint
+from .scoring import block_pairs, matrix
+
+QUERY_ROWS = 4096  # queries in a block
 
 
 def unit(col):
@@ -35,44 +38,43 @@ def combine_queries(vectors: DataFrame, spec: DataFrame) -> DataFrame:
     return g.select("qid", unit(mean).alias("vec"), "exclude")
 
 
-def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, word, similarity): the k most similar words per query, inputs excluded."""
-    path = scratch_path(spark, "queries")
-    queries.write.mode("overwrite").parquet(path)
+def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int, word_blocks: int | None = None,
+            query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(qid, rank, word, similarity): the k most similar words per query, inputs excluded.
+
+    Words and queries meet in block products; a block pair yields its k best per query."""
+    queries = reliable_checkpoint(queries)
+    qb = max(1, -(-queries.count() // query_rows))
+    wb = word_blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches):
+    def run(left, right):
         import numpy as np
-        import pandas as pd
-        import pyarrow.parquet as pq
-
-        t = pq.read_table(path.replace("file:", "", 1) if path.startswith("file:") else path).to_pandas()
-        qids = t["qid"].to_numpy()
-        Q = np.vstack(list(t["vec"])) if len(t) else np.zeros((0, 1))
-        excl = [set(x) for x in t["exclude"]]
-        for pdf in batches:
-            if len(pdf) == 0 or len(t) == 0:
-                continue
-            V = np.vstack(list(pdf["vec"])).astype(np.float64)
-            V = V / np.linalg.norm(V, axis=1, keepdims=True)
-            S = V @ Q.T  # rows: words, cols: queries
-            S = np.round(S, 6)  # the order of results is (rounded similarity, word), here and in the last step
-            words = pdf["word"].to_numpy()
-            out_q, out_w, out_s = [], [], []
-            for j in range(len(qids)):
-                s = S[:, j].copy()
-                s[np.isin(words, list(excl[j]))] = -np.inf
-                if len(s) > k:  # all that reach the kth value, then the words decide
-                    near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                else:
-                    near = np.arange(len(s))
-                top = near[np.lexsort((words[near], -s[near]))][:k]
-                top = top[np.isfinite(s[top])]
-                out_q.extend([qids[j]] * len(top))
-                out_w.extend(words[top])
-                out_s.extend(s[top])
-            yield pd.DataFrame({"qid": out_q, "word": out_w, "similarity": out_s})
-
-    partial = vectors.select("word", "vec").mapInPandas(run, "qid long, word string, similarity double")
+        import pyarrow as pa
+
+        kind = pa.schema([("qid", pa.int64()), ("word", pa.string()), ("similarity", pa.float64())])
+        if left.num_rows == 0 or right.num_rows == 0:
+            return kind.empty_table()
+        V = matrix(left.column("vec"))
+        V = V / np.linalg.norm(V, axis=1, keepdims=True)
+        words, qids, excl = np.array(left.column("word").to_pylist(), dtype=object), right.column("qid").to_pylist(), right.column("exclude").to_pylist()
+        Q = matrix(right.column("vec"))
+        out_q, out_w, out_s = [], [], []
+        for j in range(len(qids)):
+            s = np.round(V @ Q[j], 6)  # the order of results is (rounded similarity, word), here and in the last step
+            s[np.isin(words, excl[j])] = -np.inf
+            if len(s) > k:  # all that reach the kth value, then the words decide
+                near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+            else:
+                near = np.arange(len(s))
+            top = near[np.lexsort((words[near], -s[near]))][:k]
+            top = top[np.isfinite(s[top])]
+            out_q.extend([qids[j]] * len(top))
+            out_w.extend(words[top])
+            out_s.extend(s[top].tolist())
+        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_w, pa.string()), pa.array(out_s, pa.float64())], schema=kind)
+
+    pairs = block_pairs(vectors.select("word", F.transform("vec", lambda x: x.cast("double")).alias("vec")), "word", wb, queries, "qid", qb)
+    partial = pairs.applyInArrow(run, "qid long, word string, similarity double")
     w = Window.partitionBy("qid").orderBy(F.round("similarity", 6).desc(), "word")
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -3,14 +3,12 @@
 Parameters live in a table ``(name, row, vec, m, v)`` partitioned by
 ``epoch`` in the shared folder (vec = weights, m / v = Adam moments).
 
-One epoch is one distributed pass: examples are shuffled into partitions
-with a seeded key, every task reads the epoch's parameter table (a side
-input), runs mini-batch Adam steps (batch 1024, dropout keep 0.75) on its
-shard with numpy, and emits the change of every row it moved. The changes
-are averaged over tasks with a grouped vector sum (partial aggregation) and
-added to the old rows -- synchronous parameter averaging once per epoch.
-This differs from the reference's single-device Adam per mini-batch, which
-does not scale out; the loss still falls epoch over epoch.
+Training is synchronous Adam per mini-batch, as on a single device: the result
+depends on the batch size and the seed, not on cores, shards or blocks (sums of floats
+in another order apart). No task reads the parameter table: a shard of the batch gets the
+embedding rows that it touches, target rows come in blocks, gradients are summed
+by row and applied in the JVM. One step is a handful of jobs, so batches should be as
+large as the learning rate bears (8,192 by default; the reference's 1,024 is a parameter).
 """
 
 from __future__ import annotations
@@ -19,7 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ranking import reliable_checkpoint
+from ..functions.backprop import bags_backward, bags_forward, dropout_mask, softmax_block, softmax_block_grad
+from ..sources.lines import scratch_path
+from .ranking import global_index, reliable_checkpoint
+from .scoring import BLOCK_BYTES, FAN_IN, block_pairs, blocks, matrix
 
 PARAM_COLS = ["name", "row", "vec", "m", "v"]
 
@@ -71,116 +72,246 @@ def train_bags(encoded: DataFrame) -> DataFrame:
     return g.filter(F.col("target_idx") > 0)
 
 
-def _load_params(path: str):
-    import pyarrow.parquet as pq
-
-    t = pq.read_table(path.replace("file:", "", 1) if path.startswith("file:") else path).to_pandas()
-    P, M, V = {}, {}, {}
-    for name, grp in t.groupby("name"):
-        rows = grp["row"].to_numpy()
-        n = int(rows.max()) + 1
-        dim = len(grp["vec"].iloc[0])
-        for store, col in ((P, "vec"), (M, "m"), (V, "v")):
-            arr = np.zeros((n, dim))
-            arr[rows] = np.vstack(list(grp[col]))
-            store[name] = arr
-    P["attention"], M["attention"], V["attention"] = P["attention"][0], M["attention"][0], V["attention"][0]
-    return P, M, V
-
-
-def run_epoch(spark: SparkSession, bags: DataFrame, params_path: str, epoch: int, n_tasks: int,
-              batch_size: int = 1024, lr: float = 1e-3, keep: float = 0.75, seed: int = 42,
-              start_step: int = 0) -> DataFrame:
-    """One pass; returns the averaged change rows (name, row, dvec, dm, dv) and a '_loss' row."""
-    key = F.xxhash64(F.lit(seed), F.lit(epoch), F.col("ex"))
-    shuffled = bags.repartition(n_tasks, key).sortWithinPartitions(key)
-
-    def run(batches):
-        import pandas as pd
-        from pyspark import TaskContext
-
-        from ..functions.backprop import adam_step, forward_backward
-
-        P, M, V = _load_params(params_path)
-        P0, M0, V0 = ({k: x.copy() for k, x in d.items()} for d in (P, M, V))
-        shard = TaskContext.get().partitionId()  # repartition(n) deals the same rows to the same shard
-        rng = np.random.default_rng([seed, epoch, shard])
-        loss, count, t = 0.0, 0, start_step  # moments carry on, so the step they are corrected by does too
-        rows = []
-        for pdf in batches:
-            recs = list(zip(pdf["target_idx"], pdf["s"], pdf["p"], pdf["d"]))
-            for i in range(0, len(recs), batch_size):
-                b = recs[i:i + batch_size]
-                l_, g, _ = forward_backward(b, P, keep, rng)
-                t += 1
-                adam_step(P, M, V, g, t, lr)
-                loss += l_
-                count += len(b)
-        if count == 0:
-            return
-        for name in P:
-            dP = P[name] - P0[name]
-            dM, dV = M[name] - M0[name], V[name] - V0[name]
-            if dP.ndim == 1:
-                dP, dM, dV = dP[None, :], dM[None, :], dV[None, :]
-            moved = np.nonzero(np.abs(dP).sum(axis=1) + np.abs(dM).sum(axis=1) > 0)[0]
-            for r in moved:
-                rows.append((name, int(r), np.concatenate([dP[r], dM[r], dV[r]]).tolist()))
-        rows.append(("_loss", 0, [loss, float(count), 0.0]))
-        yield pd.DataFrame(rows, columns=["name", "row", "delta"])
-
-    deltas = shuffled.mapInPandas(run, "name string, row int, delta array<double>")
+def steps_of_epoch(bags: DataFrame, epoch: int, batch: int, seed: int) -> tuple[str, int, int]:
+    """Bags in the epoch's seeded order, cut into mini-batches of exactly ``batch`` examples:
+    (folder partitioned by step, steps, examples). The order depends on the seed alone."""
+    order = [F.xxhash64(F.lit(seed), F.lit(epoch), F.col("ex")), F.col("ex")]
+    cut = global_index(bags.withColumn("_o", order[0]), ["_o", "ex"], "_i").withColumn("step", F.floor(F.col("_i") / batch).cast("int")).drop("_o")
+    path, n = scratch_path(bags.sparkSession, "batches"), cut.count()
+    if n:
+        cut.write.partitionBy("step").parquet(path)
+    return path, -(-n // batch), n
+
+
+def _used(bags: DataFrame) -> DataFrame:
+    """Scatter list: the distinct (shard, name, row) that the bags of each shard touch."""
+    token = bags.select("shard", F.lit("token").alias("name"), F.explode(F.concat("s", "d")).alias("row"))
+    path = bags.select("shard", F.lit("path").alias("name"), F.explode("p").alias("row"))
+    return token.unionByName(path).distinct()
+
+
+def _small(params: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Transform and attention: config-sized matrices (code_dim squared), read by the driver."""
+    rows = params.filter(F.col("name").isin("transform", "attention")).select("name", "row", "vec").collect()
+    W = np.array([r["vec"] for r in sorted((r for r in rows if r["name"] == "transform"), key=lambda r: r["row"])])
+    return W, np.array(next(r["vec"] for r in rows if r["name"] == "attention"))
+
+
+class _Shard:
+    """A shard's bags on its own rows of the embedding tables (row numbers are local)."""
+
+    def __init__(self, bags, rows, keep, seed, width):
+        name = np.array(rows.column("name").to_pylist())
+        number = rows.column("row").to_numpy()
+        vecs = rows.column("vec").combine_chunks()
+        self.rows, self.table = {}, {}
+        for part in ("token", "path"):
+            at = np.flatnonzero(name == part)
+            at = at[np.argsort(number[at], kind="stable")]
+            self.rows[part], self.table[part] = number[at], matrix(vecs.take(pa_array(at)))
+        order = np.argsort(bags.column("ex").to_numpy(), kind="stable")  # sums in one order, however rows arrive
+        bags = bags.take(pa_array(order))
+        self.ex = bags.column("ex").to_numpy()
+        self.y = bags.column("target_idx").to_numpy()
+        lists = {c: bags.column(c).combine_chunks() for c in ("s", "p", "d")}
+        self.lens = np.diff(lists["s"].offsets.to_numpy())
+        flat = {c: lists[c].flatten().to_numpy() for c in lists}
+        self.s, self.d = (np.searchsorted(self.rows["token"], flat[c]) for c in ("s", "d"))
+        self.p = np.searchsorted(self.rows["path"], flat["p"])
+        self.bags = bags
+        self.mask = None
+        if keep < 1.0:
+            self.mask = np.vstack([dropout_mask(e, n, width, keep, seed) for e, n in zip(self.ex, self.lens)])
+
+    def forward(self, W, a):
+        return bags_forward(self.s, self.p, self.d, self.lens, self.table["token"], self.table["path"], W, a, self.mask)
+
+
+def pa_array(at):
+    import pyarrow as pa
+
+    return pa.array(at)
+
+
+def run_step(params: DataFrame, bags: DataFrame, n: int, shards: int, t: int, target_rows: int, lr: float, keep: float,
+             seed: tuple[int, ...], block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """One Adam step on a mini-batch of n examples -> (new parameters, one row of loss sum).
+
+    1. gather: a shard's distinct rows of the embedding tables are joined to it; nothing else
+       of the tables reaches its task;
+    2. forward: code vectors per shard;
+    3. softmax by target blocks: every block yields a mergeable state per example (maximum,
+       scaled sum, scaled sum of rows, own score and row), so log-sum-exp and the code vector's gradient
+       need no pass over all targets in one task;
+    4. scatter: gradients of the shard's own rows, summed by (name, row); a block's target
+       gradients from its rows and the batch's code vectors;
+    5. Adam in the JVM, row by row.
+    """
+    import pyarrow as pa
+
+    W, a = _small(params)
+    width = W.shape[0]
+    bags = bags.select("ex", "target_idx", *[F.col(c).cast("array<int>").alias(c) for c in ("s", "p", "d")],
+                       F.pmod(F.xxhash64("ex"), F.lit(shards)).cast("int").alias("shard"))
+    tables = params.filter(F.col("name").isin("token", "path")).select("name", "row", "vec")
+    rows = reliable_checkpoint(_used(bags).join(tables, ["name", "row"]))
+
+    def forward(left, right):
+        kind = pa.schema([("ex", pa.int64()), ("target_idx", pa.int32()), ("code", pa.list_(pa.float64()))])
+        if left.num_rows == 0:
+            return kind.empty_table()
+        shard = _Shard(left, right, keep, seed, width)
+        codes, _ = shard.forward(W, a)
+        return pa.table([pa.array(shard.ex), pa.array(shard.y, pa.int32()), pa.array(list(codes), pa.list_(pa.float64()))], schema=kind)
+
+    codes = bags.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(forward, "ex long, target_idx int, code array<double>")
+    codes = reliable_checkpoint(codes)
+    targets = params.filter(F.col("name") == "target").select(F.col("row").alias("idx"), "vec")
+    tb = blocks(target_rows, width, block_bytes)
+
+    def block(left, right):
+        idx = right.column("idx").to_numpy()
+        order = np.argsort(idx, kind="stable")
+        idx, Y = idx[order], matrix(right.column("vec"))[order]
+        order = np.argsort(left.column("ex").to_numpy(), kind="stable")
+        C, y = matrix(left.column("code"))[order], left.column("target_idx").to_numpy()[order]
+        at = np.minimum(np.searchsorted(idx, y), len(idx) - 1)
+        return idx, Y, C, np.where(idx[at] == y, at, -1), order
+
+    def state(left, right):
+        kind = pa.schema([("ex", pa.int64()), ("tb", pa.int32()), ("m", pa.float64()), ("z", pa.float64()),
+                          ("u", pa.list_(pa.float64())), ("own", pa.float64()), ("row", pa.list_(pa.float64()))])
+        if left.num_rows == 0 or right.num_rows == 0:
+            return kind.empty_table()
+        _, Y, C, want, order = block(left, right)
+        m, z, u, own = softmax_block(C, want, Y)
+        here = want >= 0
+        return pa.table([left.column("ex").take(pa.array(order)), left.column("rb_").cast(pa.int32()), pa.array(m), pa.array(z),
+                         pa.array(list(u), pa.list_(pa.float64())), pa.array(own, mask=~here),
+                         pa.array([Y[w] if w >= 0 else None for w in want], pa.list_(pa.float64()))], schema=kind)
+
+    # as many examples in a block as fit it; the batch is bounded by its size
+    states = block_pairs(codes, "ex", blocks(n, width, block_bytes), targets, "idx", tb).applyInArrow(
+        state, "ex long, tb int, m double, z double, u array<double>, own double, row array<double>")
+    states = _merged(states, tb)
+    lse = F.col("m") + F.log("z")
+    states = states.select("ex", lse.alias("lse"), (lse - F.col("own")).alias("loss"),
+                           F.zip_with("u", "row", lambda x, r: (x / F.col("z") - r) / n).alias("dv"))
+    states = reliable_checkpoint(states)
+
+    def backward(left, right):
+        kind = pa.schema([("name", pa.string()), ("row", pa.int32()), ("g", pa.list_(pa.float64()))])
+        if left.num_rows == 0:
+            return kind.empty_table()
+        shard = _Shard(left, right, keep, seed, width)
+        _, cache = shard.forward(W, a)
+        gT, gP, gW, ga = bags_backward(matrix(shard.bags.column("dv")), cache, shard.s, shard.p, shard.d,
+                                       shard.table["token"], shard.table["path"], W, a, shard.mask)
+        parts = [("token", shard.rows["token"], gT), ("path", shard.rows["path"], gP),
+                 ("transform", np.arange(len(gW)), gW), ("attention", np.zeros(1, int), ga[None, :])]
+        return pa.concat_tables([pa.table([pa.array([x] * len(r), pa.string()), pa.array(r, pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], schema=kind)
+                                 for x, r, g in parts])
+
+    def target_grad(left, right):
+        kind = pa.schema([("name", pa.string()), ("row", pa.int32()), ("g", pa.list_(pa.float64()))])
+        if left.num_rows == 0 or right.num_rows == 0:
+            return kind.empty_table()
+        idx, Y, C, want, order = block(left, right)
+        g = softmax_block_grad(C, want, Y, left.column("lse").to_numpy()[order], n)
+        return pa.table([pa.array(["target"] * len(idx), pa.string()), pa.array(idx, pa.int32()), pa.array(list(g), pa.list_(pa.float64()))], schema=kind)
+
+    grad = "name string, row int, g array<double>"
+    back = bags.join(states.select("ex", "dv"), "ex").groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(backward, grad)
+    coded = codes.join(states.select("ex", "lse"), "ex")
+    target = block_pairs(coded, "ex", blocks(n, width, block_bytes), targets, "idx", tb).applyInArrow(target_grad, grad)
+    grads = _summed(back.unionByName(target))
+    return adam(params, grads, t, lr), states.agg(F.sum("loss").alias("loss"))
+
+
+def _merged(states: DataFrame, tb: int) -> DataFrame:
+    """One state per example from those of its target blocks, FAN_IN at a time."""
+    if tb > 1:
+        states = states.repartition("ex")
+
+    def merge(a, b):
+        m = F.greatest(a["m"], b["m"])
+        x, y = F.exp(a["m"] - m), F.exp(b["m"] - m)
+        return F.struct(m.alias("m"), (a["z"] * x + b["z"] * y).alias("z"), F.zip_with(a["u"], b["u"], lambda p, q: p * x + q * y).alias("u"),
+                        F.coalesce(a["own"], b["own"]).alias("own"), F.coalesce(a["row"], b["row"]).alias("row"))
+
+    while tb > 1:
+        tb = -(-tb // FAN_IN)
+        g = states.groupBy("ex", F.floor(F.col("tb") / FAN_IN).cast("int").alias("up")).agg(
+            F.array_sort(F.collect_list(F.struct("tb", "m", "z", "u", "own", "row"))).alias("s"))
+        first = F.get("s", 0)
+        one = F.aggregate(F.slice("s", 2, FAN_IN), F.struct(*[first[c].alias(c) for c in ("m", "z", "u", "own", "row")]), merge)
+        states = g.select("ex", F.col("up").alias("tb"), one.alias("s")).select("ex", "tb", "s.*")
+    return states.drop("tb")
+
+
+def _summed(grads: DataFrame) -> DataFrame:
+    """Gradients summed by (name, row), pre-aggregated on the map side."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    summed = deltas.groupBy("name", "row").agg(Summarizer.sum(array_to_vector("delta")).alias("s"))
-    return summed.select("name", "row", vector_to_array("s").alias("s"))
+    s = grads.groupBy("name", "row").agg(Summarizer.sum(array_to_vector("g")).alias("g"))
+    return s.select("name", "row", vector_to_array("g").alias("g"))
 
 
-def apply_changes(old: DataFrame, summed: DataFrame, n_tasks: int) -> DataFrame:
-    """New rows = old + (summed change / tasks); untouched rows unchanged."""
-    j = old.join(summed.filter(F.col("name") != "_loss"), ["name", "row"], "left")
-    dim = F.size("vec")
-
-    def part(i):  # slice i of the concatenated change (weights, m, v)
-        return F.slice("s", i * dim + 1, dim)
-
-    def upd(col, i):
-        return F.when(F.col("s").isNull(), F.col(col)).otherwise(
-            F.zip_with(F.col(col), part(i), lambda a, b: a + b / n_tasks))
-
-    return j.select("name", "row", upd("vec", 0).alias("vec"), upd("m", 1).alias("m"), upd("v", 2).alias("v"))
+def adam(params: DataFrame, grads: DataFrame, t: int, lr: float = 1e-3, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> DataFrame:
+    """Dense Adam step t on the parameter table: rows without a gradient have gradient 0."""
+    j = params.join(grads, ["name", "row"], "left")
+    g = F.coalesce(F.col("g"), F.array_repeat(F.lit(0.0), F.size("vec")))
+    j = j.select("name", "row", "vec", F.zip_with("m", g, lambda m, x: m * b1 + x * (1 - b1)).alias("m"),
+                 F.zip_with("v", g, lambda v, x: v * b2 + x * x * (1 - b2)).alias("v"))
+    rate = F.zip_with("m", "v", lambda m, v: m / (1 - b1**t) / (F.sqrt(v / (1 - b2**t)) + eps) * lr)
+    return j.select("name", "row", F.zip_with("vec", rate, lambda x, d: x - d).alias("vec"), "m", "v")
 
 
 def epoch_path(base: str, epoch: int) -> str:
     return f"{base}/epoch={epoch}"
 
 
-def fit(spark: SparkSession, bags: DataFrame, init: DataFrame, base: str, epochs: int, n_tasks: int,
-        start_epoch: int = 0, batch_size: int = 1024, lr: float = 1e-3, seed: int = 42, on_epoch=None):
+def fit(spark: SparkSession, bags: DataFrame, init: DataFrame | None, base: str, epochs: int, shards: int,
+        start_epoch: int = 0, batch_size: int = 8192, lr: float = 1e-3, seed: int = 42, keep: float = 0.75,
+        on_epoch=None, target_rows: int = 1 << 20, block_bytes: int = BLOCK_BYTES, eval_every: int | None = None, on_step=None):
     """Train from ``start_epoch`` (0 = from ``init``) for ``epochs`` more epochs,
-    saving every epoch (A17); ``on_epoch(epoch, path)`` runs the per-epoch evaluation (I14).
-    Returns [(epoch, mean loss)]."""
+    saving every epoch (A17). ``on_epoch(epoch, path)`` runs the per-epoch evaluation;
+    ``on_step(step, path)`` runs every ``eval_every`` steps within an epoch (I14).
+    ``target_rows`` is a bound of the target vocabulary. Returns [(epoch, mean loss)]."""
     if start_epoch == 0:
         init.write.mode("overwrite").parquet(epoch_path(base, 0))
     log = []
-    rows = bags.count() if start_epoch else 0  # steps done so far are those of the epochs before
+    bags = reliable_checkpoint(bags)
     for e in range(start_epoch, start_epoch + epochs):
-        cur = epoch_path(base, e)
-        done = e * -(-rows // (n_tasks * batch_size))
-        summed = run_epoch(spark, bags, cur, e, n_tasks, batch_size, lr, seed=seed, start_step=done)
-        summed = reliable_checkpoint(summed)  # reused twice below: the loss row and the update
-        lrow = summed.filter(F.col("name") == "_loss").agg(F.sum(F.get("s", 0)).alias("l"), F.sum(F.get("s", 1)).alias("n"))
-        new = apply_changes(spark.read.parquet(cur), summed, n_tasks)
-        new.write.mode("overwrite").parquet(epoch_path(base, e + 1))
-        r = lrow.collect()[0]  # one aggregate row
-        rows = int(r["n"] or 0)
-        log.append((e + 1, float(r["l"] / r["n"]) if r["n"] else None))
+        batches, steps, n = steps_of_epoch(bags, e, batch_size, seed)
+        cur, losses = epoch_path(base, e), []
+        for k in range(steps):
+            size, t = min(batch_size, n - k * batch_size), e * steps + k + 1
+            part = spark.read.parquet(f"{batches}/step={k}")
+            params, loss = run_step(spark.read.parquet(cur), part, size, shards, t, target_rows, lr, keep, (seed, e), block_bytes)
+            new = epoch_path(base, e + 1) if k + 1 == steps else scratch_path(spark, "step")
+            params.write.mode("overwrite").parquet(new)
+            losses.append(loss.collect()[0]["loss"])  # one number
+            if k:
+                _delete(spark, cur)  # the step before
+            cur = new
+            if on_step is not None and eval_every and t % eval_every == 0:
+                on_step(t, cur)
+        if not steps:
+            spark.read.parquet(cur).write.mode("overwrite").parquet(epoch_path(base, e + 1))
+        _delete(spark, batches)
+        log.append((e + 1, sum(losses) / n if n else None))
         if on_epoch is not None:
             on_epoch(e + 1, epoch_path(base, e + 1))
     return log
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def latest_epoch(spark: SparkSession, base: str) -> int:
     """Newest saved epoch (from the partition column)."""
     return spark.read.parquet(base).agg(F.max("epoch")).collect()[0][0]
@@ -199,8 +330,7 @@ def prune_epochs(spark: SparkSession, base: str, keep: int = 10) -> None:
     kept = {r["epoch"] for r in retained_epochs(spark, base, keep).collect()}  # at most ``keep`` numbers
     every = {r["epoch"] for r in spark.read.parquet(base).select("epoch").distinct().collect()}
     for e in sorted(every - kept):
-        path = spark._jvm.org.apache.hadoop.fs.Path(epoch_path(base, e))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, epoch_path(base, e))
 
 
 def release(params: DataFrame) -> DataFrame:
@@ -221,8 +351,5 @@ def as_model_params(params: DataFrame, token_dim: int, path_dim: int):
     def emb(name):
         return params.filter(F.col("name") == name).select(F.col("row").alias("idx"), "vec")
 
-    small = params.filter(F.col("name").isin("transform", "attention")).select("name", "row", "vec").collect()
-    W = np.vstack([np.array(r["vec"]) for r in sorted((r for r in small if r["name"] == "transform"),
-                                                       key=lambda r: r["row"])])
-    a = np.array([r["vec"] for r in small if r["name"] == "attention"][0])
+    W, a = _small(params)
     return ModelParams(emb("token"), emb("path"), emb("target"), W, a, token_dim, path_dim)

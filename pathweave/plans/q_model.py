@@ -30,7 +30,6 @@ class Forward:
         self.enc = self.b.encoded.filter(F.col("role") == "test")
         self.ctx = MD.context_vectors(self.enc, self.params, FIXTURE)
         self._codes = None
-        self._path = None
 
     @property
     def codes(self):
@@ -42,9 +41,7 @@ class Forward:
         return self._codes
 
     def scored(self, k=K):
-        if self._path is None:
-            self._path = MD.write_target_matrix(self.spark, self.params)
-        return MD.score_targets(self.codes, self._path, k)
+        return MD.score_targets(self.codes, self.params, k, FIXTURE)
 
     def preds(self, normalize=False):
         return MD.predict(self.codes, self.scored(), self.b.target_vocab, FIXTURE, normalize)
@@ -141,7 +138,7 @@ def q_attention_pool(spark, sf_dir):
 @register("score_all_targets", mq(f"SELECT ex, cast(idx AS int) AS idx, round(score, {R}) AS score FROM scores",
                                   "scores"))
 def q_score_all_targets(spark, sf_dir):
-    """Every code vector against every target (blocked scan of the side-input matrix)."""
+    """Every code vector against every target (block products)."""
     s = Forward(spark, sf_dir).scored(k=FIXTURE.target_vocab_size + 1)
     return s.select("ex", "idx", F.round("score", R).alias("score"))
 
@@ -171,6 +168,17 @@ def q_normalize_topk_scores(spark, sf_dir):
     return p.select("ex", "rank", F.round("score", R).alias("score"))
 
 
+@register("normalize_full_softmax", mq(f"""
+SELECT t.ex, t.rank, round(exp(t.score - z.m) / z.z, {R}) AS score FROM topk t
+JOIN (SELECT ex, any_value(m) AS m, sum(exp(score - m)) AS z
+      FROM (SELECT *, max(score) OVER (PARTITION BY ex) AS m FROM scores) GROUP BY ex) z ON t.ex = z.ex
+""", "topk", "scores"))
+def q_normalize_full_softmax(spark, sf_dir):
+    """I7, second form: softmax over the whole target vocabulary, from the merged block states."""
+    p = Forward(spark, sf_dir).preds(normalize="full")
+    return p.select("ex", "rank", F.round("score", R).alias("score"))
+
+
 @register("cross_entropy_loss", mq(f"""
 SELECT cast(count(*) AS bigint) AS n, round(avg(lse - own), {R}) AS loss
 FROM (SELECT s.ex, max(s.m) + ln(sum(exp(s.score - s.m))) AS lse,

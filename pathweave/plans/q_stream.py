@@ -78,14 +78,12 @@ def q_stream_predict(spark, sf_dir):
     hashed_paths = b.path_vocab.select(
         F.when(F.col("idx") < FIXTURE.path_specials.n, F.col("word"))
         .otherwise(java_string_hash("word").cast("string")).alias("word"), "idx")
-    f.scored()  # materialises the target matrix side input
-    matrix = f._path
     lines = spark.readStream.schema("ex long, line string").parquet(inbox)
 
     def per_batch(batch, epoch, out):
         enc = MD.encode_lines(batch, b.token_vocab, hashed_paths, b.target_vocab, FIXTURE)
         codes = MD.code_vectors(MD.context_vectors(enc, f.params, FIXTURE), f.params)
-        scored = MD.score_targets(codes, matrix, 10)
+        scored = MD.score_targets(codes, f.params, 10, FIXTURE)
         ST.batch_sink(MD.predict(codes, scored, b.target_vocab, FIXTURE), epoch, out)
 
     res = spark.read.parquet(ST.run_foreach_batch(lines, "predict", per_batch))

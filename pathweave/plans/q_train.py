@@ -24,8 +24,7 @@ def _setup(spark, sf_dir):
     return b, init, bags
 
 
-# shards of an epoch: a setting, so that the trained model does not depend on the cores
-SHARDS = 8
+SHARDS = 8  # of a mini-batch; the trained model does not depend on it
 
 
 def _tasks(spark):
@@ -39,9 +38,7 @@ def _evaluator(spark, b, role, out):
         mp = TR.as_model_params(spark.read.parquet(path), DT, DP)
         enc = b.encoded.filter(F.col("role") == role)
         codes = MD.code_vectors(MD.context_vectors(enc, mp, FIXTURE), mp)
-        mpath = scratch_path(spark, "targets")
-        mp.target_emb.write.mode("overwrite").parquet(mpath)
-        preds = MD.predict(codes, MD.score_targets(codes, mpath, 10), b.target_vocab, FIXTURE)
+        preds = MD.predict(codes, MD.score_targets(codes, mp, 10, FIXTURE), b.target_vocab, FIXTURE)
         ev = M.evaluate_predictions(preds, 10)
         ev.select(F.lit(epoch).alias("epoch"), F.get("topk_acc", 0).alias("top1"), "precision", "recall", "f1", "n") \
             .write.mode("append").parquet(out)
@@ -85,7 +82,7 @@ def q_dropout(spark, sf_dir):
 
 @register("fit")
 def q_fit(spark, sf_dir):
-    """Two epochs of data-parallel Adam with per-epoch parameter averaging; the loss log."""
+    """Two epochs of synchronous mini-batch Adam over sharded parameters; the loss log."""
     _, init, bags = _setup(spark, sf_dir)
     base = scratch_path(spark, "params")
     log = TR.fit(spark, bags, init, base, EPOCHS, _tasks(spark), seed=FIXTURE.seed)
