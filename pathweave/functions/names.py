@@ -130,12 +130,16 @@ def hash_state(x) -> Column:
     return F.aggregate(codes, start, step)
 
 
+def mul32(a, b) -> Column:
+    """a * b modulo 2**32 of unsigned 32-bit numbers, in two halves that stay within 64 bits."""
+    a, b, mask = _c(a), _c(b), F.lit(4294967295)
+    high = (a * F.shiftright(b, 16)).bitwiseAND(mask)
+    return (high * 65536 + a * b.bitwiseAND(F.lit(65535))).bitwiseAND(mask)
+
+
 def hash_of_concat(h_left, h_right, p_right) -> Column:
-    """The unsigned hash of a + b from hash(a), hash(b) and 31 ** length(b); the product
-    is taken in two halves so that it stays within 64 bits."""
-    mod, half = F.lit(4294967296), F.lit(65536)
-    high = (_c(h_left) * F.floor(_c(p_right) / half)) % mod
-    return (high * half + _c(h_left) * (_c(p_right) % half) + _c(h_right)) % mod
+    """The unsigned hash of a + b from hash(a), hash(b) and 31 ** length(b)."""
+    return (mul32(h_left, p_right) + _c(h_right)).bitwiseAND(F.lit(4294967295))
 
 
 def maybe_hash_path(path, no_hash: bool = False) -> Column:

@@ -80,3 +80,47 @@ def number_within_skew_safe(df: DataFrame, keys: list[str], order: list[Column |
     g = global_index(df, [*keys, *order], name="_g")
     starts = g.groupBy(*keys).agg(F.min("_g").alias("_g0"))
     return g.join(starts, keys).withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("long")).drop("_g", "_g0")
+
+
+def affine_scan(df: DataFrame, order: list[Column | str], a: Column, b: Column, name: str) -> DataFrame:
+    """Running value v of v <- a * v + b (from 0) over the rows in a total order.
+
+    Maps v -> a v + b compose, so each range partition yields one map, the few maps of the
+    partitions give each partition's first value, and a second pass applies the maps
+    within it. a = 1 is a running sum; a = 0 starts anew (the first row of a group), so one
+    scan serves all groups and a hot group is no task of its own.
+    """
+    tagged = df.withColumns({"_a": a.cast("double"), "_b": b.cast("double")}).orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = reliable_checkpoint(tagged).withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+
+    def scan(batches, value=None):
+        """Composes the maps of a partition's rows in order; with ``value`` also applies them."""
+        import numpy as np
+        import pyarrow as pa
+
+        total, pid = (1.0, 0.0), None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            pid = batch.column("_pid")[0].as_py()
+            A, B = (np.array(batch.column(c), dtype=float) for c in ("_a", "_b"))
+            step = 1
+            while step < len(A):  # prefix composition by doubling
+                A2, B2 = A.copy(), B.copy()
+                B2[step:] = A[step:] * B[:-step] + B[step:]
+                A2[step:] = A[step:] * A[:-step]
+                A, B, step = A2, B2, 2 * step
+            if value is not None:
+                start = total[0] * value[pid] + total[1]
+                yield batch.append_column(name, pa.array(A * start + B))
+            total = (A[-1] * total[0], A[-1] * total[1] + B[-1])
+        if value is None and pid is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pid]), pa.array([total[0]]), pa.array([total[1]])], names=["_pid", "_a", "_b"])
+
+    maps = tagged.select("_pid", "_a", "_b").mapInArrow(scan, "_pid long, _a double, _b double")
+    first, v = {}, 0.0
+    for r in sorted(maps.collect()):  # a row per partition
+        first[r["_pid"]] = v
+        v = r["_a"] * v + r["_b"]
+    out = tagged.mapInArrow(lambda batches: scan(batches, first), tagged.withColumn(name, F.lit(0.0)).schema)
+    return out.drop("_a", "_b", "_mid", "_pid")

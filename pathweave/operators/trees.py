@@ -22,11 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import JAVA_MAX_PATH_LENGTH, JAVA_MAX_PATH_WIDTH, MAX_LABEL_LENGTH, METHOD_NAME
-from ..functions.names import (JAVA_CHILD_ID_PARENTS, hash_of_concat, hash_state, maybe_hash_path, normalize_name,
+from ..functions.names import (JAVA_CHILD_ID_PARENTS, hash_of_concat, hash_state, java_string_hash, mul32, normalize_name,
                                signed_int, split_subtokens, truncate_label)
-from .ranking import reliable_checkpoint
-
-NODE = "struct<node_id:string,kind:string,child_idx:int>"
+from .ranking import affine_scan, number_within_skew_safe, reliable_checkpoint
 
 
 def leaves(nodes: DataFrame, comment_kinds: tuple[str, ...] = ("Comment",),
@@ -41,38 +39,92 @@ def leaves(nodes: DataFrame, comment_kinds: tuple[str, ...] = ("Comment",),
 
 
 def leaf_ordinals(lv: DataFrame) -> DataFrame:
-    """1-based document-order number of each leaf in its tree (bounded per tree by B9)."""
-    from pyspark.sql import Window
-
-    return lv.withColumn("ord", F.row_number().over(Window.partitionBy("tree_id").orderBy("node_id")))
+    """1-based document-order number of each leaf in its tree (no task holds a tree)."""
+    return number_within_skew_safe(lv, ["tree_id"], ["node_id"], "ord").withColumn("ord", F.col("ord").cast("int"))
 
 
 def sibling_position(nodes: DataFrame) -> DataFrame:
-    """Index among the parent's children, by document order."""
-    from pyspark.sql import Window
+    """Index among the parent's children, by document order (no task holds a family)."""
+    keyed = nodes.withColumns({"_root": F.col("parent_id").isNull(), "_p": F.coalesce("parent_id", F.lit(""))})
+    out = number_within_skew_safe(keyed, ["tree_id", "_root", "_p"], ["node_id"], "sib")
+    return out.withColumn("sib", (F.col("sib") - 1).cast("int")).drop("_root", "_p")
+
+
+def tree_intervals(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """Interval labels: ``pre`` is a node's number in its tree's document order (from 1), ``last``
+    that of its last descendant (its own if it has none), so that a subtree is a range.
+
+    ``last`` is the number before the next sibling's; a last child takes its parent's, by
+    pointer jumping in log2(depth) rounds of joins on unique keys. The document order
+    of nodes must be that of their ids, parents first.
+    """
+    n = number_within_skew_safe(nodes.select("tree_id", "node_id", "parent_id"), ["tree_id"], ["node_id"], "pre")
+    n = reliable_checkpoint(sibling_position(n))
+    nxt = n.select(F.col("tree_id").alias("_t"), F.col("parent_id").alias("_p"), (F.col("sib") - 1).alias("_s"), F.col("pre").alias("_next"))
+    size = n.groupBy(F.col("tree_id").alias("_r")).agg(F.max("pre").alias("_size"))
+    cur = n.join(nxt, (n.tree_id == nxt._t) & (n.parent_id == nxt._p) & (n.sib == nxt._s), "left").join(size, n.tree_id == F.col("_r"))
+    cur = cur.select("tree_id", "node_id", "parent_id", "pre", F.col("parent_id").alias("ptr"),
+                     F.when(F.col("parent_id").isNull(), F.col("_size")).otherwise(F.col("_next") - 1).alias("last"))
+    cur = reliable_checkpoint(cur)
+    for _ in range(max_rounds):
+        if cur.filter(F.col("last").isNull()).limit(1).count() == 0:
+            return cur.drop("ptr")
+        up = cur.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("ptr").alias("_ptr"), F.col("last").alias("_last"))
+        j = cur.join(up, (cur.tree_id == up._t) & (cur.ptr == up._n) & cur["last"].isNull(), "left")
+        cur = reliable_checkpoint(j.select("tree_id", "node_id", "parent_id", "pre", F.coalesce("_ptr", "ptr").alias("ptr"),
+                                           F.coalesce("last", "_last").alias("last")))
+    raise ValueError("parents form a cycle, or chains are longer than 2 ** max_rounds")
+
+
+def subtree_closure(nodes: DataFrame) -> DataFrame:
+    """C14: (tree_id, node_id, n_desc, n_leaves) of every inner node: the range of its interval,
+    and the difference of two running leaf counts."""
+    lv = leaves(nodes).select("tree_id", "node_id", F.lit(1.0).alias("is_leaf"))
+    n = tree_intervals(nodes).join(lv, ["tree_id", "node_id"], "left").withColumn("is_leaf", F.coalesce("is_leaf", F.lit(0.0)))
+    n = reliable_checkpoint(affine_scan(n, ["tree_id", "pre"], F.lit(1.0), F.col("is_leaf"), "_leaves"))
+    ends = n.select(F.col("tree_id").alias("_t"), F.col("pre").alias("_e"), F.col("_leaves").alias("_upto"))
+    inner = n.filter(F.col("last") > F.col("pre"))
+    j = inner.join(ends, (inner.tree_id == ends._t) & (inner["last"] == ends._e))
+    return j.select("tree_id", "node_id", (F.col("last") - F.col("pre")).alias("n_desc"),
+                    (F.col("_upto") - F.col("_leaves")).cast("long").alias("n_leaves"))
+
+
+def with_piece_hashes(nodes: DataFrame, child_id_cap: int | None = None,
+                      child_id_parents: tuple[str, ...] = JAVA_CHILD_ID_PARENTS) -> DataFrame:
+    """Adds the hashes of a node's pieces of Java paths (see ``java_path_pieces``): (uh, up) of
+    ``(Type[id])^``, (ch, cp) of ``(Type[id])`` and (dh, dp) of ``_(Type[id])``, each a hash and
+    31 ** its length. Every character is folded once per node, not once per path."""
+    parent = nodes.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), F.col("kind").alias("_pk"))
+    j = nodes.join(parent, (nodes.tree_id == parent._t) & (nodes.parent_id == parent._n), "left")
+    kinds = F.array(*[F.lit(k) for k in child_id_parents])
+    c = F.col("child_idx")
+    cid = (F.least(c, F.lit(child_id_cap)) if child_id_cap is not None else c).cast("string")
 
-    w = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
-    return nodes.withColumn("sib", (F.row_number().over(w) - 1).cast("int"))
+    def state(text, has_id):
+        return hash_state(F.concat(F.lit(text), F.col("kind"), F.when(has_id, cid).otherwise(F.lit("")), F.lit(")")))
 
+    j = j.withColumns({"_c": state("(", F.array_contains(kinds, F.coalesce("_pk", F.lit("")))), "_d": state("_(", F.array_contains(kinds, F.col("kind")))})
+    h, mask = F.col("_c")["h"], F.lit(4294967295)
+    hashes = F.struct((h * 31 + ord("^")).bitwiseAND(mask).alias("uh"), (F.col("_c")["p"] * 31).bitwiseAND(mask).alias("up"), h.alias("ch"),
+                      F.col("_c")["p"].alias("cp"), F.col("_d")["h"].alias("dh"), F.col("_d")["p"].alias("dp"))
+    return j.select(*nodes.columns, hashes.alias("pieces"))
 
-def ancestor_chains(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """Per node, its ancestors nearest-first as
-    ``up: array<struct<node_id, kind, child_idx>>`` and ``depth = size(up)``.
+
+def ancestor_chains(nodes: DataFrame, max_rounds: int = 32, limit: int | None = None) -> DataFrame:
+    """Per node, its ancestors nearest-first as ``up: array<struct<node_id, kind,
+    child_idx[, pieces]>>`` (the nearest ``limit`` if given) and ``depth = size(up)``.
 
     Pointer doubling: every round each node whose chain is not complete
     jumps to the top of its chain and appends that node's chain.
     """
-    me = F.struct("node_id", "kind", F.col("child_idx").cast("int").alias("child_idx"))
-    parent = nodes.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"),
-                          F.struct(F.col("node_id").alias("node_id"), F.col("kind").alias("kind"),
-                                   F.col("child_idx").cast("int").alias("child_idx")).alias("_me"),
-                          F.col("parent_id").alias("_pp"))
+    more = ["pieces"] if "pieces" in nodes.columns else []
+    me = F.struct("node_id", "kind", F.col("child_idx").cast("int").alias("child_idx"), *more)
+    parent = nodes.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), me.alias("_me"), F.col("parent_id").alias("_pp"))
     base = nodes.alias("c").join(parent, (F.col("c.tree_id") == parent._t) & (F.col("c.parent_id") == parent._n), "left")
     keep = [F.col(f"c.{c}").alias(c) for c in nodes.columns]
     cur = base.select(
-        *keep,
-        F.when(F.col("_me").isNotNull(), F.array(F.col("_me"))).otherwise(F.array().cast(f"array<{NODE}>")).alias("up"),
-        (F.col("_n").isNull() | F.col("_pp").isNull()).alias("done"))
+        *keep, F.filter(F.array("_me"), lambda x: x.isNotNull()).alias("up"),
+        (F.col("_n").isNull() | F.col("_pp").isNull() | F.lit(limit is not None and limit <= 1)).alias("done"))
     cur = reliable_checkpoint(cur)
     for _ in range(max_rounds):
         if cur.filter(~F.col("done")).limit(1).count() == 0:
@@ -86,6 +138,8 @@ def ancestor_chains(nodes: DataFrame, max_rounds: int = 32) -> DataFrame:
             *nodes.columns,
             F.when(F.col("_n").isNotNull(), F.concat("up", "_up")).otherwise(F.col("up")).alias("up"),
             F.when(F.col("_n").isNotNull(), F.col("_d")).otherwise(F.col("done")).alias("done"))
+        if limit is not None:
+            cur = cur.withColumn("done", F.col("done") | (F.size("up") >= limit)).withColumn("up", F.slice("up", 1, limit))
         cur = reliable_checkpoint(cur)
     else:
         raise ValueError("parents form a cycle, or chains are longer than 2 ** max_rounds")
@@ -108,13 +162,13 @@ def unit_targets(chains: DataFrame, unit_kind: str, name_kind: str = "NameExpr")
     return names.select("tree_id", F.when(F.length(sub) > 0, sub).otherwise(normalize_name("token")).alias("target"))
 
 
-def _sides(lv: DataFrame, max_length: int) -> DataFrame:
+def _sides(lv: DataFrame, max_length: int, extra: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """One row per (leaf, ancestor within max_length): k steps up, child index on the leaf's side."""
     full = F.concat(F.array("me"), F.col("up"))
     t = lv.withColumn("full", full)
-    t = t.select("tree_id", "node_id", "ord", "name", "full",
+    t = t.select("tree_id", "node_id", "ord", "name", "full", *extra,
                  F.posexplode(F.slice("up", 1, max_length)).alias("p", "a"))
-    return t.select("tree_id", F.col("node_id").alias("leaf"), "ord", "name", "full",
+    return t.select("tree_id", F.col("node_id").alias("leaf"), "ord", "name", "full", *extra,
                     (F.col("p") + 1).cast("int").alias("k"), F.col("a.node_id").alias("a_id"),
                     F.get("full", F.col("p"))["child_idx"].alias("ci"))
 
@@ -153,41 +207,59 @@ def java_path_pieces(child_id_cap: int | None = None,
     return {"up": F.concat(F.array_join(up, ""), common), "down": F.array_join(down, "")}
 
 
+def _composed_hashes(s: DataFrame) -> DataFrame:
+    """hu of the pieces up to and with the ancestor, (hd, pd) of those down, on side rows
+    whose leaf has the hashes of its own pieces (lh, dh, dp)."""
+    inner = F.slice("full", 2, F.col("k") - 1)
+    top = F.get("full", F.col("k"))["pieces"]
+    up = F.aggregate(inner, F.col("lh"), lambda h, e: hash_of_concat(h, e["pieces"]["uh"], e["pieces"]["up"]))
+    down = F.aggregate(inner, F.struct(F.col("dh").alias("h"), F.col("dp").alias("p")), lambda a, e: F.struct(
+        hash_of_concat(e["pieces"]["dh"], a["h"], a["p"]).alias("h"), mul32(e["pieces"]["dp"], a["p"]).alias("p")))
+    s = s.withColumns({"hu": hash_of_concat(up, top["ch"], top["cp"]), "hd": down})
+    return s.withColumns({"pd": F.col("hd")["p"], "hd": F.col("hd")["h"]})
+
+
 def leaf_pairs(chains: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PATH_LENGTH,
                max_width: int = JAVA_MAX_PATH_WIDTH, child_id_cap: int | None = None) -> DataFrame:
     """C4 + C6 + B12 + B13 + H10 (Java rules): pairs (l before r) within the
     limits, with their LCA ``a_id``, steps ``kl``/``kr``, width ``ci_r - ci_l``
     and the readable ``path``. The path pieces are built on the side rows,
-    so only short strings travel through the join."""
+    so only short strings travel through the join. Chains of nodes with
+    ``with_piece_hashes`` give the path's hash without its text."""
     lv = leaves(chains)
+    hashed = "pieces" in chains.columns
+    lv = leaf_ordinals(lv).withColumn("name", leaf_names(lv, unit_kind))
+    if hashed:
+        own = F.concat(F.lit("("), F.col("kind"), _cid(F.col("me"), child_id_cap), F.lit(")"))
+        lv = lv.withColumns({"lh": hash_state(F.concat(own, F.lit("^")))["h"], "dh": hash_state(F.concat(F.lit("_"), own))})
+        lv = lv.withColumns({"dp": F.col("dh")["p"], "dh": F.col("dh")["h"]})
     # both join sides (and any reuse of the pairs) start from the leaf rows: materialise them once
-    lv = reliable_checkpoint(leaf_ordinals(lv).withColumn("name", leaf_names(lv, unit_kind)))
-    s = _sides(lv, max_length)
+    lv = reliable_checkpoint(lv)
+    s = _sides(lv, max_length, ["lh", "dh", "dp"] if hashed else [])
     pieces = java_path_pieces(child_id_cap)
-    s = s.select("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", pieces["up"].alias("up"),
-                 pieces["down"].alias("down"))
-    # hashes of the pieces, so that a pair's hash needs two numbers of either side
-    s = s.withColumns({"hu": hash_state("up")["h"], "hd": hash_state("down")})
-    s = s.withColumns({"pd": F.col("hd")["p"], "hd": F.col("hd")["h"]})
-    left = s.select(*[F.col(c).alias(f"l_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "up", "hu")],
+    s = s.withColumns({"up": pieces["up"], "down": pieces["down"]})
+    s = _composed_hashes(s) if hashed else s
+    ends = ["tree_id", "leaf", "ord", "name", "k", "a_id", "ci"]
+    left = s.select(*[F.col(c).alias(f"l_{c}") for c in [*ends, "up"] + ["hu"] * hashed],
                     F.explode(F.sequence(F.col("ci") + 1, F.col("ci") + max_width)).alias("key"))
-    right = s.select(*[F.col(c).alias(f"r_{c}") for c in ("tree_id", "leaf", "ord", "name", "k", "a_id", "ci", "down", "hd", "pd")])
+    right = s.select(*[F.col(c).alias(f"r_{c}") for c in [*ends, "down"] + ["hd", "pd"] * hashed])
     j = left.join(right, (left.l_tree_id == right.r_tree_id) & (left.l_a_id == right.r_a_id)
                   & (left.key == right.r_ci))
     j = j.filter(F.col("l_k") + F.col("r_k") <= max_length)
+    path = F.concat("l_up", "r_down")
+    path_hash = signed_int(hash_of_concat("l_hu", "r_hd", "r_pd")) if hashed else java_string_hash(path)
     return j.select(F.col("l_tree_id").alias("tree_id"), F.col("l_leaf").alias("l"), F.col("r_leaf").alias("r"),
                     F.col("l_ord").alias("l_ord"), F.col("r_ord").alias("r_ord"),
                     F.col("l_a_id").alias("a_id"), F.col("l_k").alias("kl"), F.col("r_k").alias("kr"),
                     (F.col("r_ci") - F.col("l_ci")).alias("width"),
                     F.col("l_name").alias("src"), F.col("r_name").alias("dst"),
-                    F.concat("l_up", "r_down").alias("path"),
-                    signed_int(hash_of_concat("l_hu", "r_hd", "r_pd")).cast("string").alias("path_hash"))
+                    path.alias("path"), path_hash.cast("string").alias("path_hash"))
 
 
 def tree_contexts(nodes: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_PATH_LENGTH,
                   max_width: int = JAVA_MAX_PATH_WIDTH, no_hash: bool = False) -> DataFrame:
     """K6 / A20 input: (tree_id, l_ord, r_ord, src, path, dst) of every emitted pair."""
-    chains = ancestor_chains(nodes)
+    chains = ancestor_chains(nodes if no_hash else with_piece_hashes(nodes), limit=max_length + 1)
     p = leaf_pairs(chains, unit_kind, max_length, max_width)
     if no_hash:
         return p.select("tree_id", "l_ord", "r_ord", "src", "path", "dst")
@@ -199,6 +271,7 @@ def tree_contexts(nodes: DataFrame, unit_kind: str, max_length: int = JAVA_MAX_P
 # variables, limits on the token parents (length, |width| < W).
 # ---------------------------------------------------------------------------
 
+# fixed values: kinds whose children carry their index in C#-style paths
 CS_CHILD_ID_PARENTS = ("SimpleAssignmentExpression", "ElementAccessExpression", "SimpleMemberAccessExpression",
                        "InvocationExpression", "BracketedArgumentList", "ArgumentList")
 
@@ -232,55 +305,85 @@ def variables(cs_lv: DataFrame) -> DataFrame:
         F.min_by("is_literal_kind", "ord").alias("is_literal"))
 
 
-def variable_pairs(vars_: DataFrame, max_pairs: int | None, seed: int = 42) -> DataFrame:
-    """C5 (pair level) + G7 + F5: 2-combinations of names in first-seen order
-    plus each name with itself; at most ``max_pairs`` per tree in a seeded
-    random order (a bounded per-tree limit, planned as a partial top-k)."""
-    from pyspark.sql import Window
-
-    a = vars_.select("tree_id", F.col("var").alias("v1"), F.col("first_ord").alias("o1"))
-    b = vars_.select(F.col("tree_id").alias("t2"), F.col("var").alias("v2"), F.col("first_ord").alias("o2"))
-    # names of one tree: bounded by the tree's leaves, which B9 bounds
-    pairs = a.join(b, (a.tree_id == b.t2) & (a.o1 <= b.o2)).select(
-        "tree_id", "v1", "v2", "o1", "o2", (F.col("o1") == F.col("o2")).alias("is_self"))
-    if max_pairs is None:
-        return pairs
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree_id").cast("string"), "v1", "v2"))
-    w = Window.partitionBy("tree_id").orderBy(h)
-    return pairs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_pairs).drop("_r")
+ROUNDS = 6  # of the pair permutation
 
 
-def cs_leaf_pairs(chains: DataFrame, cs_lv: DataFrame, max_length: int = 7, max_width: int = 4) -> DataFrame:
-    """Ordered leaf pairs (lhs != rhs) whose token-parent path is within the
-    C# limits, with the LCA and the side steps. Width applies only when both
-    sides of the LCA are non-empty (steps >= 2)."""
+def variable_pairs(vars_: DataFrame, max_pairs: int | None, seed: int = 42) -> DataFrame:
+    """C5 (pair level) + G7 + F5: 2-combinations of names in first-seen order plus each name with
+    itself: all, or ``max_pairs`` per tree drawn without enumerating them.
+
+    The n(n+1)/2 pairs factor into A x B exactly (n/2 x (n+1), or n x (n+1)/2), so a Feistel network
+    that moves a number of Z_A and one of Z_B by seeded hashes of each other is a permutation of the
+    pair numbers; the first ``max_pairs`` of it are unranked and joined with the names' numbers."""
+    v = number_within_skew_safe(vars_.select("tree_id", "var", F.col("first_ord").alias("o")), ["tree_id"], ["o"], "num").withColumn("num", F.col("num") - 1)
+    v = reliable_checkpoint(v)
+    n = F.col("n")
+    units = v.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
+    total = F.expr("n * (n + 1) div 2")
+    drawn = units.select("tree_id", F.when(n % 2 == 0, F.expr("n div 2")).otherwise(n).alias("A"), F.when(n % 2 == 0, n + 1).otherwise(F.expr("(n + 1) div 2")).alias("B"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), (total if max_pairs is None else F.least(total, F.lit(max_pairs))) - 1)).alias("x"))
+    if max_pairs is None:
+        p = drawn.select("tree_id", F.col("x").alias("t"))
+    else:
+        def move(i, other):
+            digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("tree_id").cast("string"), i.cast("string"), other.cast("string")))
+            return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+        def turn(s, i):
+            even = i % 2 == 0
+            m = move(i, F.when(even, s["r"]).otherwise(s["l"]))
+            return F.struct(F.when(even, (s["l"] + m) % F.col("A")).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise((s["r"] + m) % F.col("B")).alias("r"))
+
+        start = F.struct(F.expr("x div B").alias("l"), (F.col("x") % F.col("B")).alias("r"))
+        p = drawn.select("tree_id", "B", F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn).alias("s"))
+        p = p.select("tree_id", (F.col("s.l") * F.col("B") + F.col("s.r")).alias("t"))
+    p = reliable_checkpoint(p)  # at most max_pairs rows a tree; read several times below
+    p = p.withColumn("j", F.floor((F.sqrt(F.lit(8.0) * F.col("t") + 1) - 1) / 2).cast("long"))
+    # the root is rounded: one step either way makes it exact
+    p = p.withColumn("j", F.when(F.expr("(j + 1) * (j + 2) div 2 <= t"), F.col("j") + 1).when(F.expr("j * (j + 1) div 2 > t"), F.col("j") - 1).otherwise(F.col("j")))
+    p = p.withColumn("i", F.expr("t - j * (j + 1) div 2"))
+    a = v.select("tree_id", F.col("num").alias("i"), F.col("var").alias("v1"), F.col("o").alias("o1"))
+    b = v.select("tree_id", F.col("num").alias("j"), F.col("var").alias("v2"), F.col("o").alias("o2"))
+    return p.join(a, ["tree_id", "i"]).join(b, ["tree_id", "j"]).select(
+        "tree_id", "v1", "v2", "o1", "o2", (F.col("i") == F.col("j")).alias("is_self"))
+
+
+def cs_leaf_pairs(cs_lv: DataFrame, vars_: DataFrame, max_length: int = 7, max_width: int = 4) -> DataFrame:
+    """Leaf pairs (lhs != rhs) whose token-parent path is within the C# limits, the earlier-seen
+    name on the left (a name with itself both ways, B19), with the path (H11). Width applies
+    only when both sides of the LCA are non-empty (steps >= 2). The side rows carry the names'
+    order and their piece of the path; chains don't travel through the join."""
     check_limits(max_length, max_width)
-    s = _sides(cs_lv.withColumn("name", F.col("var")), max_length).drop("name")
-    cols = s.columns
-    L_ = s.select(*[F.col(c).alias(f"l_{c}") for c in cols])
-    R_ = s.select(*[F.col(c).alias(f"r_{c}") for c in cols])
+    lv = cs_lv.join(vars_.select("tree_id", "var", "first_ord"), ["tree_id", "var"])
+    s = _sides(reliable_checkpoint(lv.withColumn("name", F.col("var"))), max_length, ["first_ord", "token"])
+    pieces = cs_path_pieces()
+    cols = ["tree_id", "leaf", "name", "first_ord", "token", "k", "a_id", "ci"]
+    L_ = s.select(*[F.col(c).alias(f"l_{c}") for c in cols], pieces["up"].alias("l_up"))
+    R_ = s.select(*[F.col(c).alias(f"r_{c}") for c in cols], pieces["down"].alias("r_down"))
     deltas = [d for d in range(-(max_width - 1), max_width) if d != 0]
-    # (A) both sides non-empty: equi-join on the allowed child-index offsets
-    la = L_.filter(F.col("l_k") >= 2).withColumn("key", F.explode(F.array(*[F.col("l_ci") + d for d in deltas]))) \
-        if deltas else None
-    ra = R_.filter(F.col("r_k") >= 2)
+
+    def within(left, right):
+        return ((left.l_tree_id == right.r_tree_id) & (left.l_a_id == right.r_a_id) & (left.l_first_ord <= right.r_first_ord)
+                & (left.l_k + right.r_k <= max_length))
+
     parts = []
-    if la is not None:
-        parts.append(la.join(ra, (la.l_tree_id == ra.r_tree_id) & (la.l_a_id == ra.r_a_id) & (la.key == ra.r_ci))
-                     .drop("key"))
+    # (A) both sides non-empty: equi-join on the allowed child-index offsets
+    if deltas:
+        la = L_.filter(F.col("l_k") >= 2).withColumn("key", F.explode(F.array(*[F.col("l_ci") + d for d in deltas])))
+        ra = R_.filter(F.col("r_k") >= 2)
+        parts.append(la.join(ra, within(la, ra) & (la.key == ra.r_ci)).drop("key"))
     # (B) the left token's parent is the LCA; (C) the right one's
     lb = L_.filter(F.col("l_k") == 1)
-    parts.append(lb.join(R_, (lb.l_tree_id == R_.r_tree_id) & (lb.l_a_id == R_.r_a_id) & (lb.l_ci != R_.r_ci)))
-    lc = L_.filter(F.col("l_k") >= 2)
-    rc = R_.filter(F.col("r_k") == 1)
-    parts.append(lc.join(rc, (lc.l_tree_id == rc.r_tree_id) & (lc.l_a_id == rc.r_a_id) & (lc.l_ci != rc.r_ci)))
+    parts.append(lb.join(R_, within(lb, R_) & (lb.l_ci != R_.r_ci)))
+    lc, rc = L_.filter(F.col("l_k") >= 2), R_.filter(F.col("r_k") == 1)
+    parts.append(lc.join(rc, within(lc, rc) & (lc.l_ci != rc.r_ci)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.filter(F.col("l_k") + F.col("r_k") <= max_length)
     return out.select(F.col("l_tree_id").alias("tree_id"), F.col("l_leaf").alias("lhs"), F.col("r_leaf").alias("rhs"),
                       F.col("l_a_id").alias("a_id"), F.col("l_k").alias("kl"), F.col("r_k").alias("kr"),
-                      F.col("l_full").alias("lf"), F.col("r_full").alias("rf"))
+                      F.col("l_name").alias("lvar"), F.col("r_name").alias("rvar"), F.col("l_token").alias("ltok"), F.col("r_token").alias("rtok"),
+                      (F.col("l_first_ord") == F.col("r_first_ord")).alias("is_self"), F.concat("l_up", "r_down").alias("path"))
 
 
 def pair_count_small(vars_: DataFrame, max_pairs: int) -> DataFrame:
@@ -289,47 +392,31 @@ def pair_count_small(vars_: DataFrame, max_pairs: int) -> DataFrame:
     return n.withColumn("small", F.col("n_vars") * (F.col("n_vars") + 1) / 2 <= max_pairs)
 
 
-def cs_contexts(pairs: DataFrame, cs_lv: DataFrame, vars_: DataFrame, max_pairs: int | None,
-                seed: int = 42) -> DataFrame:
-    """Orient leaf pairs by the variable order (earlier-seen name
-    on the left; a name with itself both ways, never a token with itself) and
-    keep the sampled variable pairs only.
-
-    The variable-pair table is generated only for trees with more pairs than
-    the sample size; every other tree keeps all its pairs, which is exact."""
-    v = cs_lv.join(vars_.select("tree_id", "var", "first_ord"), ["tree_id", "var"]).select(
-        F.col("tree_id").alias("_t"), F.col("node_id").alias("_n"), "var", "first_ord")
-    p = pairs.join(v.withColumnRenamed("var", "lvar").withColumnRenamed("first_ord", "lo"),
-                   (pairs.tree_id == F.col("_t")) & (pairs.lhs == F.col("_n"))).drop("_t", "_n")
-    p = p.join(v.withColumnRenamed("var", "rvar").withColumnRenamed("first_ord", "ro"),
-               (p.tree_id == F.col("_t")) & (p.rhs == F.col("_n"))).drop("_t", "_n")
-    p = p.filter(F.col("lo") <= F.col("ro")).withColumn("is_self", F.col("lo") == F.col("ro"))
+def cs_contexts(pairs: DataFrame, vars_: DataFrame, max_pairs: int | None, seed: int = 42) -> DataFrame:
+    """The leaf pairs of the sampled variable pairs. Names are sampled first, and only
+    in trees with more pairs than the sample size; every other tree keeps all, which is exact."""
     if max_pairs is None:
-        return p
+        return pairs
     size = pair_count_small(vars_, max_pairs)
-    p = p.join(size.select("tree_id", "small"), "tree_id")
-    small = p.filter("small")
     big_vars = vars_.join(size.filter(~F.col("small")).select("tree_id"), "tree_id", "left_semi")
-    sampled = variable_pairs(big_vars, max_pairs, seed).select(F.col("tree_id").alias("_t"), "v1", "v2")
-    big = p.filter(~F.col("small")).join(
-        sampled, (F.col("tree_id") == F.col("_t")) & (F.col("lvar") == F.col("v1")) & (F.col("rvar") == F.col("v2")),
-        "left_semi")
-    return small.unionByName(big).drop("small")
+    sampled = variable_pairs(big_vars, max_pairs, seed).select("tree_id", F.col("v1").alias("lvar"), F.col("v2").alias("rvar"))
+    p = pairs.join(size.select("tree_id", "small"), "tree_id")
+    big = p.filter(~F.col("small")).join(sampled, ["tree_id", "lvar", "rvar"], "left_semi")
+    return p.filter("small").unionByName(big).drop("small")
 
 
-def cs_path_string(child_id_cap: int = 3, child_id_parents: tuple[str, ...] = CS_CHILD_ID_PARENTS) -> Column:
-    """``Kind[id]^Kind...^Ancestor_Kind[id]..._Kind``; a node carries its
-    (capped) child index when its parent's kind is in the set."""
+def cs_path_pieces(child_id_cap: int = 3, child_id_parents: tuple[str, ...] = CS_CHILD_ID_PARENTS) -> dict[str, Column]:
+    """H11 pieces on one side row: ``Kind[id]^Kind...^Ancestor`` up and ``_Kind[id]..._Kind`` down; a
+    node carries its (capped) child index when its parent's kind is in the set."""
     kinds = F.array(*[F.lit(k) for k in child_id_parents])
 
-    def piece(chain: str, i) -> Column:
-        node, parent = F.get(chain, i), F.get(chain, i + 1)
+    def piece(i) -> Column:
+        node, parent = F.get("full", i), F.get("full", i + 1)
         cid = F.when(F.array_contains(kinds, F.coalesce(parent["kind"], F.lit(""))),
                      F.least(node["child_idx"], F.lit(child_id_cap)).cast("string")).otherwise(F.lit(""))
         return F.concat(node["kind"], cid)
 
-    left = F.transform(F.sequence(F.lit(1), F.col("kl") - 1), lambda i: piece("lf", i))
-    right = F.transform(F.sequence(F.col("kr") - 1, F.lit(1), F.lit(-1)), lambda i: piece("rf", i))
-    left_txt = F.when(F.col("kl") >= 2, F.concat(F.array_join(left, "^"), F.lit("^"))).otherwise(F.lit(""))
-    right_txt = F.when(F.col("kr") >= 2, F.concat(F.lit("_"), F.array_join(right, "_"))).otherwise(F.lit(""))
-    return F.concat(left_txt, F.get("lf", F.col("kl"))["kind"], right_txt)
+    inner = F.transform(F.sequence(F.lit(1), F.greatest(F.col("k") - 1, F.lit(1))), piece)
+    up = F.when(F.col("k") >= 2, F.concat(F.array_join(inner, "^"), F.lit("^"))).otherwise(F.lit(""))
+    down = F.when(F.col("k") >= 2, F.concat(F.lit("_"), F.array_join(F.reverse(inner), "_"))).otherwise(F.lit(""))
+    return {"up": F.concat(up, F.get("full", F.col("k"))["kind"]), "down": down}

@@ -93,9 +93,11 @@ FX_DEPS = {
 }
 
 
-def with_fx(sql: str, *names: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
+def with_fx(sql: str, *names: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False,
+            once: tuple[str, ...] = ()) -> str:
     """Prefix ``sql`` with the CTEs of the named fixtures (and their deps),
-    then any extra (name, body) CTEs in the order given."""
+    then any extra (name, body) CTEs in the order given. Those in ``once`` are
+    computed once although read several times."""
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -106,7 +108,7 @@ def with_fx(sql: str, *names: str, extra: list[tuple[str, str]] | None = None, r
 
     for n in names:
         add(n)
-    ctes = [f"{n} AS ({FX_SQL[n].strip()})" for n in order]
+    ctes = [f"{n} AS {'MATERIALIZED ' if n in once else ''}({FX_SQL[n].strip()})" for n in order]
     for n, body in extra or []:
         ctes.append(f"{n} AS ({body.strip()})")
     if not ctes:
@@ -207,10 +209,10 @@ SELECT a.tree_id, a.node_id, n.parent_id, a.k + 1 FROM anc a JOIN fx_nodes n
   ON n.tree_id = a.tree_id AND n.node_id = a.anc_id WHERE n.parent_id IS NOT NULL
 """, "fx_nodes")
 _stage("tleaves", """
-SELECT n.* FROM fx_nodes n
-WHERE NOT EXISTS (SELECT 1 FROM fx_nodes c WHERE c.tree_id = n.tree_id AND c.parent_id = n.node_id)
-  AND n.token IS NOT NULL AND length(n.token) > 0 AND n.kind <> 'Comment'
-  AND (n.token <> 'null' OR n.kind = 'NullLiteralExpr')
+SELECT n.* FROM (SELECT * FROM fx_nodes WHERE token IS NOT NULL AND length(token) > 0 AND kind <> 'Comment'
+  AND (token <> 'null' OR kind = 'NullLiteralExpr')) n
+ANTI JOIN (SELECT DISTINCT tree_id, parent_id FROM fx_nodes WHERE parent_id IS NOT NULL) c
+  ON c.tree_id = n.tree_id AND c.parent_id = n.node_id
 """, "fx_nodes")
 _stage("chain", """
 SELECT tree_id, node_id, list(kind ORDER BY k) AS kinds, list(child_idx ORDER BY k) AS cis, list(nid ORDER BY k) AS ids
@@ -292,12 +294,34 @@ SELECT tree_id, var, cast(min(ord) AS int) AS first_ord, cast(count(*) AS bigint
        bool_and(is_const) AS is_const, arg_min(is_literal_kind, ord) AS is_literal
 FROM cslv GROUP BY tree_id, var
 """, "cslv")
-_stage("csvpairs", """
-SELECT * FROM (
-  SELECT a.tree_id, a.var AS v1, b.var AS v2, a.first_ord = b.first_ord AS is_self,
-         row_number() OVER (PARTITION BY a.tree_id ORDER BY md5('42|' || cast(a.tree_id AS varchar) || '|' || a.var || '|' || b.var)) AS rn
-  FROM csvars a JOIN csvars b ON a.tree_id = b.tree_id AND a.first_ord <= b.first_ord) WHERE rn <= 100
+def _draw(side: str, other: str, modulus: str, i: int) -> str:
+    """One round of the pair permutation: a side moves by a hash of the other."""
+    digest = f"md5('42|' || cast(tree_id AS varchar) || '|{i}|' || cast({other} AS varchar))"
+    return f"({side} + cast('0x' || substr({digest}, 1, 8) AS bigint)) % {modulus}"
+
+
+def _rounds() -> str:
+    out = "SELECT tree_id, A, B, x // B AS l, x % B AS r FROM csdrawn"
+    for i in range(6):
+        new = (_draw("l", "r", "A", i), "r") if i % 2 == 0 else ("l", _draw("r", "l", "B", i))
+        out = f"SELECT tree_id, A, B, {new[0]} AS l, {new[1]} AS r FROM ({out})"
+    return out
+
+
+_stage("csnum", "SELECT *, cast(row_number() OVER (PARTITION BY tree_id ORDER BY first_ord) - 1 AS bigint) AS num FROM csvars", "csvars")
+_stage("csdrawn", """
+SELECT tree_id, n, CASE WHEN n % 2 = 0 THEN n // 2 ELSE n END AS A, CASE WHEN n % 2 = 0 THEN n + 1 ELSE (n + 1) // 2 END AS B,
+       unnest(range(0, least(100, n * (n + 1) // 2))) AS x
+FROM (SELECT tree_id, cast(count(*) AS bigint) AS n FROM csvars GROUP BY tree_id)
 """, "csvars")
+_stage("csvpairs", f"""
+SELECT p.tree_id, a.var AS v1, b.var AS v2, a.num = b.num AS is_self
+FROM (SELECT tree_id, t - j * (j + 1) // 2 AS i, j
+      FROM (SELECT tree_id, t, cast(floor((sqrt(8.0 * t + 1) - 1) / 2) AS bigint) AS j
+            FROM (SELECT tree_id, l * B + r AS t FROM ({_rounds()})))) p
+JOIN csnum a ON a.tree_id = p.tree_id AND a.num = p.i
+JOIN csnum b ON b.tree_id = p.tree_id AND b.num = p.j
+""", "csnum", "csdrawn")
 _stage("cspairs", """
 SELECT p.*, kinds_l[kl + 1] AS a_kind FROM (
   SELECT *, list_position(ids_r, ids_l[kl + 1]) - 1 AS kr FROM (

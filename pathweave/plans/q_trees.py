@@ -26,8 +26,8 @@ PATH_SQL = f"""(array_to_string(list_transform(range(kl), lambda i: '(' || kinds
    CASE WHEN i = 0 OR list_contains({SET_SQL}, kinds_r[i + 1]) THEN cast(cis_r[i + 1] AS varchar) ELSE '' END || ')'), ''))"""
 
 
-def tq(sql: str, *names: str, extra=None) -> str:
-    return with_fx(sql, *names, extra=extra, recursive=True)
+def tq(sql: str, *names: str, extra=None, once=()) -> str:
+    return with_fx(sql, *names, extra=extra, recursive=True, once=once)
 
 
 def _nodes(spark, sf_dir):
@@ -38,11 +38,10 @@ def _nodes(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    chains = T.ancestor_chains(_nodes(spark, sf_dir))
-    return T.leaf_pairs(chains, UNIT, LMAX, WMAX)
+    return T.leaf_pairs(T.ancestor_chains(_nodes(spark, sf_dir), limit=LMAX + 1), UNIT, LMAX, WMAX)
 
 
-@register("leaf_predicate", tq("SELECT tree_id, node_id, token FROM tleaves", "tleaves"))
+@register("leaf_predicate", tq("SELECT tree_id, node_id, token FROM tleaves", "tleaves", once=("fx_ctx", "fx_nodes")))
 def q_leaf_predicate(spark, sf_dir):
     """Leaves (childless, not comments, non-empty token)."""
     return T.leaves(_nodes(spark, sf_dir)).select("tree_id", "node_id", "token")
@@ -91,14 +90,8 @@ FROM anc a LEFT JOIN tleaves l ON a.tree_id = l.tree_id AND a.node_id = l.node_i
 GROUP BY a.tree_id, a.anc_id
 """, "anc", "tleaves"))
 def q_subtree_closure(spark, sf_dir):
-    """C14: descendants and leaves under every inner node (explode of chains, partial aggregation)."""
-    nodes = _nodes(spark, sf_dir)
-    c = T.ancestor_chains(nodes)
-    lv = T.leaves(nodes).select("tree_id", "node_id", F.lit(1).alias("is_leaf"))
-    e = c.join(lv, ["tree_id", "node_id"], "left").select(
-        "tree_id", "is_leaf", F.explode(F.transform("up", lambda x: x["node_id"])).alias("a"))
-    return e.groupBy("tree_id", F.col("a").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("n_desc"), F.count("is_leaf").alias("n_leaves"))
+    """C14: descendants and leaves under every inner node, from interval labels."""
+    return T.subtree_closure(_nodes(spark, sf_dir))
 
 
 @register("leaf_pairs", tq("SELECT tree_id, l, r FROM tpairs", "tpairs"))
@@ -154,7 +147,7 @@ FROM ({TARGET_SQL}) t JOIN tpairs p ON t.tree_id = p.tree_id GROUP BY t.tree_id,
 """, "tpairs", "fx_nodes"))
 def q_drop_unit_without_paths(spark, sf_dir):
     """Units with at least one surviving path (Java drops the others)."""
-    chains = T.ancestor_chains(_nodes(spark, sf_dir))
+    chains = T.ancestor_chains(_nodes(spark, sf_dir), limit=LMAX + 1)
     p = T.leaf_pairs(chains, UNIT, LMAX, WMAX).groupBy("tree_id").agg(F.count(F.lit(1)).alias("n_contexts"))
     return T.unit_targets(chains, UNIT).join(p, "tree_id")
 
@@ -166,7 +159,7 @@ FROM ({TARGET_SQL}) t JOIN tpairs p ON t.tree_id = p.tree_id GROUP BY t.tree_id,
 """, "tpairs", "fx_nodes"))
 def q_tree_example_lines(spark, sf_dir):
     """A20 on trees: one `target src,hash,dst ...` line per unit, pairs in (i, j) order."""
-    chains = T.ancestor_chains(_nodes(spark, sf_dir))
+    chains = T.ancestor_chains(T.with_piece_hashes(_nodes(spark, sf_dir)), limit=LMAX + 1)
     p = T.leaf_pairs(chains, UNIT, LMAX, WMAX)
     ctx = p.select("tree_id", "l_ord", "r_ord", F.concat_ws(",", "src", "path_hash", "dst").alias("c"))
     g = ctx.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("l_ord", "r_ord", "c"))).alias("cs"))
@@ -187,10 +180,11 @@ def q_filter_by_code_length(spark, sf_dir):
 
 
 @register("drop_bodyless", tq("""
-SELECT u.tree_id, u.node_id FROM fx_nodes u
-WHERE u.kind = 'Line' AND EXISTS (SELECT 1 FROM fx_nodes b JOIN fx_nodes w ON w.tree_id = b.tree_id AND w.parent_id = b.node_id
-  WHERE b.tree_id = u.tree_id AND b.parent_id = u.node_id AND b.kind = 'Part' AND w.token IS NOT NULL AND length(w.token) > 0)
-""", "fx_nodes"))
+SELECT u.tree_id, u.node_id FROM (SELECT * FROM fx_nodes WHERE kind = 'Line') u
+SEMI JOIN (SELECT b.tree_id, b.parent_id FROM (SELECT * FROM fx_nodes WHERE kind = 'Part') b
+  SEMI JOIN (SELECT tree_id, parent_id FROM fx_nodes WHERE length(token) > 0) w ON w.tree_id = b.tree_id AND w.parent_id = b.node_id) f
+  ON f.tree_id = u.tree_id AND f.parent_id = u.node_id
+""", "fx_nodes", once=("fx_ctx", "fx_nodes")))
 def q_drop_bodyless(spark, sf_dir):
     """Units (Line nodes) kept only when their body (a Part child) holds a token."""
     n = _nodes(spark, sf_dir)
