@@ -11,8 +11,12 @@ that score is where all other shards begin. Queries travel in blocks of
 
 Ties go to the smaller id, and a bound equal to the kth score is still opened,
 so the result equals brute force. Vectors that are null, empty, or hold null or
-non-finite components take no part, nor do null ids. Of rows that repeat an id,
-the smallest vector counts. Vectors of different dimensions do not meet.
+non-finite components take no part. Vectors of different dimensions do not meet.
+Rows that repeat an id are candidates each: a query's own row alone is left out, not
+others of its id. Equal rows (id and vector) travel once with their number, and take
+as many ranks. Every row that is a query has its own answer; answers of one query_id are
+told apart by query_hash (xxhash64 of the vector), and those of equal rows are equal.
+Null ids can be found (after all others in ties), and queried under a null query_id.
 Scores use float64 matrix products where these are exact (below 2**53), else
 Python integers; scores beyond 64 bits are cut to the largest long.
 """
@@ -42,10 +46,11 @@ def to_integers(rows: pd.Series, scale: float) -> np.ndarray:
 
 
 class BallTree:
-    """Nodes over integer rows; ``ids`` ascending within every leaf."""
+    """Nodes over integer rows; ``ids`` (of equal rank in ties: smaller first) ascending within every leaf."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
+    def __init__(self, x: np.ndarray, ids: np.ndarray, leaf: int = LEAF, copies: np.ndarray | None = None):
         self.x, self.ids = x, ids
+        self.copies = np.ones(len(x), np.int64) if copies is None else copies
         f = x.astype(np.float64)
         self.nodes: list[tuple[np.ndarray, int, int]] = []  # (rows, left, right), left < 0: a leaf
         centres, radii = [], []
@@ -70,7 +75,7 @@ class BallTree:
         self.centres, self.radii = np.array(centres), np.array(radii)
 
     def search(self, q: np.ndarray, bounds: np.ndarray, own: int, k: int, floor) -> list[tuple]:
-        """Best k (score, id) of other ids with score >= floor, best first."""
+        """Best k (score, -id) with score >= floor, best first; a copy of row ``own`` (-1: none) is left out."""
         best: list[tuple] = []  # heap of (score, -id)
         heap = [(-bounds[0], 0)]
         while heap:
@@ -83,17 +88,18 @@ class BallTree:
                 heapq.heappush(heap, (max(bound, -bounds[a]), a))
                 heapq.heappush(heap, (max(bound, -bounds[b]), b))
                 continue
-            scores, ids = self.x[rows] @ q, self.ids[rows]
+            scores = self.x[rows] @ q
             if kth is not None:
                 ok = np.flatnonzero(scores >= kth)
-                scores, ids = scores[ok], ids[ok]
-            for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-                if i == own:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
+                scores, rows = scores[ok], rows[ok]
+            for s, i, m, r in zip(scores.tolist(), self.ids[rows].tolist(), self.copies[rows].tolist(), rows.tolist(), strict=True):
+                for _ in range(min(k, m - (r == own))):
+                    if len(best) < k:
+                        heapq.heappush(best, (s, -i))
+                    elif (s, -i) > best[0]:
+                        heapq.heapreplace(best, (s, -i))
+                    else:
+                        break
         return sorted(best, reverse=True)
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
@@ -105,31 +111,45 @@ class BallTree:
         return b + slack
 
 
+NULL = 2**63  # stands for a null id within a task: after every long
+
+
+def _ids(f: pd.DataFrame) -> list[int]:
+    return [NULL if none else i for i, none in zip(f["id"].tolist(), f["none"].tolist(), strict=True)]
+
+
 def _searcher(scale: float, k: int):
     def search(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(vectors) and len(queries):
             both = to_integers(pd.concat([vectors["v"], queries["v"]]), scale)
             x, q = both[: len(vectors)], both[len(vectors) :]
-            tree = BallTree(x, vectors["id"].to_numpy(np.int64))
+            names = _ids(vectors)
+            ids = np.array(names, object if NULL in names else np.int64)
+            tree = BallTree(x, ids, copies=vectors["m"].to_numpy(np.int64))
             bounds = tree.bounds(q)
-            for i, (own, floor) in enumerate(zip(queries["id"].tolist(), queries["kth"].tolist(), strict=True)):
+            key = lambda i, v: (i, (np.asarray(v, np.float64) + 0.0).tobytes())
+            at = {key(i, v): r for r, (i, v) in enumerate(zip(names, vectors["v"], strict=True))}
+            for i, (me, v, h, floor) in enumerate(zip(_ids(queries), queries["v"], queries["h"].tolist(), queries["kth"].tolist(), strict=True)):
                 floor = None if floor is None or floor != floor else int(floor)
-                for s, neg in tree.search(q[i], bounds[i], own, k, floor):
-                    rows.append((own, -neg, max(-(2**63), min(2**63 - 1, int(s)))))
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+                for s, neg in tree.search(q[i], bounds[i], at.get(key(me, v), -1), k, floor):
+                    rows.append((None if me == NULL else me, h, None if -neg == NULL else -neg, max(-(2**63), min(2**63 - 1, int(s)))))
+        f = pd.DataFrame(rows, columns=["query_id", "query_hash", "vec_id", "score"], dtype=object)
+        return f.astype({"query_id": "Int64", "query_hash": "int64", "vec_id": "Int64", "score": "int64"})
 
     return search
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of every query row
+    """query_id, rank, vec_id, score, query_hash: the k highest inner products of every query row
     (``queries`` has the same two columns) with the rows of ``vectors`` but its own."""
-    good = F.expr("v is not null and size(v) > 0 and id is not null and forall(v, c -> c is not null and not isnan(c) and abs(c) < double('Infinity'))")
+    good = F.expr("v is not null and size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) < double('Infinity'))")
 
     def clean(df: DataFrame) -> DataFrame:
         got = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(good)
-        return got.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+        got = got.withColumn("v", F.transform("v", lambda c: c + F.lit(0.0)))  # -0.0 is 0.0
+        got = got.groupBy("id", "v").agg(F.count("*").alias("m")).withColumns({"dim": F.size("v"), "h": F.xxhash64("v"), "none": F.col("id").isNull()})
+        return got.withColumn("id", F.coalesce("id", F.lit(0)))
 
     data, asked = stage(clean(vectors), "topk-vectors"), stage(clean(queries), "topk-queries")
     counts = {r["dim"]: r["n"] for r in data.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row per dimension
@@ -139,18 +159,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 10
     if not counts:
         parts, blks = {0: 1}, {0: 1}
     pick = lambda m: F.coalesce(F.create_map(*[F.lit(int(x)) for p in m.items() for x in p])[F.col("dim")], F.lit(1))
-    data = data.withColumn("shard", F.pmod(F.xxhash64("id"), pick(parts)))
-    asked = asked.withColumn("home", F.pmod(F.xxhash64("id"), pick(parts))).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), pick(blks)))
-    out = "query_id long, vec_id long, score long"
+    data = data.withColumn("shard", F.pmod(F.xxhash64("id", "h"), pick(parts)))
+    asked = asked.withColumn("home", F.pmod(F.xxhash64("id", "h"), pick(parts))).withColumn("block", F.pmod(F.xxhash64("id", "h", F.lit(7)), pick(blks)))
+    out = "query_id long, query_hash long, vec_id long, score long"
     spread = data.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (pick(blks) - 1).cast("long"))))
     keys = ["dim", "shard", "block"]
 
     def run(q: DataFrame) -> DataFrame:
-        return spread.select(*keys, "id", "v").groupBy(*keys).cogroup(q.select(*keys, "id", "v", "kth").groupBy(*keys)).applyInPandas(_searcher(scale, k), out)
+        return spread.select(*keys, "id", "none", "v", "m").groupBy(*keys).cogroup(q.select(*keys, "id", "none", "v", "h", "kth").groupBy(*keys)).applyInPandas(_searcher(scale, k), out)
 
     first = stage(run(asked.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("long"))), "topk-home")
-    kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
-    others = asked.join(kth, "id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), (pick(parts) - 1).cast("long")))).where("shard <> home")
+    kth = first.groupBy("query_id", "query_hash").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    kth = kth.select("query_id", "query_hash", F.when(F.col("n") >= k, F.col("low")).alias("kth"))
+    named = asked.withColumn("query_id", F.when(~F.col("none"), F.col("id")))
+    same = F.expr("a.query_id <=> b.query_id and a.h = b.query_hash")
+    others = named.alias("a").join(kth.alias("b"), same, "left").select("a.*", "kth")
+    others = others.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), (pick(parts) - 1).cast("long")))).where("shard <> home")
     found = first.unionByName(run(others))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    w = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    times = named.where("m > 1").select("query_id", "h", "m")
+    best = best.alias("a").join(times.alias("b"), F.expr("a.query_id <=> b.query_id and a.query_hash = b.h"), "left")
+    best = best.select("a.*", F.explode(F.expr("sequence(1L, coalesce(m, 1L))")).alias("__copy"))
+    return best.select("query_id", "rank", "vec_id", "score", "query_hash")

@@ -7,17 +7,21 @@ the forward algorithm; a text's is the product over its words. The prediction is
 the language with the highest posterior and the score is that posterior.
 
 Words are the runs of letters of the lower-cased text, each with the vocabulary's
-word-start mark; runs longer than ``WORD`` characters are cut every WORD
-characters. Pieces never cross words, so the sum over a word's segmentations
-depends on the word alone and is cached per Python worker, while every word of
-every text counts.
+word-start mark, whole whatever their length. Pieces of every length that the
+vocabulary holds are used. They never cross words, so the sum over a word's
+segmentations depends on the word alone and is cached per Python worker, while
+every word of every text counts. Words of over ``WORD`` characters are summed with
+rescaling (no underflow) in memory that does not grow with the segmentations, and
+are not cached.
 
 Training: expectation maximisation on the word counts of a sample of about
 ``sample_rows`` labelled rows per language (drawn by a hash of the id; rows of over
 ``sample_chars`` characters are taken only where shorter ones don't suffice).
-Expected piece counts come from forward and backward sums. Piece probabilities
-are smoothed towards the pool of all languages. Labels used are whatever non-null
-values ``lang`` holds; with no labelled row, every text is ``und``.
+Expected piece counts come from forward and backward sums; for these counts alone,
+words are cut every WORD characters. Piece probabilities are smoothed towards the
+pool of all languages, and no letter's falls below that of an unknown letter. Labels
+used are whatever non-null values ``lang`` holds; with no labelled row, every text is
+``und``.
 
 Null or letterless texts: ``und`` with score 0. Ties: the smaller label. Equal
 rows get equal results; nothing is shuffled for scoring.
@@ -39,14 +43,15 @@ from pyspark.sql import functions as F
 from .common import mix, stage
 
 MARK = "▁"
-WORD, PIECE, ROUNDS, SAMPLE_ROWS, SAMPLE_CHARS = 32, 8, 3, 1500, 8000
+WORD, ROUNDS, SAMPLE_ROWS, SAMPLE_CHARS = 32, 3, 1500, 8000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-7  # probability of a letter that no piece covers, alike in all languages
+SLAB, RESCALE = 1 << 17, 16  # places looked up at once; letters between two rescalings of a long word
 CACHE_WORDS, CACHE_NUMBERS = 400_000, 4_000_000  # words and numbers that a worker keeps
 UND = "und"
 
 
-def vocabulary(path: str, longest: int = PIECE) -> list[str]:
+def vocabulary(path: str) -> list[str]:
     """Lower-case letter pieces (with or without the mark) of a public vocabulary file."""
     if path.endswith(".model"):
         import sentencepiece
@@ -57,12 +62,16 @@ def vocabulary(path: str, longest: int = PIECE) -> list[str]:
         from tokenizers import Tokenizer
 
         names = [x.replace("</w>", "") for x in Tokenizer.from_file(path).get_vocab()]
-    names = {x for x in names if x and x == x.lower() and len(x) <= longest and (x.lstrip(MARK) == "" or x.lstrip(MARK).isalpha()) and x.count(MARK) <= 1 and MARK not in x[1:]}
+    names = {x for x in names if x and x == x.lower() and (x.lstrip(MARK) == "" or x.lstrip(MARK).isalpha()) and x.count(MARK) <= 1 and MARK not in x[1:]}
     return sorted(names | {MARK})
 
 
 def words_of(text: str) -> list[str]:
-    words = LETTERS.findall(text.lower())
+    return LETTERS.findall(text.lower())
+
+
+def cut(words: list[str]) -> list[str]:
+    """Words in runs of at most WORD characters, for the training counts."""
     if max(map(len, words), default=0) <= WORD:
         return words
     return [w[i : i + WORD] for w in words for i in range(0, len(w), WORD)]
@@ -158,6 +167,39 @@ class Lattice:
         return beta
 
 
+def long_forward(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """Log of the forward sum (words, languages) for words of one length, however long:
+    only the sums that pieces may still reach are kept, rescaled every few letters."""
+    n, size, reach = len(words[0]) + 1, len(words), table.longest + 1
+    codes = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(size, n).T
+    ring, logs = np.zeros((reach, size, p.shape[1])), np.zeros((size, p.shape[1]))
+    ring[0] = 1.0
+    slab = max(1, SLAB // size)
+    for begin in range(0, n, slab):
+        end = min(n, begin + slab)
+        part = mix(codes[begin : end + table.longest].astype(np.uint64) + np.uint64(1))
+        h, rows = np.zeros((end - begin, size), np.uint64), [[] for _ in range(end - begin)]
+        for ln in range(1, min(table.longest, n - begin) + 1):
+            m = min(end, n - ln + 1) - begin
+            h = h[:m] * table.BASE + part[ln - 1 : ln - 1 + m]
+            ids = table.find(h.ravel()).reshape(h.shape)
+            if ln == 1:
+                ids[ids < 0] = table.unknown
+            for i in np.flatnonzero((ids >= 0).any(axis=1)).tolist():
+                rows[i].append((ln, ids[i]))
+        for i, row in enumerate(rows, begin):
+            here = ring[i % reach].copy()
+            ring[i % reach] = 0.0
+            for ln, ids in row:
+                at = np.flatnonzero(ids >= 0)
+                ring[(i + ln) % reach][at] += here[at] * p[ids[at]]
+            if i % RESCALE == 0:
+                top = ring.max(axis=0)
+                ring /= top
+                logs += np.log(top)
+    return np.log(ring[n % reach]) + logs
+
+
 def by_length(words: list[str], block: int = 4096) -> Iterator[list[int]]:
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     i = 0
@@ -206,6 +248,8 @@ def make_model(expected: dict[str, np.ndarray], rows: dict[str, int], pieces: li
     pool = e.sum(axis=1, keepdims=True) + 0.5
     pool /= pool.sum()
     p = (e + smooth * pool) / (e.sum(axis=0, keepdims=True) + smooth)
+    letters = [i for i, x in enumerate(pieces) if len(x) == 1]
+    p[letters] = np.maximum(p[letters], UNKNOWN)
     p = np.vstack([p, np.full((1, len(langs)), UNKNOWN)])
     n = np.array([rows[x] for x in langs], float) + 1
     return Model(langs, pieces, p, np.log(n / n.sum()))
@@ -236,6 +280,11 @@ class Scorer:
     def loglik(self, words: list[str]) -> np.ndarray:
         """Summed over the words, in blocks that bound what is cached at once."""
         total = np.zeros(len(self.m.langs))
+        long = Counter(w for w in words if len(w) > WORD)
+        if long:
+            words = [w for w in words if len(w) <= WORD]
+            for idx in by_length(each := sorted(long), 256):
+                total += np.array([long[each[i]] for i in idx], float) @ long_forward([each[i] for i in idx], self.pieces, self.m.prob)
         for i in range(0, len(words), self.room // 2):
             part = words[i : i + self.room // 2]
             new = sorted(w for w in set(part) if w not in self.at)
@@ -252,10 +301,11 @@ class Scorer:
         split = [words_of(t) if t else [] for t in texts]
         if self.m.langs:
             # words of many texts are learned together, which is what makes the forward sums cheap
-            fresh = {w for w in set().union(*split) if w not in self.at}
+            short = {w for w in set().union(*split) if len(w) <= WORD}
+            fresh = {w for w in short if w not in self.at}
             if len(self.at) + len(fresh) > self.room:
                 self.clear()
-                fresh = set().union(*split)
+                fresh = short
             if len(fresh) <= self.room:  # else text by text
                 self.learn(sorted(fresh))
         for words in split:
@@ -332,7 +382,7 @@ def train(labelled: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, sample
 
     @F.pandas_udf("array<struct<w:string,c:long>>")
     def tally(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"w": w, "c": c} for w, c in Counter(words_of(t)).items()] for t in texts])
+        return pd.Series([[{"w": w, "c": c} for w, c in Counter(cut(words_of(t))).items()] for t in texts])
 
     words = sample.select("lang", F.explode(tally("text")).alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.c").alias("c"))
     words = stage(words, "langid-words")

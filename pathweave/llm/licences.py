@@ -1,8 +1,11 @@
 """Licence scan by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences (at line ends and after . ! ? before white space)
-and every sentence is normalised: lower case, all but a-z and 0-9 to single
-blanks. A sentence equal to a known licence sentence becomes its identifier. The
+Comment marks at line starts (// # * ; -- /* <!-- % >) are removed. A text is cut into
+units at blank lines, after . ! ? before white space, and after a line's closing colon;
+a unit may run over several lines, as wrapped licence texts do. Units are normalised:
+lower case, all but a-z and 0-9 to single blanks. A unit equal to a known licence
+sentence, as it stands or without a subject such as 'this project is', becomes its
+identifier; any other unit is cut at its line ends and its lines are looked up alike. The
 sequence of identifiers (sentences without one are left out) is then matched
 against the rules in their order: wherever a rule's identifiers stand next to
 each other, that run is taken as one find of the rule's licence, and later rules
@@ -42,29 +45,53 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("BsdSource", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("BsdBinary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("Reserved", "all rights reserved"),
+    ("ApacheRefUse", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("ApacheRef", "licensed under the apache license 2 0"),
+    ("ApacheRef", "released under the apache license version 2 0"),
+    ("ApacheRef", "distributed under the apache license version 2 0"),
+    ("MitRefDist", "distributed under the mit license"),
+    ("MitRefTerms", "licensed under the terms of the mit license"),
+    ("GplRef3", "licensed under the gnu general public license version 3"),
+    ("GplRef2", "licensed under the gnu general public license version 2"),
+    ("GplFree2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("BsdAsIs", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("BsdName", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
 )
 # Ordered rules (licence, identifiers in sequence); longer ones first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("ApacheRefThe", "ApacheUse", "ApacheObtain", "ApacheAsIs", "ApacheSee")),
+    ("Apache-2.0", ("ApacheRefUse", "ApacheObtain", "ApacheAsIs", "ApacheSee")),
     ("Apache-2.0", ("ApacheRefThe", "ApacheUse", "ApacheObtain")),
+    ("Apache-2.0", ("ApacheRefUse", "ApacheObtain")),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdName", "BsdAsIs")),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdName")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("GPL-3.0-or-later", ("GplFree", "GplNoWarranty")),
+    ("GPL-2.0-or-later", ("GplFree2", "GplNoWarranty")),
     ("MIT", ("MitGrant", "MitNotice")),
     ("Apache-2.0", ("ApacheRef",)),
     ("Apache-2.0", ("ApacheRefThe",)),
     ("MIT", ("MitRef",)),
     ("MIT", ("MitRefLic",)),
+    ("MIT", ("MitRefDist",)),
+    ("MIT", ("MitRefTerms",)),
     ("MIT", ("MitGrant",)),
+    ("Apache-2.0", ("ApacheRefUse",)),
     ("GPL-3.0-only", ("GplRef3",)),
     ("GPL-2.0-only", ("GplRef2",)),
     ("GPL-3.0-or-later", ("GplFree",)),
+    ("GPL-2.0-or-later", ("GplFree2",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-4.0", ("CcBy4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("proprietary", ("Reserved",)),
 )
-BREAK = "\n|(?<=[.!?])[ \t\r]+"
+# line starts lose comment marks, and units end with a form feed
+MARKS = r"(^|\n)[ \t]*(?:/\*+|\*+/|<!--|-->|//+|--+|#+|\*+|;+|%+|>+)?[ \t\r]*"
+ENDS = r"([.!?])[ \t\r\n]+|(:)[ \t\r]*\n|\n\n+"
+SUBJECT = "^(?:this|the) (?:project|software|work|file|code|program|library|package|repository|module|document|source code) is "
 
 
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -73,9 +100,13 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     licences (distinct, sorted, joined by commas), n_unmatched."""
     known = F.create_map(*[F.lit(x) for name, norm in sentences for x in (norm, name)])
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"))
-    raw = F.split(F.coalesce("__text", F.lit("")), BREAK, -1)
-    norm = F.transform(raw, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(norm, lambda s: F.element_at(known, s)), lambda s: s.isNotNull())
+    text_ = F.regexp_replace(F.replace(F.coalesce("__text", F.lit("")), F.lit("\f"), F.lit(" ")), MARKS, "$1")
+    units = F.split(F.regexp_replace(text_, ENDS, "$1$2\f"), "\f", -1)
+    norm = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    name = lambda s: F.coalesce(F.element_at(known, s), F.element_at(known, F.regexp_replace(s, SUBJECT, "")))
+    lines = lambda s: F.transform(F.split(s, "\n", -1), lambda x: name(norm(x)))
+    ids = F.transform(units, lambda s: F.when(name(norm(s)).isNotNull(), F.array(name(norm(s)))).when(s.contains("\n"), lines(s)).otherwise(F.array().cast("array<string>")))
+    ids = F.filter(F.flatten(ids), lambda s: s.isNotNull())
     d = d.select("doc_id", ids.alias("__ids"))
     d = d.withColumn("__left", F.array_join(F.transform("__ids", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), ""))
     for name, seq in rules:
@@ -92,11 +123,15 @@ def scan_sql(sentences=SENTENCES, rules=RULES) -> str:
     left = "array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '')"
     for name, seq in rules:
         left = f"replace({left}, '{''.join(f'<{s}>' for s in seq)}', '{{{name}}}')"
+    at = lambda x: f"coalesce(list_position(keys, {x}), list_position(keys, regexp_replace({x}, '{SUBJECT}', '')))"
+    norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     return f"""
-WITH marked AS (
-  SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), '^$', '', 'g') AS t FROM documents),
-cut AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS ns FROM marked),
-mapped AS (SELECT doc_id, list_transform(list_filter(ns, lambda s: list_contains([{keys}], s)), lambda s: ([{vals}])[list_position([{keys}], s)]) AS ids FROM cut),
+WITH bare AS (
+  SELECT doc_id, regexp_replace(replace(coalesce(text, ''), chr(12), ' '), '{MARKS}', '\\1', 'g') AS t, [{keys}] AS keys FROM documents),
+cut AS (SELECT doc_id, keys, string_split(regexp_replace(t, '{ENDS}', '\\1\\2' || chr(12), 'g'), chr(12)) AS units FROM bare),
+placed AS (SELECT doc_id, flatten(list_transform(units, lambda u: CASE WHEN {at(norm('u'))} IS NOT NULL THEN [{at(norm('u'))}]
+    WHEN contains(u, chr(10)) THEN list_transform(string_split(u, chr(10)), lambda x: {at(norm('x'))}) ELSE [] END)) AS ps FROM cut),
+mapped AS (SELECT doc_id, list_transform(list_filter(ps, lambda p: p IS NOT NULL), lambda p: ([{vals}])[p]) AS ids FROM placed),
 ruled AS (SELECT doc_id, ids, {left} AS lft FROM mapped),
 found AS (SELECT doc_id, ids, lft, regexp_extract_all(lft, '\\{{([^}}]*)\\}}', 1) AS finds FROM ruled)
 SELECT doc_id, CAST(len(ids) AS INT) AS n_known, array_to_string(ids, ' ') AS identifiers, CAST(len(finds) AS INT) AS n_matched,

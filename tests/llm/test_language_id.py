@@ -26,6 +26,26 @@ def test_forward_sums_all_segmentations():
             assert math.isclose(L.Scorer(model).loglik([w])[lang], math.log(total("▁" + w, lang)), rel_tol=1e-9)
 
 
+def test_long_words_are_summed_whole():
+    pieces = sorted(["▁", "▁a", "a", "ab", "b", "ba", "▁ab", "abbabaabbaba"])
+    model = L.make_model({"x": L.em([("ab", 5.0), ("aab", 2.0), ("abbabaabbaba", 9.0)], pieces), "y": L.em([("bb", 3.0)], pieces)}, {"x": 1, "y": 1}, pieces)
+    rng = random.Random(1)
+    for words in (["".join(rng.choice("abq") for _ in range(20)) for _ in range(5)], ["abbabaabbaba" * 2] * 2, ["a"]):
+        got, want = L.long_forward(words, L.PieceTable(pieces), model.prob), L.Scorer(model)
+        want.learn(sorted(set(words)))
+        assert all(math.isclose(got[i][k], want.table[want.at[w]][k], rel_tol=1e-9) for i, w in enumerate(words) for k in (0, 1))
+    # far beyond the range of a double, across slabs: the tail of a run of letters settles to one factor a letter
+    one = [L.long_forward(["ab" * n], L.PieceTable(pieces), model.prob)[0] for n in (70_000, 70_001, 70_002)]
+    assert all(math.isfinite(v) for v in one[0]) and all(math.isclose(one[2][k] - one[1][k], one[1][k] - one[0][k], rel_tol=1e-5) for k in (0, 1))
+    assert max(map(len, L.vocabulary(PATH))) > 8
+
+
+def test_untrained_script_gives_a_score(spark):
+    rows = [(i, "the house and", "en") for i in range(5)] + [(i, "der und mit", "de") for i in range(5, 10)] + [(50, "абвгдежз" * 30, None), (51, "漢字" * 16, None), (52, "the " + "house" * 2000, None)]
+    got = {r.doc_id: r for r in L.identify(docs_of(spark, rows), PATH).collect()}
+    assert all(0 <= got[i].score <= 1 for i in (50, 51, 52))
+
+
 def test_expectations_add_up():
     e = L.em([("abab", 3.0)], sorted(["▁", "a", "b", "ab", "▁a"]))
     assert 3 * 3 <= e.sum() <= 3 * 5
