@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import JAVA_MAX_PATH_LENGTH, JAVA_MAX_PATH_WIDTH, MAX_LABEL_LENGTH, METHOD_NAME
 from ..functions.names import (JAVA_CHILD_ID_PARENTS, hash_of_concat, hash_state, java_string_hash, mul32, normalize_name,
-                               signed_int, split_subtokens, truncate_label)
+                               signed_int, split_name_unless_empty, split_subtokens, split_subtokens_cs, truncate_label)
 from .ranking import affine_scan, number_within_skew_safe, reliable_checkpoint
 
 
@@ -420,3 +420,29 @@ def cs_path_pieces(child_id_cap: int = 3, child_id_parents: tuple[str, ...] = CS
     up = F.when(F.col("k") >= 2, F.concat(F.array_join(inner, "^"), F.lit("^"))).otherwise(F.lit(""))
     down = F.when(F.col("k") >= 2, F.concat(F.lit("_"), F.array_join(F.reverse(inner), "_"))).otherwise(F.lit(""))
     return {"up": F.concat(up, F.get("full", F.col("k"))["kind"]), "down": down}
+
+
+def comment_contexts(comments: DataFrame, keys: list[str], text: str = "text", size: int = 5) -> DataFrame:
+    """(keys, batch_no, context): comment text trimmed of blanks and ``/*{}``, its subtokens
+    (H5) in batches of ``size``, each as ``batch,COMMENT,batch``. A null text has none."""
+    parts = F.split(split_name_unless_empty(F.btrim(text, F.lit(" /*{}"))), r"\|", -1)
+    c = comments.filter(F.col(text).isNotNull()).select(*keys, parts.alias("_parts"))
+    batches = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_parts") / size).cast("int") - 1),
+                          lambda i: F.array_join(F.slice("_parts", i * size + 1, size), "|"))
+    e = c.select(*keys, F.posexplode(batches).alias("batch_no", "_b"))
+    return e.select(*keys, "batch_no", F.concat("_b", F.lit(",COMMENT,"), "_b").alias("context"))
+
+
+def cs_lines(units: DataFrame, contexts: DataFrame, comments: DataFrame) -> DataFrame:
+    """A20, C# form: (tree_id, line) for every row of units(tree_id, name): the name's subtokens, a
+    blank, then path contexts(tree_id, lhs, rhs, context) in the order of their ends and
+    comments(tree_id, comment_no, text) in theirs. Units without either are kept (B10, C# form)."""
+    paths = contexts.select("tree_id", F.struct(F.lit(0).alias("part"), F.col("lhs").alias("a"), F.col("rhs").alias("b"),
+                                                F.lit(0).alias("i"), F.lit(0).alias("j"), "context").alias("c"))
+    notes = comment_contexts(comments, ["tree_id", "comment_no"]).select("tree_id", F.struct(
+        F.lit(1).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.col("comment_no").cast("int").alias("i"),
+        F.col("batch_no").cast("int").alias("j"), "context").alias("c"))
+    bags = paths.unionByName(notes).groupBy("tree_id").agg(F.array_sort(F.collect_list("c"))["context"].alias("cs"))
+    target = F.array_join(split_subtokens_cs("name"), "|")
+    return units.select("tree_id", target.alias("target")).join(bags, "tree_id", "left").select(
+        "tree_id", F.concat("target", F.lit(" "), F.coalesce(F.array_join("cs", " "), F.lit(""))).alias("line"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.ranking import number_within_skew_safe
+from ..operators.ranking import affine_scan, number_within_skew_safe
 from ..sources.tables import table
 from .registry import register
 
 BLOCK = 5
+TIE = 1e-9  # halves of cents end in exact ties at the last digit shown: all go up
 NUMBERED_SQL = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events"
 
 
@@ -56,3 +57,21 @@ def q_running_progress(spark, sf_dir):
     el = (F.unix_micros(F.col("ts").cast("timestamp")) - F.col("t0")) / 1e6
     return j.select("event_id", "user_id", F.col("rn").alias("n_so_far"),
                     F.round(F.col("rn") / F.when(el > 0, el).otherwise(F.lit(1.0)), 6).alias("rate"))
+
+
+@register("ema_running", f"""
+SELECT event_id, user_id, round(ema + {TIE}, 6) AS ema, round(ema * (n - rn) + {TIE}, 6) AS remaining
+FROM (SELECT event_id, user_id, rn, count(*) OVER (PARTITION BY user_id) AS n,
+        list_reduce(list(cast(value AS double)) OVER (PARTITION BY user_id ORDER BY rn), lambda v, x: 0.5 * v + 0.5 * x) AS ema
+      FROM ({NUMBERED_SQL}))
+""")
+def q_ema_running(spark, sf_dir):
+    """The moving average after every event (one affine scan over all users, so a hot
+    user is no task of its own) and what remains: average step times the user's events to come."""
+    n = _numbered(spark, sf_dir)
+    first = F.col("rn") == 1
+    a, b = F.when(first, 0.0).otherwise(0.5), F.when(first, F.col("value")).otherwise(F.col("value") * 0.5)
+    e = affine_scan(n.select("event_id", "user_id", "rn", "value"), ["user_id", "rn"], a, b, "ema")
+    cnt = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return e.join(cnt, "user_id").select("event_id", "user_id", F.round(F.col("ema") + TIE, 6).alias("ema"),
+                                         F.round(F.col("ema") * (F.col("n") - F.col("rn")) + TIE, 6).alias("remaining"))
