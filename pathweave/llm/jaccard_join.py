@@ -23,12 +23,19 @@ compared by 64-bit hashes, sets by 128 bits.
    number of subsets passes the expected cost of the list entries, from the measured
    mean length of a list. Light sets that may link with heavy ones (size at least
    percent of the boundary) are in the lists too.
-5. In a few rounds each class is compared with one centre, of its keys' drawn members
-   the one with which it shares most keys. Links among the verified pairs give
-   components; a key whose members then all lie in one needs
-   no more, so a group of n near copies costs a few n pairs. In the remaining keys,
-   pairs across components are compared if sizes and positions allow a link. Every
-   link is either verified or lies within a component, so the components are exact.
+5. In rounds each class is compared with one centre: of its keys' centres (first the
+   member with most shared shingles, so the least edited one; then a seeded draw) the one
+   with which it shares most keys. Links among the verified pairs give components; a key
+   whose members then all lie in one needs no more, so a group of n near copies costs a
+   few n pairs. Rounds go on while they link at least a quarter of what they compare.
+6. Keys that stay open hold sets that are near one another and yet do not link. They are
+   joined by their differences from a centre c: with D(x) = x xor c, |x & y| = |c| -
+   |c - x| - |c - y| + |D(x) & D(y)|, so x and y link only if D(x) and D(y) share t = (least
+   overlap) - |c| + |c - x| + |c - y| entries. If t <= 0 both link with c itself. Else
+   they share one of the |D| - t + 1 rarest entries of either: these are new keys, per pair
+   of levels of |c - x| so that t is known, and hold what is rare among near copies. This is
+   repeated while it halves the pairs to compare; what remains is verified. Every link is
+   either verified or lies within a component, so the components are exact.
 
 Every input row gives a row. Null ids: rows are kept, component_id is the least
 non-null id of the component, if any. Null or empty texts: empty set, own component.
@@ -49,7 +56,6 @@ from pyspark.sql import functions as F
 from .common import components, discard, doc_slices, lowered, mix, pieces, release, seeds, side, stage, text_bytes, word_hashes
 
 SHINGLE, PERCENT = 4, 85
-ROUNDS = 6  # of comparing with one centre; what is open then is compared in full
 OPEN = 6.0  # entries of a list that stay open at most, for the choice of the boundary (never for results)
 ORDER = np.uint64(0x5851F42D4C957F2D)
 
@@ -241,13 +247,13 @@ def _prefixes(percent: int):
 
 
 def _keys(percent: int, boundary: int):
-    """(key, sid, n, rest): rest is the overlap that is still possible if the key's shingles
+    """(key, sid, n, w, rest): w counts the set's shared shingles in its prefix, rest is the overlap that is still possible if the key's shingles
     are the first that two sets share (positional bound)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for at in range(0, len(f), 64):
-                out = {"key": [], "sid": [], "n": [], "rest": []}
+                out = {"key": [], "sid": [], "n": [], "w": [], "rest": []}
                 for sid, n, rare, place in zip(*(f[c].iloc[at : at + 64] for c in ("sid", "n", "rare", "place")), strict=True):
                     rare, place = np.asarray(rare, np.int64).view(np.uint64), np.asarray(place, np.int64)
                     o = int(least_overlap(n, percent))
@@ -264,14 +270,44 @@ def _keys(percent: int, boundary: int):
                     m = sum(map(len, out["key"])) - sum(map(len, out["sid"]))
                     out["sid"].append([sid] * m)
                     out["n"].append([n] * m)
+                    out["w"].append([len(rare)] * m)
                 key = np.concatenate(out["key"]) if out["key"] else np.zeros(0, np.uint64)
                 rest = np.concatenate(out["rest"]) if out["rest"] else np.zeros(0, np.int64)
                 flat = lambda c: [x for y in out[c] for x in y]
-                yield pd.DataFrame({"key": key.view(np.int64), "sid": flat("sid"), "n": flat("n"), "rest": rest}).drop_duplicates(["key", "sid"])
+                yield pd.DataFrame({"key": key.view(np.int64), "sid": flat("sid"), "n": flat("n"), "w": flat("w"), "rest": rest}).drop_duplicates(["key", "sid"])
 
     return run
 
 
+def _differences(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs(sid, psid) -> with the size n, the entries d in which the two sets differ, whether
+    they link, and the level: t of two sets is at least the sum of their levels times ``grain``."""
+    left = classes.select("sid", "n", "s")
+    right = classes.select(F.col("sid").alias("psid"), F.col("n").alias("pn"), F.col("s").alias("ps"))
+    both = pairs.join(left, "sid").join(right, "psid").withColumn("less", F.array_except("ps", "s")).withColumn("more", F.array_except("s", "ps"))
+    q, r = 100 + percent, F.size("less")
+    common = F.col("pn") - r
+    grain = F.greatest(F.lit(1), F.expr("cast(pn div 100 as int)"))
+    level = F.floor((2 * (percent * F.col("n") + q * r) - q * F.col("pn")) / (2 * q * grain)).cast("int")
+    return both.select("sid", "psid", "n", (100 * common >= percent * (F.col("n") + F.col("pn") - common)).alias("link"), F.concat("less", "more").alias("d"), level.alias("level"), grain.alias("grain"))
+
+
+def _difference_keys(star: DataFrame) -> DataFrame:
+    """Rows (key, sid, n, rest, role) that any two sets share which link and do not both link with
+    their centre by their levels; role 1 is the lower level of a key, 2 the higher, 0 if equal."""
+    entries = star.select("sid", "psid", F.explode("d").alias("e"))
+    often = entries.groupBy("psid", "e").agg(F.count("*").alias("f")).where("f > 1")
+    # entries of one set only come first in its order: they are counted, not carried
+    shared = entries.join(often, ["psid", "e"]).groupBy("sid", "psid").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es"))
+    levels = star.groupBy("psid").agg(F.collect_set("level").alias("levels"))
+    rows = star.select("sid", "psid", "n", "level", "grain", F.size("d").alias("dn")).join(shared, ["sid", "psid"]).join(levels, "psid")
+    rows = rows.select("sid", "psid", "n", "level", "grain", "dn", "levels", F.size("es").alias("m"), F.posexplode("es").alias("pos", "x"))
+    fitting = "filter(levels, l -> dn - m + pos <= dn - greatest(1, (level + l) * grain))"
+    rows = rows.select("sid", "psid", "n", "level", F.col("x.e").alias("e"), F.explode(F.expr(fitting)).alias("l"))
+    key = F.xxhash64("psid", "e", F.least("level", "l"), F.greatest("level", "l"))
+    return rows.select(key.alias("key"), "sid", "n", F.col("n").alias("rest"), F.expr("case when level = l then 0 when level < l then 1 else 2 end").alias("role")).distinct()
+
+
 def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, light_below: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs(id, text) -> (members(id, th, sid, n) of documents that passed the screening,
     th the xxhash64 of the text, verified links (a, b) of classes, labels (node, label))."""
@@ -308,7 +344,7 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         # candidate with the list's least member, and what stays open, which is the mean list but hardly more
         # than a few entries as near copies close a list at once
         light_below = int(2 * (2 + min(r, OPEN)) * 100 / (100 - percent)) + 1
-    keys = stage(prefixes.mapInPandas(_keys(percent, light_below), "key long, sid binary, n int, rest int"), "join-keys")
+    keys = stage(prefixes.mapInPandas(_keys(percent, light_below), "key long, sid binary, n int, w int, rest int"), "join-keys")
     # a pair that links passes both bounds at the key of its first shared shingles
     fits = f"100 * least(n, pn) >= {percent} * greatest(n, pn) and {100 + percent} * least(rest, prest) >= {percent} * (n + pn)"
 
@@ -318,34 +354,58 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(left, "a").join(right, "b").withColumn("i", both).select("a", "b", F.expr(f"100 * i >= {percent} * (na + nb - i)").alias("link"))
 
-    def still_open(labels: DataFrame) -> DataFrame:
+    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of the keys whose members lie in several components."""
-        named = keys.join(labels, keys.sid == labels.node, "left").select("key", "sid", "n", "rest", F.coalesce("label", "sid").alias("label"))
+        named = rows.drop("label").join(labels, rows.sid == labels.node, "left").select(*[c for c in rows.columns if c != "label"], F.coalesce("label", "sid").alias("label"))
         several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
         return stage(named.join(several, "key", "left_semi"), "join-open")
 
-    # rounds of one comparison per class: with a centre of its keys, the one with which it
-    # shares most keys; the least member first, then another draw per round while links are found
-    rows, tested, links = keys.withColumn("label", F.col("sid")), None, None
-    for r in range(ROUNDS):
-        draw = F.xxhash64(F.lit(r), "sid") if r else F.lit(0).cast("long")
-        centre = rows.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "sid", "n", "rest", "label")).alias("p")).select("key", F.col("p.sid").alias("psid"), F.col("p.n").alias("pn"), F.col("p.rest").alias("prest"), F.col("p.label").alias("plabel"))
-        pairs = rows.join(centre, "key").where(f"label <> plabel and {fits}").groupBy("sid", "psid").agg(F.count("*").alias("c"))
+    def centres(rows: DataFrame, draw) -> DataFrame:
+        centre = rows.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "sid", "n", "rest", "label")).alias("p"))
+        return centre.select("key", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("sid", "n", "rest", "label")])
+
+    rows, tested, labels, r = keys.withColumn("label", F.col("sid")), None, None, 0
+    while True:
+        draw = F.xxhash64(F.lit(r), "sid") if r else -F.col("w").cast("long")
+        pairs = rows.join(centres(rows, draw), "key").where(f"label <> plabel and {fits}").groupBy("sid", "psid").agg(F.count("*").alias("c"))
         pairs = pairs.groupBy("sid").agg(F.max(F.struct("c", "psid"))["psid"].alias("psid")).select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         seen = stage(verify(pairs), "join-star")
-        tested = seen if tested is None else tested.unionByName(seen)
-        if r and seen.where("link").limit(1).count() == 0:
+        tested = seen if tested is None else stage(tested.unionByName(seen), "join-tested")
+        compared, linked = seen.agg(F.count("*"), F.count_if("link")).first()
+        if linked:
+            labels = components(tested.where("link").select("a", "b"), "join")
+        elif labels is None:
+            labels = tested.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+        release(spark)
+        rows = still_open(rows, labels)
+        r += 1
+        if 4 * linked <= compared:
             break
-        links = tested.where("link").select("a", "b")
-        labels = components(links, "join")
+
+    rows, last = rows.withColumn("role", F.lit(0)), None
+    while True:
+        sizes = rows.groupBy("key").agg(F.count_if(F.col("role") == 0).alias("x"), F.count_if(F.col("role") == 1).alias("y"), F.count_if(F.col("role") == 2).alias("z"))
+        number, open_pairs = sizes.agg(F.coalesce(F.sum(F.expr("x + y + z")), F.lit(0)), F.coalesce(F.sum(F.expr("x * (x - 1) div 2 + y * z")), F.lit(0))).first()
+        if open_pairs <= number or (last is not None and 2 * open_pairs > last):
+            break
+        last = open_pairs
+        star = stage(_differences(rows.join(centres(rows, -F.col("w").cast("long")), "key").select("sid", "psid").distinct(), classes, percent), "join-differences")
+        found = star.where("link and sid <> psid").select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b"), "link").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        if found.limit(1).count():
+            tested = stage(tested.unionByName(found), "join-tested")
+            labels = components(tested.where("link").select("a", "b"), "join")
+        near = stage(_difference_keys(star).join(rows.select("sid", "w").distinct(), "sid"), "join-near")
+        discard(star)
         release(spark)
-        rows = still_open(labels)
-    other = rows.select("key", F.col("sid").alias("psid"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("label").alias("plabel"))
-    across = rows.join(other, "key").where(f"label <> plabel and sid < psid and {fits}").select(F.col("sid").alias("a"), F.col("psid").alias("b")).distinct()
+        rows = still_open(near, labels)
+    other = rows.select("key", F.col("sid").alias("psid"), F.col("n").alias("pn"), F.col("rest").alias("prest"), F.col("label").alias("plabel"), F.col("role").alias("prole"))
+    across = rows.join(other, "key").where(f"label <> plabel and (role = 0 and prole = 0 and sid < psid or role = 1 and prole = 2) and {fits}")
+    across = across.select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b")).distinct()
     across = across.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more_links = stage(verify(across), "join-across").where("link").select("a", "b")
+    links = tested.where("link").select("a", "b")
     if more_links.limit(1).count():
         links = stage(links.unionByName(more_links), "join-links")
         labels = components(links, "join")

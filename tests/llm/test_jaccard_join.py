@@ -101,3 +101,27 @@ def test_screening_asks_no_more_than_linked_sets_share(percent):
         # the worst case: a set's own shingles come before those that it shares
         shared = [max(0, min(prefix(n) - (n - a), prefix(m) - (m - a))) for m in range(1, 2 * n + 1) for a in range(1, min(n, m) + 1) if 100 * a >= percent * (n + m - a)]
         assert J.least_shared(n, percent) == min(shared) >= 1
+
+
+def test_near_copies_without_links_to_a_centre(spark, monkeypatch):
+    # 300 texts two edits from a text that is not there: hardly any two link, all share their rarest shingles
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(104)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(104), 2):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    # some pairs differ by one further edit and so link away from every centre
+    for i in range(0, 60, 3):
+        words = rows[i][1].split()
+        words[50] = f"z{i}"
+        rows.append((1000 + i, " ".join(words)))
+    compared = []
+    kept = J.stage
+    monkeypatch.setattr(J, "stage", lambda df, name: (lambda got: (compared.append((name, got.count())) if name in ("join-star", "join-across", "join-differences") else None, got)[1])(kept(df, name)))
+    got = J.jaccard_components(docs_of(spark, rows)).collect()
+    want = brute(rows, 4, 85)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert sum(n for _, n in compared) < 320 * 319 // 2 // 4, compared
