@@ -47,16 +47,27 @@ def load(path: str):
     return _CACHE[path]
 
 
-def boundaries(tok, text: str) -> tuple[np.ndarray, int]:
-    """((position, tokens before it) of every pre-token start, number of tokens)."""
+def boundaries(tok, text: str, head: int, tail: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """((position, tokens before it) of every pre-token start before ``head``, the same from
+    ``tail`` on, number of tokens). Only the tokens of these two stretches are looked at."""
     e = tok.encode(text, add_special_tokens=False)
-    words, offsets = e.word_ids, e.offsets
-    rows, last = [], object()
-    for i, w in enumerate(words):
-        if w is None or w != last:
-            rows.append((offsets[i][0], i))
-        last = w
-    return np.array(rows, dtype=np.int64).reshape(-1, 2), len(words)
+    n = len(e)
+
+    def starts(i: int, j: int) -> np.ndarray:
+        rows, last = [], e.token_to_word(i - 1) if i else object()
+        for k in range(i, j):
+            w = e.token_to_word(k)
+            if w is None or w != last:
+                rows.append((e.token_to_chars(k)[0], k))
+            last = w
+        return np.array(rows, dtype=np.int64).reshape(-1, 2)
+
+    i, j = 0, n
+    while i < n and e.token_to_chars(i)[0] < head:
+        i += 1
+    while j and e.token_to_chars(j - 1)[0] >= tail:
+        j -= 1
+    return starts(0, i), starts(j, n), n
 
 
 def splice(left: np.ndarray, right: np.ndarray) -> int | None:
@@ -72,10 +83,11 @@ def _counter(path: str):
         tok, _ = load(path)
         encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
         for s in texts:
+            which, every = pd.factorize(s.fillna(""))  # equal texts of a batch are encoded once
             out = []
-            for i in range(0, len(s), 256):  # encodings are larger than texts
-                out += [len(e) for e in encode(["" if x is None else x for x in s.iloc[i : i + 256]], add_special_tokens=False)]
-            yield pd.Series(out, dtype="int64")
+            for i in range(0, len(every), 256):  # encodings are larger than texts
+                out += [len(e) for e in encode(every[i : i + 256].tolist(), add_special_tokens=False)]
+            yield pd.Series(np.array(out, np.int64)[which], dtype="int64")
 
     return count
 
@@ -98,9 +110,9 @@ def _encoder(path: str, chunk: int, overlap: int):
         for f in frames:
             rows = []
             for key, idx, start, last, part in zip(f["key"], f["idx"], f["start"], f["last"], f["part"], strict=True):
-                at, total = boundaries(tok, part)
-                head = at[at[:, 0] < overlap] + [start, 0]
-                tail = at[(at[:, 0] >= len(part) - overlap) & (at[:, 0] <= len(part) - margin)] + [start, 0]
+                head, tail, total = boundaries(tok, part, overlap, len(part) - overlap)
+                head = head + [start, 0]
+                tail = tail[tail[:, 0] <= len(part) - margin] + [start, 0]
                 rows.append((key, idx, total if last else 0, bool(last), head.tobytes(), tail.tobytes()))
             yield pd.DataFrame(rows, columns=["key", "idx", "total", "last", "head", "tail"])
 
