@@ -65,3 +65,14 @@ def test_cycles_in_trees_are_reported(spark):
     nodes = spark.createDataFrame([(1, "a", "b", 0, "K", None), (1, "b", "a", 0, "K", None)], "tree_id long, node_id string, parent_id string, child_idx int, kind string, token string")
     with pytest.raises(ValueError):
         T.ancestor_chains(nodes, max_rounds=4)
+
+
+def test_suggestions_join_builds_no_broadcast(spark, tmp_path):
+    parts = [(i, f"a{i} b", f"Brand#{i}") for i in range(6)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    preds = fx.fx_preds(spark, str(tmp_path))
+    got = {(r.ex, r["rank"]): r.word for r in preds.collect()}
+    assert len(got) == 60
+    assert got[(2, 1)] == f"a{(2 * 7 + 37) % 6}|b" and got[(2, 3)] == "<PAD_OR_OOV>" and got[(1, 5)] == f"brand#{(35 + 185) % 6}"
+    plan = preds._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
