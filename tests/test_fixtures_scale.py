@@ -76,3 +76,29 @@ def test_suggestions_join_builds_no_broadcast(spark, tmp_path):
     assert got[(2, 1)] == f"a{(2 * 7 + 37) % 6}|b" and got[(2, 3)] == "<PAD_OR_OOV>" and got[(1, 5)] == f"brand#{(35 + 185) % 6}"
     plan = preds._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_nodes_come_in_one_pass_with_a_name_per_target(spark):
+    c = unit_of(spark, 4).withColumn("target", F.when(F.col("pos") == 3, "other").when(F.col("pos") == 4, None).otherwise("some|name"))
+    nodes = fx.fx_nodes(spark, "", c)
+    assert [r.token for r in nodes.where("kind = 'NameExpr'").orderBy("token").collect()] == [None, "other", "some|name"]
+    assert nodes.where("kind = 'Order'").count() == 1 and nodes.count() == 1 + 3 + 6 * 4
+    assert "Union" not in nodes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chains_are_built_from_inner_nodes_and_stored_as_columns(spark, tmp_path):
+    import os
+
+    from pathweave.operators import ranking
+
+    kept = []
+    was, T.stored = T.stored, lambda df: kept.append(df.count()) or ranking.stored(df)
+    try:
+        c = T.ancestor_chains(fx.fx_nodes(spark, "", unit_of(spark, 10)))
+        up = {r.node_id: [x.node_id for x in r.up] for r in c.collect()}
+    finally:
+        T.stored = was
+    assert max(kept) == 1 + 2 * 10  # the root, lines and parts; no leaves
+    assert up["r"] == [] and up["r/017/2/1"] == ["r/017/2", "r/017", "r"] and len(up) == 62
+    out = ranking.stored(c.select("tree_id", "up"))
+    assert out.inputFiles() and all(f.endswith(".zstd.parquet") for f in out.inputFiles()) and out.count() == 62
