@@ -102,3 +102,15 @@ def test_chains_are_built_from_inner_nodes_and_stored_as_columns(spark, tmp_path
     assert up["r"] == [] and up["r/017/2/1"] == ["r/017/2", "r/017", "r"] and len(up) == 62
     out = ranking.stored(c.select("tree_id", "up"))
     assert out.inputFiles() and all(f.endswith(".zstd.parquet") for f in out.inputFiles()) and out.count() == 62
+
+
+def test_lines_of_the_roles_are_built_once(spark, monkeypatch):
+    from pathweave.plans import q_dataset as Q
+
+    ctx = unit_of(spark, 3).unionByName(unit_of(spark, 2).withColumn("ex", F.lit(8).cast("long")).withColumn("grp", F.lit("cust2")))
+    calls = []
+    monkeypatch.setattr(Q.fx, "fx_ctx", lambda *a: calls.append(1) or ctx)
+    out = Q.q_union_outputs(spark, "")
+    assert sum(r.n for r in out.collect()) == 2 and len(calls) == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Range" not in plan
