@@ -48,7 +48,7 @@ def q_read_json_maps(spark, sf_dir):
 
 @register("snippet_tree_job")
 def q_snippet_tree_job(spark, sf_dir):
-    """K6: every page parsed into a node table (html.parser in mapInPandas)."""
+    """K6: every page parsed into a node table (html.parser in mapInArrow)."""
     return dom.dom_tree(table(spark, sf_dir, "pages", "page_id", "html"))
 
 

@@ -1,6 +1,7 @@
 """Web pages as trees (K6 on FX7): a standard-library HTML parser per page
-inside ``mapInPandas``; the resulting node table has the same shape as
-every other tree source, so all tree operators apply.
+inside ``mapInArrow``; the resulting node table has the same shape as
+every other tree source, so all tree operators apply. A task holds the nodes
+of one page and ``SLICE_ROWS`` more, however many pages come in a batch.
 
 A page that cannot be parsed yields no nodes and one row in the error side
 table instead (A21: the other pages go on).
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 
 NODE_SCHEMA = ("page_id long, node_id string, parent_id string, child_idx int, kind string, token string, "
                "error string")
+SLICE_ROWS = 20_000  # node rows that a task hands back at once
 SKIP_TEXT_IN = ("script", "style")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 
-def _parse(page_id: int, html: str):
+def _parse(page_id: int | None, html: str):
     from html.parser import HTMLParser
 
     rows: list[tuple] = []
@@ -70,21 +72,32 @@ def page_nodes(pages: DataFrame) -> DataFrame:
     """(page_id, node_id, parent_id, child_idx, kind, token, error); error rows have NULL node_id."""
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        cols = ["page_id", "node_id", "parent_id", "child_idx", "kind", "token", "error"]
-        for pdf in batches:
+        schema = pa.schema([("page_id", pa.int64()), ("node_id", pa.string()), ("parent_id", pa.string()), ("child_idx", pa.int32()),
+                            ("kind", pa.string()), ("token", pa.string()), ("error", pa.string())])
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
             out: list[tuple] = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
+            ids, texts = batch.column("page_id"), batch.column("html")
+            for i in range(batch.num_rows):
+                pid, html = ids[i].as_py(), texts[i].as_py()
                 try:
                     if html is None:
                         raise ValueError("empty page")
-                    out.extend(_parse(int(pid), html))
+                    out.extend(_parse(pid, html))
                 except Exception as e:  # noqa: BLE001 -- a bad page must not stop the others
-                    out.append((int(pid), None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=cols).astype({"child_idx": "Int32"})
-
-    return pages.select("page_id", "html").mapInPandas(run, NODE_SCHEMA)
+                    out.append((pid, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                while len(out) >= SLICE_ROWS:
+                    yield batch_of(out[:SLICE_ROWS])
+                    del out[:SLICE_ROWS]
+            if out:
+                yield batch_of(out)
+
+    return pages.select("page_id", "html").mapInArrow(run, NODE_SCHEMA)
 
 
 def dom_tree(pages: DataFrame) -> DataFrame:

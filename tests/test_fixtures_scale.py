@@ -6,6 +6,7 @@ from pathweave.functions import names as N
 from pathweave.operators import metrics as M
 from pathweave.operators import similarity as SIM
 from pathweave.operators import trees as T
+from pathweave.sources import dom
 from pathweave.sources import fixtures as fx
 
 
@@ -114,3 +115,23 @@ def test_lines_of_the_roles_are_built_once(spark, monkeypatch):
     assert sum(r.n for r in out.collect()) == 2 and len(calls) == 1
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Range" not in plan
+
+
+def test_page_nodes_come_in_bounded_slices_and_whole(spark):
+    import pyarrow as pa
+
+    class Pages:  # hands out the task's function
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    html = "<html>" + "<p>a</p>" * 300 + "</html>"
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(100)) + [None], "html": [html] * 99 + [None, html]}, schema=pa.schema([("page_id", pa.int64()), ("html", pa.string())]))
+    out = list(dom.page_nodes(Pages())(iter([pages, pages])))
+    assert max(b.num_rows for b in out) <= dom.SLICE_ROWS and len(out) > 4
+    got = spark.createDataFrame([tuple(r.values()) for r in pages.to_pylist()], "page_id long, html string")
+    rows = dom.page_nodes(got).groupBy("page_id").agg(F.count("node_id").alias("n"), F.max("error").alias("e")).collect()
+    assert sorted(((r.page_id is None, r.page_id, r.n, r.e) for r in rows), key=str) == sorted(
+        [(i is None, i, 0 if i == 99 else 602, "ValueError: empty page" if i == 99 else None) for i in [*range(100), None]], key=str)
