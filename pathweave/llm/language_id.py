@@ -9,8 +9,8 @@ the language with the highest posterior and the score is that posterior.
 Words are the runs of letters of the lower-cased text, each with the vocabulary's
 word-start mark, whole whatever their length. Pieces of every length that the
 vocabulary holds are used. They never cross words, so the sum over a word's
-segmentations depends on the word alone and is cached per Python worker, while
-every word of every text counts. Words of over ``WORD`` characters are summed with
+segmentations depends on the word alone and is cached per Python worker (when the
+cache is full, the words of the texts at hand stay), while every word of every text counts. Words of over ``WORD`` characters are summed with
 rescaling (no underflow) in memory that does not grow with the segmentations, and
 are not cached.
 
@@ -47,7 +47,7 @@ WORD, ROUNDS, SAMPLE_ROWS, SAMPLE_CHARS = 32, 3, 1500, 8000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-7  # probability of a letter that no piece covers, alike in all languages
 SLAB, RESCALE = 1 << 17, 16  # places looked up at once; letters between two rescalings of a long word
-CACHE_WORDS, CACHE_NUMBERS = 400_000, 4_000_000  # words and numbers that a worker keeps
+CACHE_WORDS, CACHE_NUMBERS = 200_000, 4_000_000  # words and numbers that a worker keeps
 UND = "und"
 
 
@@ -267,6 +267,14 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.m.langs)))
 
+    def keep(self, words: set[str]) -> None:
+        """Forget all other words; what is cached of these need not be summed again."""
+        held = [w for w in words if w in self.at]
+        rows = self.table[[self.at[w] for w in held]]
+        self.clear()
+        self.table = np.concatenate([rows, self.table])
+        self.at.update(zip(held, range(len(held)), strict=True))
+
     def learn(self, words: list[str]) -> None:
         """Sum over the segmentations of words not seen yet."""
         n = len(self.at)
@@ -290,8 +298,7 @@ class Scorer:
             new = sorted(w for w in set(part) if w not in self.at)
             if new:
                 if len(self.at) + len(new) > self.room:
-                    self.clear()
-                    new = sorted(set(part))
+                    self.keep(set(part))
                 self.learn(new)
             total += self.table[np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))].sum(axis=0)
         return total
@@ -304,9 +311,8 @@ class Scorer:
             short = {w for w in set().union(*split) if len(w) <= WORD}
             fresh = {w for w in short if w not in self.at}
             if len(self.at) + len(fresh) > self.room:
-                self.clear()
-                fresh = short
-            if len(fresh) <= self.room:  # else text by text
+                self.keep(short)
+            if len(self.at) + len(fresh) <= self.room:  # else text by text
                 self.learn(sorted(fresh))
         for words in split:
             if not self.m.langs or not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
@@ -380,11 +386,11 @@ def train(labelled: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS, sample
     pick = F.create_map(*[F.lit(v) for (x, big), s in share.items() for v in (f"{int(big)}{x}", s)])
     sample = d.where(F.col("u") < pick[F.concat(F.col("big").cast("int").cast("string"), "lang")])
 
-    @F.pandas_udf("array<struct<w:string,c:long>>")
-    def tally(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"w": w, "c": c} for w, c in Counter(cut(words_of(t))).items()] for t in texts])
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return pd.Series([cut(words_of(t)) for t in texts])
 
-    words = sample.select("lang", F.explode(tally("text")).alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.c").alias("c"))
+    words = sample.select("lang", F.explode(split("text")).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c"))
     words = stage(words, "langid-words")
     letters = words.select(F.explode(F.split("w", "")).alias("w")).distinct()
     pieces = sorted({*pieces, *[r["w"] for r in letters.collect() if r["w"]]})

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -87,3 +88,18 @@ def test_awkward(spark):
     assert got[103].lang_pred == "en" and got[None].lang_pred == "de" and got[106].lang_pred == "en" and got[105].lang_pred in ("en", "de")
     assert {r.lang_pred for r in L.identify(docs_of(spark, [(1, "no label", None)]), PATH).collect()} == {"und"}
     assert L.identify(docs_of(spark, []), PATH).count() == 0
+
+
+def test_a_full_cache_keeps_the_words_at_hand():
+    pieces = sorted(["▁", "▁a", "a", "ab", "b", "ba", "▁ab"])
+    model = L.make_model({"x": L.em([("ab", 5.0)], pieces), "y": L.em([("bb", 3.0)], pieces)}, {"x": 1, "y": 1}, pieces)
+    words = ["".join(w) for w in itertools.product("ab", repeat=6)]
+    scorer, learned = L.Scorer(model), []
+    scorer.room, learn = 40, scorer.learn
+    scorer.learn = lambda ws: (learned.append(sorted(ws)), learn(ws))
+    texts = [" ".join(words[:30]), " ".join(words[10:45]), " ".join(words)]
+    got = [scorer.predict([t]) for t in texts]
+    assert learned[0] == words[:30] and learned[1] == words[30:45]  # those of the first text are not summed again
+    for (langs, scores), t in zip(got, texts, strict=True):
+        want = L.Scorer(model).predict([t])
+        assert langs == want[0] and math.isclose(scores[0], want[1][0], rel_tol=1e-9)
