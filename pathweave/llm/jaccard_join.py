@@ -32,8 +32,9 @@ compared by 64-bit hashes, sets by 128 bits.
    joined by their differences from a centre c: with D(x) = x xor c, |x & y| = |c| -
    |c - x| - |c - y| + |D(x) & D(y)|, so x and y link only if D(x) and D(y) share t = (least
    overlap) - |c| + |c - x| + |c - y| entries. If t <= 0 both link with c itself. Else
-   they share one of the |D| - t + 1 rarest entries of either: these are new keys, per pair
-   of levels of |c - x| so that t is known, and hold what is rare among near copies. This is
+   they share one of the |D| - t + 1 first entries of either, in an order that begins with the
+   entries that sets of one component only have (which no open pair shares), then the rarest:
+   these are new keys, per pair of levels of |c - x| so that t is known. This is
    repeated while it halves the pairs to compare; what remains is verified. Every link is
    either verified or lies within a component, so the components are exact.
 
@@ -292,18 +293,23 @@ def _differences(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return both.select("sid", "psid", "n", (100 * common >= percent * (F.col("n") + F.col("pn") - common)).alias("link"), F.concat("less", "more").alias("d"), level.alias("level"), grain.alias("grain"))
 
 
-def _difference_keys(star: DataFrame) -> DataFrame:
-    """Rows (key, sid, n, rest, role) that any two sets share which link and do not both link with
-    their centre by their levels; role 1 is the lower level of a key, 2 the higher, 0 if equal."""
-    entries = star.select("sid", "psid", F.explode("d").alias("e"))
-    often = entries.groupBy("psid", "e").agg(F.count("*").alias("f")).where("f > 1")
-    # entries of one set only come first in its order: they are counted, not carried
-    shared = entries.join(often, ["psid", "e"]).groupBy("sid", "psid").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es"))
-    levels = star.groupBy("psid").agg(F.collect_set("level").alias("levels"))
-    rows = star.select("sid", "psid", "n", "level", "grain", F.size("d").alias("dn")).join(shared, ["sid", "psid"]).join(levels, "psid")
-    rows = rows.select("sid", "psid", "n", "level", "grain", "dn", "levels", F.size("es").alias("m"), F.posexplode("es").alias("pos", "x"))
-    fitting = "filter(levels, l -> dn - m + pos <= dn - greatest(1, (level + l) * grain))"
-    rows = rows.select("sid", "psid", "n", "level", F.col("x.e").alias("e"), F.explode(F.expr(fitting)).alias("l"))
+def _difference_keys(star: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, sid, n, rest, role) that any two sets of different components (``labels``) share
+    which link and do not both link with their centre by their levels; role 1 is the lower level
+    of a key, 2 the higher, 0 if equal."""
+    named = star.join(labels, star.sid == labels.node, "left").withColumn("label", F.coalesce("label", "sid"))
+    entries = named.select("sid", "psid", "label", "level", F.explode("d").alias("e"))
+    often = entries.groupBy("psid", "e").agg(F.count("*").alias("f"), F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("level").alias("levels"))
+    often = stage(often.where("x <> y").select("psid", "e", "f", "levels"), "join-often")
+    # entries of one component only come first in the order: they are counted, not carried
+    shared = entries.select("sid", "psid", "e").join(often.select("psid", "e", "f"), ["psid", "e"]).groupBy("sid", "psid").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("es"))
+    low = star.groupBy("psid").agg(F.min("level").alias("low"))
+    rows = star.select("sid", "psid", "n", "level", "grain").join(shared, ["sid", "psid"]).join(low, "psid")
+    rows = rows.select("sid", "psid", "n", "level", "grain", "low", F.size("es").alias("m"), F.posexplode("es").alias("pos", "x"))
+    rows = rows.where("greatest(1, (level + low) * grain) <= m - pos").select("sid", "psid", "n", "level", "grain", F.expr("m - pos").alias("room"), F.col("x.e").alias("e"))
+    # a pair's levels meet at entries that sets of both levels have
+    rows = rows.join(often.select("psid", "e", "levels"), ["psid", "e"])
+    rows = rows.select("sid", "psid", "n", "level", "e", F.explode(F.expr("filter(levels, l -> greatest(1, (level + l) * grain) <= room)")).alias("l"))
     key = F.xxhash64("psid", "e", F.least("level", "l"), F.greatest("level", "l"))
     return rows.select(key.alias("key"), "sid", "n", F.col("n").alias("rest"), F.expr("case when level = l then 0 when level < l then 1 else 2 end").alias("role")).distinct()
 
@@ -355,9 +361,10 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         return pairs.join(left, "a").join(right, "b").withColumn("i", both).select("a", "b", F.expr(f"100 * i >= {percent} * (na + nb - i)").alias("link"))
 
     def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows of the keys whose members lie in several components."""
+        """Rows of the keys whose members lie in several components and, if they have roles, in both."""
         named = rows.drop("label").join(labels, rows.sid == labels.node, "left").select(*[c for c in rows.columns if c != "label"], F.coalesce("label", "sid").alias("label"))
-        several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        met = F.bool_or(F.col("role") == 1) == F.bool_or(F.col("role") == 2) if "role" in rows.columns else F.lit(True)
+        several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), met.alias("met")).where("x <> y and met").select("key")
         return stage(named.join(several, "key", "left_semi"), "join-open")
 
     def centres(rows: DataFrame, draw) -> DataFrame:
@@ -396,7 +403,7 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         if found.limit(1).count():
             tested = stage(tested.unionByName(found), "join-tested")
             labels = components(tested.where("link").select("a", "b"), "join")
-        near = stage(_difference_keys(star).join(rows.select("sid", "w").distinct(), "sid"), "join-near")
+        near = stage(_difference_keys(star, labels).join(rows.select("sid", "w").distinct(), "sid"), "join-near")
         discard(star)
         release(spark)
         rows = still_open(near, labels)

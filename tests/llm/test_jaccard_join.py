@@ -125,3 +125,12 @@ def test_near_copies_without_links_to_a_centre(spark, monkeypatch):
     want = brute(rows, 4, 85)
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
     assert sum(n for _, n in compared) < 320 * 319 // 2 // 4, compared
+
+
+def test_difference_keys_only_where_levels_and_components_meet(spark):
+    # a and b share entry 1 at level 0; nobody of level 3 has it; entry 2 is known to one component (c, d)
+    rows = [("a", "z", 20, False, [1, 7], 0, 1), ("b", "z", 20, False, [1, 8], 0, 1), ("c", "z", 20, False, [2, 9], 3, 1), ("d", "z", 20, False, [2, 10], 3, 1)]
+    star = spark.createDataFrame(rows, "sid string, psid string, n int, link boolean, d array<long>, level int, grain int")
+    labels = spark.createDataFrame([("c", "c"), ("d", "c")], "node string, label string")
+    got = J._difference_keys(star, labels).collect()
+    assert sorted((r.sid, r.role) for r in got) == [("a", 0), ("b", 0)] and len({r.key for r in got}) == 1
