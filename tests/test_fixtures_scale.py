@@ -135,3 +135,25 @@ def test_page_nodes_come_in_bounded_slices_and_whole(spark):
     rows = dom.page_nodes(got).groupBy("page_id").agg(F.count("node_id").alias("n"), F.max("error").alias("e")).collect()
     assert sorted(((r.page_id is None, r.page_id, r.n, r.e) for r in rows), key=str) == sorted(
         [(i is None, i, 0 if i == 99 else 602, "ValueError: empty page" if i == 99 else None) for i in [*range(100), None]], key=str)
+
+
+def test_leaves_of_chains_need_no_join_of_rows_with_chains(spark):
+    nodes = spark.createDataFrame([(1, "r", None, 0, "Order", None), (1, "r/0", "r", 0, "Word", "a"), (1, "r/1", "r", 1, "Part", "p"),
+                                   (1, "r/1/0", "r/1", 0, "Word", "b"), (1, None, "r", 2, "Word", "c"), (None, "q", None, 0, "Word", "d")],
+                                  "tree_id long, node_id string, parent_id string, child_idx int, kind string, token string")
+    chains = T.ancestor_chains(nodes, limit=1)
+    got = T.leaves(chains)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("Join") == 1  # that of the chains
+    assert sorted(r.token for r in got.collect()) == sorted(r.token for r in T.leaves(nodes).collect()) == ["a", "b", "c", "d"]
+    assert {r.token: [u.kind for u in r.up] for r in got.collect()} == {"a": ["Order"], "b": ["Part"], "c": ["Order"], "d": []}
+
+
+def test_leaf_pairs_by_blocks_of_child_indices(spark):
+    rows = [(1, "r", None, 0, "Order", None)] + [(1, f"r/{i:03}", "r", i, "Word", f"w{i}") for i in range(60)]
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id string, parent_id string, child_idx int, kind string, token string")
+    for width in (1, 2, 5):
+        p = T.leaf_pairs(T.ancestor_chains(nodes), "Order", 4, width)
+        got = sorted((r.l, r.r) for r in p.collect())
+        assert got == sorted((f"r/{i:03}", f"r/{j:03}") for i in range(60) for j in range(i + 1, min(60, i + width + 1)))
+    assert "floor" in p._jdf.queryExecution().optimizedPlan().toString().lower()  # blocks, no row per allowed width
