@@ -14,8 +14,8 @@ documents. The work is cut into shards so that equal strings meet:
    one entry per pack.
 3. The other runs, as short pieces of text, are dealt to shards by anchor. A shard
    sorts all suffixes of its pieces with Larsson-Sadakane refinement in numpy (ranks
-   of eight bytes, doubled until every suffix stands alone), and Kasai's algorithm, run in step over all pieces, gives the common
-   prefixes. Neighbours in the order with ``length`` common bytes are the same
+   of eight bytes, doubled until every suffix stands alone or ``length`` bytes are in order);
+   neighbours are compared by words for the common prefixes. Neighbours in the order with ``length`` common bytes are the same
    string; its smallest doc_id decides.
 4. An anchor with very many runs is spread over several shards. Each sends the
    sorted distinct strings that are still unremoved there, dealt to parts by a hash of
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import discard, doc_slices, mix, pieces, release, side, stage, text_bytes
 
 LENGTH, GRAM, RUN = 50, 16, 64
+CACHED = 1 << 18  # bytes of text whose hashes are made at once: their arrays stay in a core's cache
 SHARD_BYTES, HOT = 4 << 20, 4096
 FIRST = -(2**63)  # the id that stands for null
 
@@ -53,7 +54,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.nd
     """(document, first window, windows, anchor) of the runs of each document."""
     out = []
     width = length - GRAM + 1  # grams in a window
-    for i, j in doc_slices(off):
+    for i, j in doc_slices(off, CACHED):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         if len(d) < length:
             continue
@@ -199,75 +200,66 @@ def _pieces(buckets: int, length: int):
 
 
 # ------------------------------------------------------------- suffix arrays
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """All suffixes in order. Larsson-Sadakane: groups of equal prefixes carry their last place as rank; only
-    groups that still have several members are sorted again, by the rank of the suffix
-    h bytes on, and h doubles."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """All suffixes in order (of their first ``depth`` bytes at least, if given). Larsson-Sadakane: groups of equal
+    prefixes carry their last place as rank; only groups that still have several members are sorted
+    again, by the rank of the suffix h bytes on, and h doubles."""
     n = len(text)
     x = loads(text, ">u8")
-    sa = np.argsort(x, kind="stable")
+    sa = np.argsort(x)
     rank = np.empty(n, np.int64)
 
-    def ranks(order: np.ndarray, new: np.ndarray, base: np.ndarray) -> np.ndarray:
+    def ranks(new: np.ndarray, base: np.ndarray) -> np.ndarray:
         """base: the places that the sorted suffixes hold; a group's rank is its last place."""
-        last = np.append(np.flatnonzero(new)[1:] - 1, len(order) - 1)
-        return base[np.repeat(last, np.diff(np.concatenate([[-1], last])))]
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)
+        return np.repeat(base[last], np.diff(last, prepend=-1))
 
-    new = np.concatenate([[True], x[sa][1:] != x[sa][:-1]]) if n else np.zeros(0, bool)
     if not n:
         return sa
-    rank[sa] = ranks(sa, new, np.arange(n))
-    h = 8
+    x = x[sa]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
     places = np.arange(n)
-    while True:  # places of groups with several members
-        lone = new & np.append(new[1:], True)
-        places = places[~lone]
+    rank[sa] = ranks(new, places)
+    h = 8
+    while depth is None or h < depth:  # places of groups with several members
+        places = places[~(new & np.append(new[1:], True))]
         if not len(places):
             break
         members = sa[places]
-        group = rank[members]
         nxt = members + h
         second = np.where(nxt < n, rank[np.minimum(nxt, n - 1)], n - 1 - nxt)  # of two that end, the shorter first
-        order = np.lexsort((second, group))
-        members, group, second = members[order], group[order], second[order]
+        both = rank[members] * (n + h) + (second + h)  # the group, then the rank: one number, at most n (n + h)
+        order = np.argsort(both)
+        members, both = members[order], both[order]
         sa[places] = members
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
-        rank[members] = ranks(members, new, places)
+        new = np.concatenate([[True], both[1:] != both[:-1]])
+        rank[members] = ranks(new, places)
         h *= 2
     return sa
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, begin: np.ndarray, cap: int) -> np.ndarray:
-    """lcp[k]: common bytes of the suffixes at places k - 1 and k, at most ``cap``.
-    Kasai: a suffix has at least its predecessor-in-the-text's common prefix less one.
-    One chain per piece of text (``begin``), all chains in step."""
+    """lcp[k]: common bytes of the suffixes at places k - 1 and k, at most ``cap``. Neighbours
+    are compared eight bytes at a time, those that still agree go on; prefixes may pass the
+    ends of pieces (``begin``), as suffixes do."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    plcp = np.zeros(n, np.int64)
-    padded = np.concatenate([text.astype(np.int16), np.arange(-1, -cap - 2, -1, dtype=np.int16)])
-    length = np.diff(np.append(begin, n))
-    chain = np.argsort(-length, kind="stable")
-    h = np.zeros(len(begin), np.int64)
-    alive = len(chain)
-    for t in range(int(length.max(initial=0))):
-        while alive and length[chain[alive - 1]] <= t:
-            alive -= 1
-        own = chain[:alive]
-        i = begin[own] + t
-        j = before[i]
-        now = np.maximum(h[own] - 1, 0)
-        now[j < 0] = 0
-        todo = np.flatnonzero((j >= 0) & (now < cap))
-        while len(todo):
-            a, b, c = i[todo], j[todo], now[todo]
-            same = padded[np.minimum(a + c, n)] == padded[np.where(b + c < n, b + c, n + 1)]
-            todo = todo[same]
-            now[todo] += 1
-            todo = todo[now[todo] < cap]
-        h[own] = now
-        plcp[i] = now
-    return plcp[sa]
+    lcp = np.zeros(n, np.int64)
+    x = np.append(loads(text), np.uint64(0))
+    todo = np.arange(1, n)
+    a, b = sa[:-1], sa[1:]
+    for at in range(0, cap, 8):
+        differ = x[np.minimum(a + at, n)] ^ x[np.minimum(b + at, n)]
+        equal = differ == 0
+        low = differ[~equal]
+        low &= ~low + np.uint64(1)  # the lowest bit that differs lies in the first byte that does
+        lcp[todo[~equal]] = at + (np.frexp(low.astype(np.float64))[1] - 1) // 8
+        todo, a, b = todo[equal], a[equal], b[equal]
+        if not len(todo):
+            break
+    lcp[todo] = cap
+    ends = n - np.maximum(sa[:-1], sa[1:])  # zeros after the end are no bytes
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(ends, cap))
+    return lcp
 
 
 def _lists(f: pa.Table, length: int):
@@ -286,7 +278,7 @@ def _lists(f: pa.Table, length: int):
     text = data[flat]
     lowest = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(lowest, inverse, ids)
-    sa = suffix_array(text)
+    sa = suffix_array(text, length)
     lcp = common_prefixes(text, sa, begin, length)
     piece = np.repeat(np.arange(len(first)), n)
     window = (np.arange(len(text)) - begin[piece]) <= n[piece] - length

@@ -74,6 +74,27 @@ def test_suffix_array_and_common_prefixes(text):
         assert lcp[k] == min(n, 50)
 
 
+@pytest.mark.parametrize("text", [b"a" * 300, b"abracadabra" * 30, b"\0\0\0a" * 40])
+def test_order_as_deep_as_the_strings(text):
+    # sorted no deeper than the strings that are compared, and the groups of equal strings are the same
+    t, none = np.frombuffer(text, np.uint8), np.array([0])
+    whole, part = S.suffix_array(t), S.suffix_array(t, 50)
+    assert [text[i : i + 50] for i in part] == [text[i : i + 50] for i in whole]
+    assert S.common_prefixes(t, part, none, 50).tolist() == S.common_prefixes(t, whole, none, 50).tolist()
+
+
+def test_hashes_are_made_in_slices_of_a_cache(monkeypatch):
+    rng, seen, loads = random.Random(3), [], S.loads
+    monkeypatch.setattr(S, "loads", lambda data, *kind: (seen.append(len(data)), loads(data, *kind))[1])
+    texts = [prose(rng, 400).encode() for _ in range(400)]
+    off = np.cumsum([0, *map(len, texts)])
+    got = S.runs(np.frombuffer(b"".join(texts), np.uint8), off)
+    assert len(seen) > 1 and max(seen) <= 1 << 18
+    alone = [S.runs(np.frombuffer(x, np.uint8), np.array([0, len(x)])) for x in texts]
+    assert got[0].tolist() == [k for k, r in enumerate(alone) for _ in r[0]]
+    assert all(a.tolist() == [x for r in alone for x in r[i].tolist()] for i, a in enumerate(got) if i)
+
+
 def test_merge_by_binary_search():
     a = np.sort(np.array([b"aa", b"bb", b"bb", b"dd"], "S2"))
     b = np.sort(np.array([b"bb", b"cc"], "S2"))
