@@ -157,3 +157,30 @@ def test_leaf_pairs_by_blocks_of_child_indices(spark):
         got = sorted((r.l, r.r) for r in p.collect())
         assert got == sorted((f"r/{i:03}", f"r/{j:03}") for i in range(60) for j in range(i + 1, min(60, i + width + 1)))
     assert "floor" in p._jdf.queryExecution().optimizedPlan().toString().lower()  # blocks, no row per allowed width
+
+
+def test_type_arguments_store_their_two_kinds_only(spark, monkeypatch):
+    from pathweave.plans import q_trees as Q
+
+    seen = []
+    monkeypatch.setattr(Q, "stored", lambda df: seen.append((df.columns, {r.kind for r in df.select("kind").distinct().collect()})) or df)
+    monkeypatch.setattr(Q.fx, "fx_nodes", lambda *_: nodes_of(spark))
+    got = {(r.node_id, r.generic) for r in Q.q_is_generic_parent(spark, "").collect()}
+    assert got == {("r/1", True), ("r/2", False)}
+    assert seen == [(["tree_id", "node_id", "parent_id", "kind"], {"Part", "Word"})]
+
+
+def nodes_of(spark):
+    rows = [("r", None, 0, "Order", None), ("r/1", "r", 1, "Part", None), ("r/1/0", "r/1", 0, "Word", "a"), ("r/1/1", "r/1", 1, "Word", "b"), ("r/2", "r", 2, "Part", None), ("r/2/0", "r/2", 0, "Flag", "N")]
+    return spark.createDataFrame([(1, *r) for r in rows], "tree_id long, node_id string, parent_id string, child_idx int, kind string, token string")
+
+
+def test_first_places_of_words_need_no_sort(spark, monkeypatch):
+    from pathweave.plans import q_dataset as Q
+
+    words = [(1, 2, 1, "b"), (1, 1, 7, "a"), (1, 1, 3, "a"), (1, 1, 70000, "b"), (None, 3, 2, "a"), (None, 2**31 - 1, 5, "c"), (None, 2, 2**31 - 1, "a"), (1, 1, 3, "a")]
+    monkeypatch.setattr(Q.fx, "fx_words", lambda *_: spark.createDataFrame(words, "doc_id long, line_no int, pos int, w string"))
+    out = Q.q_unique_in_order(spark, "")
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {(d, w, *min((x, p) for i, x, p, v in words if (i, v) == (d, w))) for d, _, _, w in words}
+    assert {tuple(r) for r in out.collect()} == want and dict(out.dtypes)["first_pos"] == "int"
