@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, doc_slices, lowered, mix, pieces, release, seeds, side, stage, text_bytes, word_hashes
+from .common import FEW, components, discard, doc_slices, lowered, mix, pieces, release, seeds, side, stage, text_bytes, word_hashes
 
 SHINGLE, PERCENT = 4, 85
 OPEN = 6.0  # entries of a list that stay open at most, for the choice of the boundary (never for results)
@@ -297,6 +297,7 @@ def _difference_keys(star: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (key, sid, n, rest, role) that any two sets of different components (``labels``) share
     which link and do not both link with their centre by their levels; role 1 is the lower level
     of a key, 2 the higher, 0 if equal."""
+    labels = side(labels, FEW)
     named = star.join(labels, star.sid == labels.node, "left").withColumn("label", F.coalesce("label", "sid"))
     entries = named.select("sid", "psid", "label", "level", F.explode("d").alias("e"))
     often = entries.groupBy("psid", "e").agg(F.count("*").alias("f"), F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("level").alias("levels"))
@@ -362,6 +363,7 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
 
     def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of the keys whose members lie in several components and, if they have roles, in both."""
+        labels = side(labels, FEW)
         named = rows.drop("label").join(labels, rows.sid == labels.node, "left").select(*[c for c in rows.columns if c != "label"], F.coalesce("label", "sid").alias("label"))
         met = F.bool_or(F.col("role") == 1) == F.bool_or(F.col("role") == 2) if "role" in rows.columns else F.lit(True)
         several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), met.alias("met")).where("x <> y and met").select("key")
@@ -379,10 +381,10 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         seen = stage(verify(pairs), "join-star")
-        tested = seen if tested is None else stage(tested.unionByName(seen), "join-tested")
+        tested = seen if tested is None else tested.unionByName(seen)
         compared, linked = seen.agg(F.count("*"), F.count_if("link")).first()
         if linked:
-            labels = components(tested.where("link").select("a", "b"), "join")
+            labels = components(seen.where("link").select("a", "b"), "join", labels)
         elif labels is None:
             labels = tested.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
         release(spark)
@@ -400,9 +402,10 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
         last = open_pairs
         star = stage(_differences(rows.join(centres(rows, -F.col("w").cast("long")), "key").select("sid", "psid").distinct(), classes, percent), "join-differences")
         found = star.where("link and sid <> psid").select(F.least("sid", "psid").alias("a"), F.greatest("sid", "psid").alias("b"), "link").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = stage(found, "join-found")
         if found.limit(1).count():
-            tested = stage(tested.unionByName(found), "join-tested")
-            labels = components(tested.where("link").select("a", "b"), "join")
+            tested = tested.unionByName(found)
+            labels = components(found.select("a", "b"), "join", labels)
         near = stage(_difference_keys(star, labels).join(rows.select("sid", "w").distinct(), "sid"), "join-near")
         discard(star)
         release(spark)
@@ -414,8 +417,8 @@ def classes_and_links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     more_links = stage(verify(across), "join-across").where("link").select("a", "b")
     links = tested.where("link").select("a", "b")
     if more_links.limit(1).count():
-        links = stage(links.unionByName(more_links), "join-links")
-        labels = components(links, "join")
+        links = links.unionByName(more_links)
+        labels = components(more_links, "join", labels)
     return members, links, labels
 
 

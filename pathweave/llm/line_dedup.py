@@ -39,7 +39,7 @@ LEAST, BLOCKS = 12, 3
 BASE = int(seeds(1, 77)[0])
 BACK = pow(BASE, -1, 1 << 64)
 TAGS = seeds(64, 5)
-PART = 1 << 20  # characters hashed at once
+PART = 1 << 17  # characters hashed at once: a line's hashes don't depend on it, a worker's memory does
 
 
 def normal(line: str) -> str:
