@@ -124,11 +124,12 @@ def _send(buckets: int, length: int = LENGTH):
                 out = {"bucket": [], "ids": [], "codes": [], "owners": []}
                 # anchors that several documents of the pack hold are known to be shared
                 by = np.argsort(owner[many], kind="stable")
+                known = code[many][by]
                 cut = np.searchsorted(owner[many][by], np.arange(len(distinct) + 1))
                 for k in np.flatnonzero(np.diff(cut)):
                     out["bucket"].append(-1)
                     out["ids"].append(distinct[k : k + 1].tobytes())
-                    out["codes"].append(code[many][by][cut[k] : cut[k + 1]].tobytes())
+                    out["codes"].append(known[cut[k] : cut[k + 1]].tobytes())
                     out["owners"].append(None)
                 lone = np.where(n > 1, -1, owner[first]).astype(np.int16)
                 code = code[first]
