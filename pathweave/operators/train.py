@@ -9,6 +9,10 @@ in another order apart). No task reads the parameter table: a shard of the batch
 embedding rows that it touches, target rows come in blocks, gradients are summed
 by row and applied in the JVM. One step is a handful of jobs, so batches should be as
 large as the learning rate bears (8,192 by default; the reference's 1,024 is a parameter).
+
+Steps follow one another, so where all parameters are a few numbers (``HERE``, counted) jobs cost
+far more than the steps: one task then takes an epoch's bags in order, in slices of bounded size,
+with the parameters in its memory; the dropout masks are drawn by all tasks before.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.backprop import bags_backward, bags_forward, dropout_mask, softmax_block, softmax_block_grad
+from ..functions.backprop import adam_step, bags_backward, bags_forward, dropout_mask, softmax_block, softmax_block_grad
 from ..sources.lines import scratch_path
 from .ranking import global_index, reliable_checkpoint
 from .scoring import BLOCK_BYTES, FAN_IN, block_pairs, blocks, matrix
 
 PARAM_COLS = ["name", "row", "vec", "m", "v"]
+HERE = 1 << 16  # numbers of a model that one task trains
+SLICE = 1 << 21  # numbers of a matrix that such a task has at once
 
 
 def _uniform(seed: int, name: str, *parts):
@@ -268,21 +274,116 @@ def adam(params: DataFrame, grads: DataFrame, t: int, lr: float = 1e-3, b1: floa
     return j.select("name", "row", F.zip_with("vec", rate, lambda x, d: x - d).alias("vec"), "m", "v")
 
 
+def _masked(bags: DataFrame, width: int, keep: float, seed: tuple[int, ...]) -> DataFrame:
+    """The bags with their dropout masks as bits."""
+    import pyarrow as pa
+
+    def draw(batches):
+        for b in batches:
+            lens = np.diff(b.column("s").offsets.to_numpy())
+            bits = [np.packbits(dropout_mask(e, n, width, keep, seed) > 0).tobytes() for e, n in zip(b.column("ex").to_pylist(), lens)]
+            yield b.append_column("mask", pa.array(bits, pa.binary()))
+
+    return bags.mapInArrow(draw, bags.withColumn("mask", F.lit(b"")).schema)
+
+
+def epoch_here(bags: DataFrame, params: list, epoch: int, steps: int, batch: int, lr: float, keep: float, seed: int) -> tuple[list, float]:
+    """One epoch of the mini-batches of ``steps_of_epoch`` in one task -> (parameter rows, loss sum).
+
+    A batch's gradients are summed over slices of its bags, so memory does not grow with the
+    batch; Adam runs where a batch ends.
+    """
+    import pyarrow as pa
+
+    tables = {}
+    for name in sorted({r["name"] for r in params}):
+        rows = sorted((r for r in params if r["name"] == name), key=lambda r: r["row"])
+        tables[name] = (np.array([r["row"] for r in rows]), *(np.array([r[c] for r in rows], dtype=float) for c in ("vec", "m", "v")))
+    width, most = len(tables["transform"][0]), max(1, SLICE // max(1, len(tables["target"][0])))
+
+    def train(batches):
+        number = {k: t[0] for k, t in tables.items()}
+        P, M, V = ({k: t[i].copy() for k, t in tables.items()} for i in (1, 2, 3))
+        zero = {k: np.zeros_like(x) for k, x in P.items()}
+        g, n, t, total = {k: x.copy() for k, x in zero.items()}, 0, epoch * steps, 0.0
+
+        def step():
+            nonlocal g, n, t
+            t += 1
+            adam_step(P, M, V, {k: x / n for k, x in g.items()}, t, lr)
+            g, n = {k: x.copy() for k, x in zero.items()}, 0
+
+        def add(b):
+            lens = np.diff(b.column("s").offsets.to_numpy())
+            flat = {c: b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("s", "p", "d")}
+            s, d = (np.searchsorted(number["token"], flat[c]) for c in ("s", "d"))
+            p, y = np.searchsorted(number["path"], flat["p"]), b.column("target_idx").to_numpy(zero_copy_only=False)
+            mask = None
+            if keep < 1.0:
+                size = -(-lens * width // 8)
+                bits = np.unpackbits(np.frombuffer(b"".join(b.column("mask").to_pylist()), np.uint8))
+                at = np.repeat(np.cumsum(size) * 8 - size * 8 - (np.cumsum(lens) - lens) * width, lens * width) + np.arange(lens.sum() * width)
+                mask = bits[at].reshape(-1, width) / keep
+            W, a, Y = P["transform"], P["attention"][0], P["target"]
+            C, cache = bags_forward(s, p, d, lens, P["token"], P["path"], W, a, mask)
+            at = np.minimum(np.searchsorted(number["target"], y), len(Y) - 1)
+            want, loss, dv = np.where(number["target"][at] == y, at, -1), 0.0, np.empty_like(C)
+            for i in range(0, len(C), most):
+                part, own = C[i : i + most], want[i : i + most]
+                m, z, u, score = softmax_block(part, own, Y)
+                lse = m + np.log(z)
+                loss += float((lse - score).sum())
+                dv[i : i + most] = u / z[:, None] - Y[own]
+                g["target"] += softmax_block_grad(part, own, Y, lse, 1)
+            for k, x in zip(("token", "path", "transform", "attention"), bags_backward(dv, cache, s, p, d, P["token"], P["path"], W, a, mask)):
+                g[k] += x
+            return loss
+
+        for b in batches:
+            ends = np.cumsum(np.diff(b.column("s").offsets.to_numpy()))
+            i = 0
+            while i < b.num_rows:
+                begun = ends[i - 1] if i else 0
+                j = min(max(i + 1, int(np.searchsorted(ends, begun + SLICE // width, "right"))), i + batch - n, b.num_rows)
+                total += add(b.slice(i, j - i))
+                n, i = n + j - i, j
+                if n == batch:
+                    step()
+        if n:
+            step()
+        vecs = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+        for k in P:
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(P[k])), pa.array(number[k], pa.int32()), vecs(P[k]), vecs(M[k]), vecs(V[k])], names=PARAM_COLS)
+        none = pa.array([[]], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(["loss"]), pa.array([0], pa.int32()), vecs([[total]]), none, none], names=PARAM_COLS)
+
+    b = bags.select("ex", "target_idx", *[F.col(c).cast("array<int>").alias(c) for c in ("s", "p", "d")])
+    b = _masked(b, width, keep, (seed, epoch)) if keep < 1.0 else b
+    order = b.withColumn("_o", F.xxhash64(F.lit(seed), F.lit(epoch), F.col("ex"))).repartition(1).sortWithinPartitions("_o", "ex")
+    out = order.drop("_o").mapInArrow(train, "name string, row int, vec array<double>, m array<double>, v array<double>").collect()
+    return [r for r in out if r["name"] != "loss"], next(r["vec"][0] for r in out if r["name"] == "loss")
+
+
 def epoch_path(base: str, epoch: int) -> str:
     return f"{base}/epoch={epoch}"
 
 
 def fit(spark: SparkSession, bags: DataFrame, init: DataFrame | None, base: str, epochs: int, shards: int,
         start_epoch: int = 0, batch_size: int = 8192, lr: float = 1e-3, seed: int = 42, keep: float = 0.75,
-        on_epoch=None, target_rows: int = 1 << 20, block_bytes: int = BLOCK_BYTES, eval_every: int | None = None, on_step=None):
+        on_epoch=None, target_rows: int = 1 << 20, block_bytes: int = BLOCK_BYTES, eval_every: int | None = None, on_step=None,
+        here: int = HERE):
     """Train from ``start_epoch`` (0 = from ``init``) for ``epochs`` more epochs,
     saving every epoch (A17). ``on_epoch(epoch, path)`` runs the per-epoch evaluation;
     ``on_step(step, path)`` runs every ``eval_every`` steps within an epoch (I14).
-    ``target_rows`` is a bound of the target vocabulary. Returns [(epoch, mean loss)]."""
+    ``target_rows`` is a bound of the target vocabulary. Models of at most ``here`` numbers are
+    trained by one task (unless steps are watched). Returns [(epoch, mean loss)]."""
     if start_epoch == 0:
         init.write.mode("overwrite").parquet(epoch_path(base, 0))
     log = []
     bags = reliable_checkpoint(bags)
+    numbers = spark.read.parquet(epoch_path(base, start_epoch)).agg(F.sum(F.size("vec"))).collect()[0][0]
+    if numbers <= here and not (on_step is not None and eval_every):
+        return _fit_here(spark, bags, base, epochs, start_epoch, batch_size, lr, seed, keep, on_epoch)
     for e in range(start_epoch, start_epoch + epochs):
         batches, steps, n = steps_of_epoch(bags, e, batch_size, seed)
         cur, losses = epoch_path(base, e), []
@@ -307,6 +408,21 @@ def fit(spark: SparkSession, bags: DataFrame, init: DataFrame | None, base: str,
     return log
 
 
+def _fit_here(spark: SparkSession, bags: DataFrame, base: str, epochs: int, start_epoch: int, batch_size: int, lr: float, seed: int,
+              keep: float, on_epoch) -> list:
+    log, n = [], bags.count()
+    for e in range(start_epoch, start_epoch + epochs):
+        params, loss = spark.read.parquet(epoch_path(base, e)).select(*PARAM_COLS), None
+        if n:
+            rows, loss = epoch_here(bags, params.collect(), e, -(-n // batch_size), batch_size, lr, keep, seed)
+            params = spark.createDataFrame(rows, params.schema)
+        params.write.mode("overwrite").parquet(epoch_path(base, e + 1))
+        log.append((e + 1, loss / n if n else None))
+        if on_epoch is not None:
+            on_epoch(e + 1, epoch_path(base, e + 1))
+    return log
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
