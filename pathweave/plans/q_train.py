@@ -31,12 +31,12 @@ def _tasks(spark):
     return SHARDS
 
 
-def _evaluator(spark, b, role, out):
+def _evaluator(spark, b, encoded, role, out):
     """Evaluate the saved epoch on one role and append the metrics row."""
 
     def on_epoch(epoch, path):
         mp = TR.as_model_params(spark.read.parquet(path), DT, DP)
-        enc = b.encoded.filter(F.col("role") == role)
+        enc = encoded.filter(F.col("role") == role)
         codes = MD.code_vectors(MD.context_vectors(enc, mp, FIXTURE), mp)
         preds = MD.predict(codes, MD.score_targets(codes, mp, 10, FIXTURE), b.target_vocab, FIXTURE)
         ev = M.evaluate_predictions(preds, 10)
@@ -104,9 +104,12 @@ def q_resume_fit(spark, sf_dir):
 @register("evaluate_every")
 def q_evaluate_every(spark, sf_dir):
     """Evaluation on the validation role after every epoch."""
-    b, init, bags = _setup(spark, sf_dir)
-    base, out = scratch_path(spark, "params"), scratch_path(spark, "evals")
-    TR.fit(spark, bags, init, base, EPOCHS, _tasks(spark), seed=FIXTURE.seed, on_epoch=_evaluator(spark, b, "val", out))
+    b, init, _ = _setup(spark, sf_dir)
+    base, out, kept = scratch_path(spark, "params"), scratch_path(spark, "evals"), scratch_path(spark, "encoded")
+    b.encoded.write.parquet(kept)  # read by the training and by every evaluation
+    encoded = spark.read.schema(b.encoded.schema).parquet(kept)
+    bags = TR.train_bags(encoded.filter(F.col("role") == "train"))
+    TR.fit(spark, bags, init, base, EPOCHS, _tasks(spark), seed=FIXTURE.seed, on_epoch=_evaluator(spark, b, encoded, "val", out))
     return spark.read.parquet(out)
 
 
