@@ -169,7 +169,8 @@ def near_words(words: DataFrame, symbols: int | None = None) -> DataFrame:
     keyed = stage(words.select("word", "n").mapInArrow(_own_keys(symbols), "word string, n long, key long"), "spelling-keys")
     known = screen(keyed, "key", size)
     hits = words.select("word").mapInArrow(_neighbour_keys(symbols, known), "word string, key long")
-    pairs = hits.join(keyed.select(F.col("word").alias("near"), F.col("n").alias("m"), "key"), "key")
+    # a word has many neighbours, but Spark sizes them like the words: neither side may be broadcast by that size
+    pairs = hits.hint("merge").join(keyed.select(F.col("word").alias("near"), F.col("n").alias("m"), "key").hint("merge"), "key")
     return pairs.where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).select("word", "near", "m")
 
 
@@ -178,7 +179,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = stage(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         up = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = stage(at.join(up, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        step = stage(at.join(up.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         at = step.select("word", "root")
         if step.where("moved").limit(1).count() == 0:
             return at
@@ -188,11 +189,11 @@ def spelling_forms(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST
     """word, form, root, n, n_near, form_n for every word of the vocabulary."""
     words = vocabulary(docs, shortest, least, every)
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), "near")).alias("top"))
-    judged = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("top.near").alias("near"), (-F.col("top.less")).alias("m"))
+    judged = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.col("top.near").alias("near"), (-F.col("top.less")).alias("m"))
     big = F.col("m") >= ratio * F.col("n")
     judged = stage(judged.select("word", "n", "n_near", F.when(big, F.col("near")).alias("form"), F.when(big, F.col("m")).alias("form_n")), "spelling-forms")
     ends = roots(judged.where("form is not null"))
-    return judged.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def forms_sql(shortest: int = SHORTEST, least: int = LEAST, every: int = EVERY, ratio: int = RATIO) -> str:
